@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,29 +77,33 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, upper, upper.lower())
 
 
-class BoundedTable(dict):
-    """A lookup that computes what it lacks and starts anew when it holds
-    ``limit`` entries; forgetting changes only speed, never a result."""
+class BoundedTable:
+    """A lookup table that computes many missing values at once and keeps the
+    keys met last, ``2 * limit`` at most. Forgetting changes only speed."""
 
-    def __init__(self, compute: Callable, limit: int = 1 << 17):
-        super().__init__()
+    def __init__(self, compute: Callable[[list], Iterable], limit: int = 400_000):
         self.compute, self.limit = compute, limit
-
-    def __missing__(self, key):
-        value = self.compute(key)
-        if len(self) >= self.limit:
-            self.clear()
-        self[key] = value
-        return value
-
-
-def batches_of(texts: Iterable, n: int) -> Iterable[list]:
+        self.new: dict = {}
+        self.old: dict = {}
+
+    def look_up(self, lists: list[list]) -> list[list]:
+        """The values of each list of keys. No value may be None."""
+        found = [list(map(self.new.get, keys)) for keys in lists]
+        gaps = [(got, i, keys[i]) for got, keys in zip(found, lists) if None in got for i, v in enumerate(got) if v is None]
+        if gaps:
+            fresh = {key: self.old.get(key) for _, _, key in gaps}
+            unknown = [k for k, v in fresh.items() if v is None]
+            fresh.update(zip(unknown, self.compute(unknown), strict=True))
+            for got, i, key in gaps:
+                got[i] = fresh[key]
+            if len(self.new) + len(fresh) > self.limit:
+                self.old, self.new = self.new, {}
+            self.new.update(fresh)
+        return found
+
+
+def batches_of(items: Iterable, n: int) -> Iterator[list]:
     """Lists of at most ``n`` items."""
-    held: list = []
-    for x in texts:
-        held.append(x)
-        if len(held) == n:
-            yield held
-            held = []
-    if held:
+    items = iter(items)
+    while held := list(islice(items, n)):
         yield held

@@ -12,6 +12,8 @@ up in the plan.
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -23,11 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftline.llm.common import BoundedTable, doc_texts, scratch_table
+from siftline.llm.common import BoundedTable, batches_of, doc_texts, scratch_table
 
 WINDOW = 4096
 #: Items of one length are ranked in buckets of about this many.
 RANK_ROWS = 20_000
+#: Documents that are cut into chunks at a time.
+SLICE = 256
+_COMBINING = re.compile("[\u0300-\u036f]")
 
 
 class CapacityTree:
@@ -106,22 +111,63 @@ def best_fit_plan(histogram: dict[int, int], window: int = WINDOW) -> np.ndarray
     return np.array(plan, dtype=np.int64).reshape(-1, 5)
 
 
-@lru_cache(maxsize=2)
-def _word_table(tokenizer_path: str) -> BoundedTable:
-    """Little-endian ids of a chunk without blanks or line breaks. The
-    tokenizer drops white space and no token crosses it, so chunks join."""
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+class WordTable:
+    """Ids of whole texts by way of their distinct blank-separated chunks.
+
+    The tokenizer drops white space and no token crosses it, so the ids of
+    chunks join to those of the text. ASCII letters are lower-cased first, as
+    the tokenizer would, which leaves fewer chunks; not in texts with combining
+    marks, for which composing comes before lower-casing.
+    """
+
+    def __init__(self, tokenizer_path: str, table_limit: int = 400_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(tokenizer_path)
+        added = self.tok.get_added_tokens_decoder()
+        self.parting = next(iter(sorted(added)), None)  # an added token parts texts wherever it stands
+        self.part_text = added[self.parting].content if added else None
+        self.lowers = [self.tok.encode(t, add_special_tokens=False).ids for t in ("AZ", "az")]
+        self.lowers = self.lowers[0] == self.lowers[1]
+        self.table = BoundedTable(self._ids, table_limit)
+
+    def _ids(self, chunks: list[str]) -> list[bytes]:
+        # A run of plain stops after a letter is a word of its own to the tokenizer.
+        cores = [c.rstrip(".,;:!?") for c in chunks]
+        cores = [k if k and k[-1].isalpha() else c for k, c in zip(cores, chunks)]
+        tails = [c[len(k) :] for k, c in zip(cores, chunks)]
+        words = dict.fromkeys([*cores, *tails])
+        out = {k: v for k in words if (v := self.table.new.get(k)) is not None}
+        if self.part_text:
+            for some in batches_of((w for w in words if w not in out and "<|" not in w), 2000):
+                ids = self.tok.encode(self.part_text.join(some), add_special_tokens=False).ids
+                raw, at = np.array(ids, "<u4").tobytes(), [4 * i for i, x in enumerate(ids) if x == self.parting]
+                out.update((w, raw[a:b]) for w, a, b in zip(some, [0, *(x + 4 for x in at)], [*at, len(raw)], strict=True))
+        out |= {w: self._alone(w) for w in words if w not in out}
+        return [out[k] + out[t] for k, t in zip(cores, tails)]
+
+    def _alone(self, chunk: str) -> bytes:
+        return np.array(self.tok.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """For each text its ids as little-endian unsigned 32-bit numbers."""
+        cut = [self._plain(t).replace("\n", " ").split(" ") for t in texts]
+        for found in self.table.look_up(cut):
+            yield b"".join(found)
+
+    def _plain(self, text: str) -> str:
+        if not self.lowers or "<|" in text:
+            return text
+        if text.isascii():
+            return text.lower()
+        return text if _COMBINING.search(text) else text.encode().lower().decode()  # bytes: ASCII alone
 
-    tok = Tokenizer.from_file(tokenizer_path)
 
-    def ids(chunk: str) -> bytes:
-        got = tok.encode(chunk, add_special_tokens=False).ids if chunk else []
-        return struct.pack(f"<{len(got)}I", *got)
-
-    return BoundedTable(ids)
+@lru_cache(maxsize=2)
+def word_table(tokenizer_path: str) -> WordTable:
+    """One table for each tokenizer and Python worker."""
+    return WordTable(tokenizer_path)
 
 
 def cut_pieces(
@@ -138,13 +184,13 @@ def cut_pieces(
     kinds = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, end = _word_table(tokenizer_path), struct.pack("<I", end_id)
+        words, end = word_table(tokenizer_path), struct.pack("<I", end_id)
         for batch in batches:
-            for part in range(0, batch.num_rows, 512):
-                some = batch.slice(part, 512)
+            for part in range(0, batch.num_rows, SLICE):
+                some = batch.slice(part, SLICE)
                 rows = []
-                for doc_id, text in zip(some.column(0).to_pylist(), some.column(1)):
-                    raw = b"".join([table[c] for c in text.as_py().replace("\n", " ").split(" ")]) + end
+                for doc_id, raw in zip(some.column(0).to_pylist(), words.encode(some.column(1).to_pylist())):
+                    raw += end
                     n = len(raw) // 4
                     for at in range(0, n, window):
                         piece = raw[4 * at : 4 * (at + window)]

@@ -21,12 +21,15 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from siftline.llm.common import BoundedTable, doc_texts
+from siftline.llm.common import BoundedTable, batches_of, doc_texts
 
 MARK = "▁"
+#: Documents that are cut into chunks at a time.
+SLICE = 256
 #: What ``encode`` can return, and the Spark type of each.
 OUTPUTS = {
     "n_tokens": "long", "ids": "array<int>", "ids_sha256": "string",
@@ -42,30 +45,38 @@ _CHUNK = re.compile(" +[^ ]*")
 class ChunkEncoder:
     """Whole-text encoder that segments each distinct chunk once."""
 
-    def __init__(self, model_path: str, table_limit: int = 1 << 17):
+    def __init__(self, model_path: str, table_limit: int = 250_000):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=model_path)
-        pieces = map(self.model.id_to_piece, range(self.model.get_piece_size()))
+        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces):
             raise ValueError("a piece of this model crosses a whitespace marker")
         if self.model.encode("a") == self.model.encode(" a"):
             raise ValueError("this model strips whitespace; chunks would not join back")
+        self.marked = np.array([p.startswith(MARK) for p in pieces])
+        self.decimal = [f"{i} " for i in range(len(pieces))]
+        self.lone_mark = self.model.piece_to_id(MARK)
         self.table = BoundedTable(self._segment, table_limit)
-        self.lone_mark = (self.model.piece_to_id(MARK),)
 
-    def _segment(self, chunk: str) -> tuple[tuple[int, ...], str]:
-        # encode() puts a marker in front, so the chunk's first one is left out.
-        ids = self.lone_mark if chunk == " " else tuple(self.model.encode(chunk[1:]))
-        return ids, "".join(f"{i} " for i in ids)
+    def _segment(self, chunks: list[str]) -> list[tuple[list[int], str]]:
+        """Ids of each chunk. Chunks with one marker are encoded many at a
+        time and told apart by the pieces that begin with it."""
+        out: dict[str, list[int]] = {c: self._alone(c) for c in chunks if c.startswith("  ") or c == " "}
+        for some in batches_of((c for c in chunks if c not in out), 1000):
+            ids = self.model.encode("".join(some)[1:])  # encode() puts the first marker in front
+            starts = np.flatnonzero(self.marked[ids]).tolist()
+            out.update((c, ids[a:b]) for c, a, b in zip(some, starts, [*starts[1:], len(ids)], strict=True))
+        return [(out[c], "".join([self.decimal[i] for i in out[c]])) for c in chunks]
 
-    def chunks(self, text: str) -> list[str]:
-        return _CHUNK.findall(" " + text.replace(MARK, " ")) if text else []
+    def _alone(self, chunk: str) -> list[int]:
+        return [self.lone_mark] if chunk == " " else self.model.encode(chunk[1:])
 
-    def encode(self, text: str) -> tuple[list[int], str]:
-        """Ids, and the same ids in decimal with a space after each."""
-        met = [self.table[c] for c in self.chunks(text)]
-        return list(chain.from_iterable([m[0] for m in met])), "".join([m[1] for m in met])
+    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], str]]:
+        """For each text its ids, and the same in decimal, a space after each."""
+        cut = [_CHUNK.findall(" " + t.replace(MARK, " ")) if t else [] for t in texts]
+        for met in self.table.look_up(cut):
+            yield list(chain.from_iterable([m[0] for m in met])), "".join([m[1] for m in met])
 
 
 @lru_cache(maxsize=2)
@@ -91,8 +102,7 @@ def encode(
     kinds = pa.schema([("doc_id", pa.int64()), *((c, _ARROW[c]) for c in outputs)])
     decode = any(c.startswith("decoded") for c in outputs)
 
-    def one(enc: ChunkEncoder, text: str) -> dict:
-        ids, decimal = enc.encode(text)
+    def finish(enc: ChunkEncoder, ids: list[int], decimal: str) -> dict:
         if end_id is not None:
             ids.append(end_id)
             decimal += f"{end_id} "
@@ -107,9 +117,9 @@ def encode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = chunk_encoder(model_path)
         for batch in batches:
-            for part in range(0, batch.num_rows, 512):
-                some = batch.slice(part, 512)
-                rows = [one(enc, t.as_py()) for t in some.column(1)]
+            for part in range(0, batch.num_rows, SLICE):
+                some = batch.slice(part, SLICE)
+                rows = [finish(enc, *got) for got in enc.encode(some.column(1).to_pylist())]
                 cols = [some.column(0), *(pa.array([r[c] for r in rows], _ARROW[c]) for c in outputs)]
                 yield pa.RecordBatch.from_arrays(cols, schema=kinds)
 
