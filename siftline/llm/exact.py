@@ -8,8 +8,10 @@ number of levels is the logarithm of the longest text.
 
 Splitting counts digits with partial aggregation, so a group that holds a
 third of all rows costs each task one row. Only digits that occur more than
-once are written, and documents without one of them are settled. That table is
-broadcast if its files are small, else joined by a shuffle with salted keys.
+once are written, and documents without one of them are settled. Documents meet
+that table in a shuffle whose keys are salted. It is never broadcast, so a
+larger corpus runs the same plan; each level moves what is left of the texts
+that still have a partner, once.
 """
 
 from __future__ import annotations
@@ -19,13 +21,14 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import ascii_lower, broadcast_if_small, doc_texts, drop_scratch, scratch_table
+from siftline.llm.common import ascii_lower, doc_texts, drop_scratch, scratch_table
 
-SALTS = 16
+#: A group of equal digits is dealt to so many keys.
+SALTS = 4
 
 
 def exact_groups(
-    docs: DataFrame, digit_bytes: int = 64, widen: int = 16,
+    docs: DataFrame, digit_bytes: int = 256, widen: int = 16,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept,
@@ -59,27 +62,24 @@ def exact_groups(
 def _split(active: DataFrame, width: int) -> DataFrame:
     """Split groups by the next ``width`` bytes. A row's ``rest`` is null once
     its group is settled."""
-    keyed = active.withColumns({
-        "digit": F.substring("rest", 1, width), "more": F.length("rest") > width,
-    })
+    digit, more = F.substring("rest", 1, width).alias("digit"), (F.length("rest") > width).alias("more")
     shared = scratch_table(
-        keyed.groupBy("grp", "digit", "more").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep"))
+        active.select("grp", "doc_id", digit, more).groupBy("grp", "digit", "more")
+        .agg(F.count("*").alias("n"), F.max("doc_id").alias("keep"))
         .filter("n > 1").withColumn("next_grp", F.monotonically_increasing_id()),
         "radix-shared",
+    )
+    keyed = active.select(
+        "doc_id", "sha", "grp", digit, more, F.expr(f"substring(rest, {width + 1}, length(rest))").alias("left"),
+        F.pmod(F.hash("doc_id"), F.lit(SALTS)).alias("salt"),
     )
-    table, small = broadcast_if_small(shared)
-    on = ["grp", "digit", "more"]
-    if not small:
-        keyed = keyed.withColumn("salt", F.pmod(F.hash("doc_id", F.length("rest")), F.lit(SALTS)))
-        table = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        on = [*on, "salt"]
-    goes_on = F.col("n").isNotNull() & F.col("more")
-    out = keyed.join(table, on, "left").select(
+    salted = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
+    out = keyed.join(salted, ["grp", "digit", "more", "salt"], "left").select(
         "doc_id", "sha",
         F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep")).alias("keep_id"),
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
         F.col("next_grp").alias("grp"),
-        F.when(goes_on, F.expr(f"substring(rest, {width + 1}, length(rest))")).alias("rest"),
+        F.when(F.col("n").isNotNull() & F.col("more"), F.col("left")).alias("rest"),
     )
     level = scratch_table(out, "radix-level")
     drop_scratch(shared)

@@ -24,7 +24,7 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 def fit_noisy_or(
     words: np.ndarray, sentence: np.ndarray, doc_of: np.ndarray, label: np.ndarray, n_words: int,
-    rounds: int = 150, rate: float = 0.3, l1: float = 2.0, bias: float = -7.0,
+    rounds: int = 250, rate: float = 0.6, l1: float = 1.0, bias: float = -12.0,
 ) -> tuple[np.ndarray, float]:
     """Weights of a sentence scorer whose document score is the noisy-or of its
     sentences. ``words[i]`` stands in sentence ``sentence[i]``; sentence ``s``

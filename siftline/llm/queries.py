@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import chat, exact, packing, pieces, simhash
+from siftline.llm import chat, exact, packing, pieces, quality, simhash, toxicity
 
 
 def tokenizer_file(name: str) -> str:
@@ -29,6 +29,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(read(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.score_documents(docs, quality.train(docs))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -37,6 +42,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(read(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -57,8 +67,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
         "op2_exact_dedup": op2_exact_dedup,
+        "op4_quality": op4_quality,
         "op6_packing": op6_packing,
         "op8_simhash": op8_simhash,
+        "op9_toxicity": op9_toxicity,
         "op10_chat_format": op10_chat_format,
     }
 

@@ -2,17 +2,17 @@
 
 Only documents are labelled. A linear scorer gives each sentence a probability
 and a document's is the noisy-or of its sentences', so training on document
-labels finds the sentences that explain them. Features are a sentence's words;
-labels, language, source and ids are never inputs.
+labels finds the sentences that explain them. Features are a sentence's words and
+their beginnings; labels, language, source and ids are never inputs.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 from itertools import chain
-from math import expm1, log1p, exp
+from math import exp, expm1, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -25,38 +25,53 @@ from siftline.llm.linear import fit_noisy_or
 #: Bound of the training sample: about this many labelled documents a class.
 SAMPLE_DOCS = 2500
 #: A word has to stand in so many sampled documents to get a weight.
-MIN_DOCS = 4
+MIN_DOCS = 8
+#: Lengths of the word beginnings that are features too.
+STEMS = (4, 5, 6)
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"\w+")
 
 
-@dataclass(frozen=True)
+def _words(sentence: str) -> list[str]:
+    """A sentence's distinct words: repeating one says nothing more."""
+    return list(dict.fromkeys(_WORD.findall(sentence.lower())))
+
+
+def word_features(word: str) -> list[str]:
+    """A word and its beginnings, marked apart from whole words."""
+    return [word, *(word[:n] + "~" for n in STEMS if len(word) > n)]
+
+
 class ToxicityModel:
-    """Weights of words and the bias of a sentence."""
+    """Weights of features, and the bias of a sentence."""
+
+    def __init__(self, weights: dict[str, float], bias: float):
+        self.weights, self.bias = weights, bias
+        self._words = _WordWeights(weights)
 
-    weights: dict[str, float]
-    bias: float
+    def __reduce__(self):
+        return ToxicityModel, (self.weights, self.bias)
 
     def sentence(self, sentence: str) -> float:
         """-log of the chance that the sentence does not offend."""
-        return _softplus(self.bias + sum(map(self.weights.get, _WORD.findall(sentence.lower()), _ZEROS)))
+        return _softplus(self.bias + sum(map(self._words.__getitem__, _words(sentence))))
 
     def score(self, text: str) -> float:
-        sentences = _SENTENCE.findall(text)
-        if self.weights.keys().isdisjoint(_WORD.findall(text.lower())):
-            total = len(sentences) * _softplus(self.bias)
-        else:
-            total = sum(map(self.sentence, sentences))
-        return -expm1(-total)
+        return -expm1(-sum(map(self.sentence, _SENTENCE.findall(text))))
 
 
-class _Zeros:
-    def __iter__(self):
-        while True:
-            yield 0.0
+class _WordWeights(dict):
+    """The summed weight of each word met lately."""
 
+    def __init__(self, weights: dict[str, float]):
+        super().__init__()
+        self.weights = weights
 
-_ZEROS = _Zeros()
+    def __missing__(self, word: str) -> float:
+        if len(self) >= 400_000:
+            self.clear()
+        value = self[word] = sum(self.weights.get(f, 0.0) for f in word_features(word))
+        return value
 
 
 def _softplus(z: float) -> float:
@@ -90,21 +105,23 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, id
 def fit(texts: list[str], label: np.ndarray, min_docs: int = MIN_DOCS) -> ToxicityModel:
     if len(np.unique(label)) < 2:
         return ToxicityModel({}, -40.0)
-    cut = [[_WORD.findall(s.lower()) for s in _SENTENCE.findall(t)] for t in texts]
-    in_docs: dict[str, int] = {}
+    cut = [[_words(s) for s in _SENTENCE.findall(t)] for t in texts]
+    known = {w: word_features(w) for w in set(chain.from_iterable(chain.from_iterable(cut)))}
+    in_docs: Counter[str] = Counter()
     for sentences in cut:
-        for w in set(chain.from_iterable(sentences)):
-            in_docs[w] = in_docs.get(w, 0) + 1
-    vocabulary = {w: i for i, w in enumerate(sorted(w for w, n in in_docs.items() if n >= min_docs))}
-    words, sentence, doc_of = [], [], []
+        in_docs.update({f for w in set(chain.from_iterable(sentences)) for f in known[w]})
+    vocabulary = {f: i for i, f in enumerate(sorted(f for f, n in in_docs.items() if n >= min_docs))}
+    ids = {w: [vocabulary[f] for f in fs if f in vocabulary] for w, fs in known.items()}
+    features, sentence, doc_of = [], [], []
     for d, sentences in enumerate(cut):
         for s in sentences:
-            ids = [vocabulary[w] for w in s if w in vocabulary]
-            words.extend(ids)
-            sentence.extend([len(doc_of)] * len(ids))
+            got = list(chain.from_iterable([ids[w] for w in s]))
+            features.extend(got)
+            sentence.extend([len(doc_of)] * len(got))
             doc_of.append(d)
-    w, bias = fit_noisy_or(np.array(words, int), np.array(sentence, int), np.array(doc_of, int), label, len(vocabulary))
-    return ToxicityModel({k: float(w[i]) for k, i in vocabulary.items() if w[i]}, bias)
+    arrays = (np.array(features, int), np.array(sentence, int), np.array(doc_of, int))
+    w, bias = fit_noisy_or(*arrays, label, len(vocabulary))
+    return ToxicityModel({f: float(w[i]) for f, i in vocabulary.items() if w[i]}, bias)
 
 
 def score_column(text: Column, model: ToxicityModel) -> Column:
