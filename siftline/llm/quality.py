@@ -27,6 +27,8 @@ HASH_BITS = 18
 #: Bound of the scorer's training sample: about this many documents.
 SAMPLE_DOCS = 6000
 _RUNS = re.compile(r"([^\w\s.!?\-])\1\1")
+_ENDS = re.compile(r"[.!?](?:\s|$)")
+_LONE = ("|", "-", "*", "/", "=", "~", "#", "+", ">", "<", ":", "•", "·", "–", "—")
 _UPPER, _LETTER, _MARK = (np.zeros(256, bool) for _ in range(3))
 _UPPER[65:91] = True
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -49,6 +51,8 @@ class Facts:
     distinct: float
     word_length: float
     repeated_lines: float
+    lone_marks: float
+    ends: float
 
 
 def facts(text: str) -> Facts:
@@ -62,6 +66,7 @@ def facts(text: str) -> Facts:
         len(words), histogram[_UPPER].sum() / max(1, ascii_letters), letters, histogram[_MARK].sum() / max(1, letters),
         text.count("!!") / n, text.count("|") / n, len(_RUNS.findall(text)) / n,
         sum(map(eq, words, words[1:])) / n, len(set(words)) / n, letters / n, 1 - len(set(lines)) / max(1, len(lines)),
+        sum(map(words.count, _LONE)) / n, len(_ENDS.findall(text)) / n,
     )
 
 
@@ -69,17 +74,21 @@ def _two_sided(value: float, bad_over: float, good_under: float) -> int:
     return BAD if value > bad_over else GOOD if value < good_under else NOTHING
 
 
-#: The labellers. Each may abstain; several look at the same fault in other ways.
+#: The labellers. All abstain on texts too short to judge; several look at the
+#: same fault in other ways.
+SHORT_WORDS = 12
 LABELLERS: dict[str, Callable[[Facts], int]] = {
-    "shouting": lambda f: NOTHING if f.letters < 20 else _two_sided(f.upper, 0.5, 0.2),
-    "exclamations": lambda f: BAD if f.shouts > 0.15 else NOTHING,
-    "bars": lambda f: BAD if f.bars > 0.1 else NOTHING,
-    "symbol_runs": lambda f: BAD if f.runs > 0.1 else NOTHING,
-    "marks": lambda f: NOTHING if not f.letters else _two_sided(f.marks, 0.2, 0.1),
-    "stutter": lambda f: NOTHING if f.words < 8 else _two_sided(f.repeats, 0.3, 0.05),
+    "shouting": lambda f: _two_sided(f.upper, 0.5, 0.2),
+    "exclamations": lambda f: _two_sided(f.shouts, 0.15, 0.05),
+    "bars": lambda f: _two_sided(f.bars, 0.1, 0.02),
+    "lone_marks": lambda f: _two_sided(f.lone_marks, 0.1, 0.03),
+    "symbol_runs": lambda f: _two_sided(f.runs, 0.1, 0.02),
+    "marks": lambda f: _two_sided(f.marks, 0.2, 0.1),
+    "stutter": lambda f: _two_sided(f.repeats, 0.3, 0.05),
     "poor_words": lambda f: NOTHING if f.words < 30 else _two_sided(1 - f.distinct, 0.7, 0.45),
-    "word_length": lambda f: NOTHING if not f.words else GOOD if 3 <= f.word_length <= 8 else BAD if f.words >= 20 else NOTHING,
-    "repeated_lines": lambda f: BAD if f.repeated_lines > 0.6 else NOTHING,
+    "word_length": lambda f: GOOD if 3 <= f.word_length <= 8 else BAD,
+    "repeated_lines": lambda f: _two_sided(f.repeated_lines, 0.6, 0.3),
+    "sentence_ends": lambda f: NOTHING if f.words < 30 else _two_sided(-f.ends, -0.01, -0.03),
 }
 
 
@@ -87,7 +96,7 @@ def votes(text: str) -> int:
     """All votes as one number in base three."""
     known, code = facts(text), 0
     for vote in LABELLERS.values():
-        code = 3 * code + vote(known)
+        code = 3 * code + (vote(known) if known.words >= SHORT_WORDS else NOTHING)
     return code
 
 
@@ -122,8 +131,8 @@ def fit_labels(counts: dict[int, int], rounds: int = 200) -> WeakLabels:
     k = len(LABELLERS)
     codes, n = np.array(sorted(counts)), np.array([counts[c] for c in sorted(counts)], float)
     one_hot = np.eye(3)[_digits(codes)] if len(codes) else np.zeros((0, k, 3))
-    # Smoothing stands for a few thousandths of the documents and tells which class is which.
-    smooth = {1: np.tile([0.5, 0.48, 0.02], (k, 1)), 0: np.tile([0.5, 0.2, 0.3], (k, 1))}
+    # Smoothing stands for a few thousandths of the documents and tells which class is which. To abstain says nothing.
+    smooth = {1: np.tile([1.0, 0.96, 0.04], (k, 1)), 0: np.tile([1.0, 0.6, 0.4], (k, 1))}
     table, good = {c: s.copy() for c, s in smooth.items()}, 0.8
     size = max(1.0, 0.002 * n.sum())
     for _ in range(rounds):
@@ -131,7 +140,8 @@ def fit_labels(counts: dict[int, int], rounds: int = 200) -> WeakLabels:
         p = labels.posterior(codes) if len(codes) else np.zeros(0)
         for c, q in ((1, p), (0, 1 - p)):
             seen = np.einsum("i,ikv->kv", n * q, one_hot) + size * smooth[c]
-            table[c] = seen / seen.sum(1, keepdims=True)
+            seen[:, NOTHING] = seen[:, GOOD] + seen[:, BAD]
+            table[c] = seen / seen[:, [NOTHING]]
         was, good = good, float(np.clip(((n * p).sum() + size) / (n.sum() + 2 * size), 1e-3, 1 - 1e-3))
         if abs(good - was) < 1e-9:
             break
@@ -161,7 +171,7 @@ def _hashed(name: str) -> int:
 
 
 _SHAPES = _Features()
-_STUTTER, _POOR, _LENGTH = (_hashed(f"f:{x}") for x in ("stutter", "poor", "length"))
+_STUTTER, _POOR, _EMPTY = (_hashed(f"f:{x}") for x in ("stutter", "poor", "empty"))
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -170,10 +180,10 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     words = text.split()
     n = len(words)
     if not n:
-        return np.array([_LENGTH]), np.array([1.0])
+        return np.array([_EMPTY]), np.array([1.0])
     ids, count = np.unique(np.fromiter(map(_SHAPES.__getitem__, words), np.int64, n), return_counts=True)
-    extra = [sum(map(eq, words, words[1:])) / n, max(0.0, 1 - len(set(words)) / n - 0.4), 1 / (1 + n)]
-    return np.concatenate([ids, [_STUTTER, _POOR, _LENGTH]]), np.concatenate([count / n, extra])
+    extra = [sum(map(eq, words, words[1:])) / n, max(0.0, 1 - len(set(words)) / n - 0.4)]
+    return np.concatenate([ids, [_STUTTER, _POOR]]), np.concatenate([count / n, extra])
 
 
 @dataclass(frozen=True)

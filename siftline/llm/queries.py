@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import chat, exact, packing, pieces, quality, simhash, toxicity
+from siftline.llm import chat, exact, licenses, packing, pieces, quality, simhash, toxicity, urls
 
 
 def tokenizer_file(name: str) -> str:
@@ -34,6 +34,20 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, quality.train(docs))
 
 
+URL_RULES = (
+    urls.Rule("com", "/en/", "block"), urls.Rule("example.com", "/en/7", "allow"), urls.Rule("net", "/de/", "allow"),
+    urls.Rule("example.net", "/de/8", "block"), urls.Rule("org", "/es/", "block"),
+)
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels"), URL_RULES)
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"), licenses.known_digests(spark))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -68,7 +82,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sentencepiece": op1_sentencepiece,
         "op2_exact_dedup": op2_exact_dedup,
         "op4_quality": op4_quality,
+        "op5_url_filter": op5_url_filter,
         "op6_packing": op6_packing,
+        "op7_license_scan": op7_license_scan,
         "op8_simhash": op8_simhash,
         "op9_toxicity": op9_toxicity,
         "op10_chat_format": op10_chat_format,
@@ -104,5 +120,37 @@ FROM c GROUP BY conv_id
 """
 
 
+def _canonical(text: str) -> str:
+    out = f"lower({text})"
+    for pattern, new in licenses.SPELLINGS:
+        pattern = pattern.replace("\n", "\\n").replace("\t", "\\t")
+        out = f"regexp_replace({out}, '{pattern}', '{new.replace('$', chr(92))}', 'g')"
+    return f"trim({out})"
+
+
+def _known_rows() -> str:
+    quoted = lambda s: s.replace("'", "''")
+    return ", ".join(f"('{k}', '{quoted(t)}')" for k, t in licenses.KNOWN_TEXTS)
+
+
+OP7_SQL = f"""
+WITH known AS (
+  SELECT DISTINCT license_id, sha256({_canonical('t')}) AS h FROM (VALUES {_known_rows()}) v(license_id, t)
+), d AS (
+  SELECT doc_id, sha256({_canonical("coalesce(text, '')")}) AS digest, coalesce(text, '') AS t FROM documents
+), e AS (
+  SELECT doc_id, digest, digest AS h, true AS whole FROM d
+  UNION ALL
+  SELECT doc_id, digest, sha256({_canonical('line')}), false
+  FROM (SELECT doc_id, digest, unnest(string_split(t, chr(10))) AS line FROM d)
+  WHERE regexp_matches(lower(line), '{licenses.ANCHOR}')
+)
+SELECT doc_id, digest, max(CASE WHEN whole THEN license_id END) AS whole_license,
+  coalesce(string_agg(DISTINCT license_id, ',' ORDER BY license_id), '') AS licenses,
+  count(license_id) FILTER (WHERE NOT whole) AS matched_lines
+FROM e LEFT JOIN known USING (h) GROUP BY doc_id, digest
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op10_chat_format": OP10_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op7_license_scan": OP7_SQL, "op10_chat_format": OP10_SQL}
