@@ -2,10 +2,369 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from siftline.functions import dictionaries as d
+from siftline.functions import dims
+from siftline.functions import text as t
+from siftline.operators import lines, profiles, reports, scoring, sections, skills
+from siftline.plans import oracles as o
+from siftline.plans.inputs import jobs, resumes, table
+from siftline.sources import documents as src
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+#: Candidates that a ranking keeps for each job.
+TOP = 10
+
+
+def register(name: str, sql: str | None):
+    """Register a query and the SELECT over ``oracles.TABLES`` that gives its rows."""
+
+    def add(query: Query) -> Query:
+        _QUERIES[name] = query
+        if sql:
+            _SQL[name] = o.chain(sql)
+        return query
+
+    return add
+
+
+def on(source: Callable[[SparkSession, str], DataFrame]):
+    """A query that is one function of one input table."""
+
+    def wrap(f: Callable[[DataFrame], DataFrame]) -> Query:
+        @wraps(f)
+        def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(source(spark, sf_dir))
+
+        return query
+
+    return wrap
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return src.text_table(table(spark, sf_dir, "documents"))
+
+
+def talks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", t.filled(F.col("text")).alias("text"))
+
+
+def resume_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.clean_lines(resumes(spark, sf_dir))
+
+
+def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.clean_lines(docs(spark, sf_dir))
+
+
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sections.split_blocks(resumes(spark, sf_dir))
+
+
+def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sections.classify_blocks(blocks(spark, sf_dir))
+
+
+def segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sections.segment_sections(classified(spark, sf_dir))
+
+
+def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return skills.match_skills(skills.section_texts(segmented(spark, sf_dir)))
+
+
+def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return skills.extract_from_sections(segmented(spark, sf_dir))
+
+
+def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles.parse_resume(resumes(spark, sf_dir))
+
+
+def unified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return skills.merge_profile_skills(extracted(spark, sf_dir), parsed(spark, sf_dir))
+
+
+def replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return skills.replace_profile_skills(parsed(spark, sf_dir), unified(spark, sf_dir))
+
+
+def requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles.parse_job(jobs(spark, sf_dir))
+
+
+def shown(df: DataFrame, *names: str) -> DataFrame:
+    """Arrays joined by a bar, so that every engine prints them alike."""
+    return df.withColumns({n: F.array_join(n, " | ") for n in names})
+
+
+def bar(x: str, name: str) -> str:
+    return f"coalesce(array_to_string({x}, ' | '), '') AS {name}"
+
+
+# Sources and sinks
+register("src_resume_text", "SELECT doc_id, coalesce(text, '') AS text FROM documents")(docs)
+register("src_job_text", "SELECT job_id, text FROM jobs")(jobs)
+
+
+@register("src_reject_format", r"SELECT page_id, lower(regexp_extract(coalesce(url, ''), '\.([^./\\]+)$', 1)) AS suffix, lower(regexp_extract(coalesce(url, ''), '\.([^./\\]+)$', 1)) = 'html' AS accepted FROM pages")
+def src_reject_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return src.with_suffix(table(spark, sf_dir, "pages"), "url", ("html",)).select("page_id", "suffix", "accepted")
+
+
+REPORT = f"SELECT candidate_id, job_id, overall_score, skill_score, experience_score, education_score, total_experience_years, {bar('matched_skills', 'matched_skills')}, {bar('missing_skills', 'missing_skills')} FROM report"
+
+
+@register("sink_report", f"SELECT job_id, count(*) AS n, round(sum(overall_score), 2) AS total FROM ({REPORT}) GROUP BY job_id")
+def sink_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the report by job, read it back and sum it up."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    path = f"{base}/siftline-report-{uuid.uuid4().hex}"
+    src.write_report(scoring.score_report(replaced(spark, sf_dir), requirements(spark, sf_dir)), path, "job_id")
+    back = spark.read.parquet(path).withColumn("job_id", F.col("job_id").cast("long"))
+    return back.groupBy("job_id").agg(F.count("*").alias("n"), F.round(F.sum("overall_score"), 2).alias("total"))
+
+
+# Lines and text
+_LOW = o.strip("lower(s)")
+register("clean_lines", "SELECT doc_id, cast(line_no AS INTEGER) AS line_no, line FROM dlines")(document_lines)
+register("full_text", "SELECT doc_id, coalesce(array_to_string(l, ' '), '') AS full_text FROM dl")(on(docs)(lines.full_text))
+register("norm_heading", f"SELECT doc_id, line_no, {o.norm_heading('line')} AS heading FROM (SELECT doc_id, cast(line_no AS INTEGER) AS line_no, line FROM dlines)")(
+    on(document_lines)(lambda df: df.select("doc_id", "line_no", t.norm_heading(F.col("line")).alias("heading")))
+)
+register("norm_skill", f"SELECT doc_id, {o.norm_skill('text')} AS skill_text FROM documents")(
+    on(docs)(lambda df: df.select("doc_id", t.norm_skill(F.col("text")).alias("skill_text")))
+)
+register("tokenize", f"SELECT doc_id, len({o.tokens('text')}) AS n_tokens, coalesce(array_to_string({o.tokens('text')}, ' '), '') AS tokens FROM documents")(
+    on(docs)(lambda df: df.select("doc_id", F.size(t.tokens(F.col("text"))).cast("long").alias("n_tokens"), F.array_join(t.tokens(F.col("text")), " ").alias("tokens")))
+)
+register("norm_compare_skill", f"SELECT doc_id, {bar(f'list_transform(skills, lambda s: {_LOW})', 'skills')} FROM profile")(
+    on(parsed)(lambda df: shown(df.select("doc_id", t.norm_compare(F.col("skills")).alias("skills")), "skills"))
+)
+register("strip_bullet", f"SELECT job_id, cast(line_no AS INTEGER) AS line_no, {o.strip('''ltrim(line, '- ')''')} AS line FROM jlines")(
+    on(lambda s, p: lines.clean_lines(jobs(s, p), "job_id"))(lambda df: df.withColumn("line", t.strip_bullet(F.col("line"))))
+)
+register("block_preview", "SELECT doc_id, block_id, substring(text, 1, 300) AS short, substring(text, 1, 500) AS longer FROM blocks")(
+    on(blocks)(lambda df: df.select("doc_id", "block_id", t.preview(F.col("text"), 300).alias("short"), t.preview(F.col("text"), 500).alias("longer")))
+)
+
+# Filters and predicates
+register("has_personal_info", f"SELECT doc_id, {o.personal('text')} AS has FROM documents")(
+    on(docs)(lambda df: df.select("doc_id", t.has_personal_info(F.col("text")).alias("has")))
+)
+register("has_experience_date", f"SELECT conv_id, turn, {o.dated('text')} AS has FROM conversations UNION ALL SELECT doc_id, -1, {o.dated('text')} FROM resumes")(
+    lambda s, p: talks(s, p).unionByName(resumes(s, p).select(F.col("doc_id").alias("conv_id"), F.lit(-1).cast("long").alias("turn"), "text"))
+    .select("conv_id", "turn", t.has_experience_date(F.col("text")).alias("has"))
+)
+register("looks_like_heading", f"SELECT doc_id, cast(line_no AS INTEGER) AS line_no, {o.heading_like('line')} AS looks FROM rlines")(
+    on(resume_lines)(lambda df: df.select("doc_id", "line_no", t.looks_like_heading(F.col("line")).alias("looks")))
+)
+_TERMS = ("C++", "React", "the", "R")
+register("term_present", "SELECT doc_id, " + ", ".join(
+    f"regexp_matches(text, '(?i){t.EDGE_LEFT}{t.quote(w)}{t.EDGE_RIGHT}') AS term_{i}" for i, w in enumerate(_TERMS)) + " FROM resumes",
+)(on(resumes)(lambda df: df.select("doc_id", *(t.term_present(F.col("text"), w).alias(f"term_{i}") for i, w in enumerate(_TERMS)))))
+register("education_line", f"SELECT doc_id, cast(line_no AS INTEGER) AS line_no, line FROM rlines WHERE regexp_matches(lower(line), '{t.DEGREE_WORDS}')")(
+    on(resume_lines)(lambda df: df.filter(t.is_education_line(F.col("line"))))
+)
+register("bullet_line", "SELECT job_id, cast(line_no AS INTEGER) AS line_no, line FROM jlines WHERE starts_with(line, '-')")(
+    on(lambda s, p: lines.clean_lines(jobs(s, p), "job_id"))(lambda df: df.filter(t.is_bullet(F.col("line"))))
+)
+register("experience_met", "SELECT candidate_id, job_id, total_experience_years >= required_years AS met FROM report")(
+    lambda s, p: scoring.pair_candidates_jobs(scoring.candidate_facts(replaced(s, p)), scoring.job_facts(requirements(s, p)))
+    .select("candidate_id", "job_id", reports.experience_met(F.col("years"), F.col("required_years")).alias("met"))
+)
+register("validate_profile", "SELECT doc_id, true AS valid FROM profile")(
+    on(parsed)(lambda df: src.split_valid(df)[0].select("doc_id", F.lit(True).alias("valid")).unionByName(src.split_valid(df)[1].select("doc_id", F.lit(False).alias("valid"))))
+)
+register("validate_job", "SELECT job_id, true AS valid FROM job")(
+    on(requirements)(lambda df: src.split_valid(df)[0].select("job_id", F.lit(True).alias("valid")).unionByName(src.split_valid(df)[1].select("job_id", F.lit(False).alias("valid"))))
+)
+
+# Joins and dictionary lookups
+_LINE = "doc_id, cast(line_no AS INTEGER) AS line_no, line"
+register("heading_exact", f"SELECT {_LINE}, exact_section FROM found WHERE exact_section IS NOT NULL")(
+    on(resume_lines)(lambda df: sections.heading_exact(df).filter("exact_section IS NOT NULL").select("doc_id", "line_no", "line", "exact_section"))
+)
+register("heading_cleaned", f"SELECT {_LINE}, cleaned_section FROM found WHERE cleaned_section IS NOT NULL")(
+    on(resume_lines)(lambda df: sections.heading_cleaned(df).filter("cleaned_section IS NOT NULL").select("doc_id", "line_no", "line", "cleaned_section"))
+)
+register("heading_affix", f"SELECT {_LINE}, affix_section FROM found WHERE affix_section IS NOT NULL")(
+    on(resume_lines)(lambda df: sections.heading_affix(df).filter("affix_section IS NOT NULL").select("doc_id", "line_no", "line", "affix_section"))
+)
+register("detect_heading", f"SELECT {_LINE}, heading_section, cast(heading_confidence AS DOUBLE) AS heading_confidence FROM headed")(on(resume_lines)(sections.detect_heading))
+# Dictionary tables take part with what of them the corpus uses.
+register("alias_dim", "SELECT alias_norm, section, alias_ord, (SELECT count(*) FROM normed WHERE norm = alias_norm) AS n_lines FROM alias")(
+    lambda s, p: dims.section_alias(s).join(resume_lines(s, p).select(t.norm_heading(F.col("line")).alias("alias_norm")).groupBy("alias_norm").agg(F.count("*").alias("n_lines")), "alias_norm", "left")
+    .select("alias_norm", "section", "alias_ord", F.coalesce("n_lines", F.lit(0)).alias("n_lines"))
+)
+register("skill_dim", f"SELECT term, lookup.canonical, (SELECT count(*) FROM (SELECT unnest(skills) AS s FROM profile) WHERE {o.norm_skill('s')} = term) AS n_named FROM lookup")(
+    lambda s, p: dims.skill_dim(s).join(parsed(s, p).select(F.explode("skills").alias("s")).groupBy(t.norm_skill(F.col("s")).alias("term")).agg(F.count("*").alias("n_named")), "term", "left")
+    .select("term", "canonical", F.coalesce("n_named", F.lit(0)).alias("n_named"))
+)
+register("skill_terms", "SELECT terms.term, n_chars, (SELECT count(*) FROM met WHERE met.term = terms.term) AS n_mentions FROM terms")(
+    lambda s, p: dims.skill_terms(s).join(_term_counts(s, p), "term", "left").select("term", "n_chars", F.coalesce("n_mentions", F.lit(0)).alias("n_mentions"))
+)
+
+
+def _term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mentions of each term: one term at most gives a canonical by each kind of evidence, so terms are counted one by one."""
+    texts = skills.section_texts(segmented(spark, sf_dir))
+    return skills.match_terms(texts).groupBy("term").agg(F.count("*").alias("n_mentions"))
+
+
+register("skill_category", "SELECT doc_id, skill, coalesce(category, 'other') AS category FROM (SELECT doc_id, unnest(skills) AS skill FROM profile) LEFT JOIN master ON skill = canonical")(
+    on(parsed)(lambda df: dims.skill_category(df.select("doc_id", F.explode("skills").alias("skill")), "skill"))
+)
+_MENTION = "doc_id, name, canonical, category, confidence, source, section"
+register("match_skills", f"SELECT {_MENTION} FROM mentions")(on(mentions)(lambda df: df.select(*_MENTION.split(", "))))
+register("expand_stack", "SELECT doc_id, m.canonical AS canonical, section, string_agg(component, ' | ' ORDER BY pos) AS derived_skills FROM mentions m JOIN stacks s ON m.canonical = s.stack GROUP BY ALL")(
+    on(mentions)(lambda df: shown(df.filter("source = 'skill_stack'").select("doc_id", "canonical", "section", "derived_skills"), "derived_skills"))
+)
+register("merge_stack_components", f"SELECT {_MENTION} FROM expanded")(on(mentions)(lambda df: skills.merge_stack_components(df).select(*_MENTION.split(", "))))
+register("detect_known_skills", f"SELECT doc_id, {bar('detected', 'detected')} FROM profiles")(
+    on(resumes)(lambda df: shown(lines.full_text(df).select("doc_id", profiles.detect_known_skills(F.col("full_text")).alias("detected")), "detected"))
+)
+register("detect_required_skills", f"SELECT job_id, {bar('required_skills', 'required')} FROM jparsed")(
+    on(jobs)(lambda df: shown(df.select("job_id", profiles.detect_required_skills(F.col("text")).alias("required")), "required"))
+)
+register("merge_profile_skills", f"SELECT {_MENTION} FROM unified")(lambda s, p: unified(s, p).select(*_MENTION.split(", ")))
+register("matched_skills", f"SELECT candidate_id, job_id, {bar('matched_skills', 'skills')} FROM pairs")(
+    lambda s, p: _pairs(s, p).select("candidate_id", "job_id", F.array_join(scoring.matched_skills(F.col("required_skills"), F.col("have")), " | ").alias("skills"))
+)
+register("missing_skills", f"SELECT candidate_id, job_id, {bar('missing_skills', 'skills')} FROM pairs")(
+    lambda s, p: _pairs(s, p).select("candidate_id", "job_id", F.array_join(scoring.missing_skills(F.col("required_skills"), F.col("have")), " | ").alias("skills"))
+)
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.pair_candidates_jobs(scoring.candidate_facts(replaced(spark, sf_dir)), scoring.job_facts(requirements(spark, sf_dir)))
+
+
+register("pair_candidates_jobs", "SELECT candidate_id, job_id, cast(years AS DOUBLE) AS years, required_years FROM pairs")(lambda s, p: _pairs(s, p).select("candidate_id", "job_id", "years", "required_years"))
+
+# Aggregations
+register("content_scores", "SELECT doc_id, block_id, section, score FROM points")(on(blocks)(lambda df: sections.content_scores(df, ["doc_id", "block_id"])))
+register("classify_content", "SELECT doc_id, block_id, coalesce(content_section, 'other') AS section, cast(sure AS DOUBLE) AS confidence FROM judged")(
+    on(blocks)(lambda df: df.select("doc_id", "block_id", *(c.alias(n) for c, n in zip(sections.classify_content(F.col("text")), ("section", "confidence")))))
+)
+register("segment_sections", "SELECT doc_id, section, seq, content FROM sections")(segmented)
+register("section_summary", f"SELECT r.doc_id, s.section, (SELECT count(*) FROM sections x WHERE x.doc_id = r.doc_id AND x.section = s.section) AS n_blocks FROM resumes r, {o.values([(s,) for s in d.SECTIONS])} s(section)")(
+    lambda s, p: sections.section_summary(segmented(s, p), resumes(s, p))
+)
+register("sections_detected", "SELECT doc_id, count(DISTINCT section) AS sections_detected FROM sections GROUP BY 1")(on(segmented)(sections.sections_detected))
+register("blocks_classified", "SELECT doc_id, count(*) AS blocks_classified FROM classified GROUP BY 1")(on(classified)(sections.blocks_classified))
+register("method_breakdown", "SELECT section, method, count(*) AS n_blocks, round(avg(confidence), 6) AS avg_confidence FROM classified GROUP BY 1, 2")(on(classified)(sections.method_breakdown))
+register("skill_total", "SELECT doc_id, count(*) AS total_skills FROM unified GROUP BY 1")(on(unified)(skills.skill_total))
+register("source_breakdown", "SELECT source, count(*) AS n_skills FROM unified GROUP BY 1")(on(unified)(skills.source_breakdown))
+register("skill_summary", "SELECT category, source, section, count(*) AS n_skills, round(avg(confidence), 6) AS avg_confidence FROM unified GROUP BY 1, 2, 3")(on(unified)(skills.skill_summary))
+register("distinct_ordered", f"SELECT doc_id, {bar('skills', 'skills')} FROM profile")(on(parsed)(lambda df: shown(df.select("doc_id", "skills"), "skills")))
+register("skill_score", "SELECT candidate_id, job_id, skill_score FROM report")(lambda s, p: _report(s, p).select("candidate_id", "job_id", "skill_score"))
+register("experience_months", f"SELECT doc_id, {o.months(o.ranges('experience'))} AS months FROM profile")(
+    on(parsed)(lambda df: df.select("doc_id", t.experience_months(t.experience_ranges(F.col("experience"))).alias("months")))
+)
+register("experience_years", "SELECT candidate_id, cast(years AS DOUBLE) AS years FROM cand2")(lambda s, p: scoring.candidate_facts(replaced(s, p)).select("candidate_id", "years"))
+register("overall_score", "SELECT candidate_id, job_id, overall_score FROM report")(lambda s, p: _report(s, p).select("candidate_id", "job_id", "overall_score"))
+register("score_report", REPORT)(lambda s, p: shown(_report(s, p), "matched_skills", "missing_skills"))
+
+
+def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score_report(replaced(spark, sf_dir), requirements(spark, sf_dir))
+
+
+@register("screening_summary", (
+    "SELECT candidate_id, job_id, overall_score, skill_score, experience_score, education_score, total_experience_years, "
+    "total_experience_years >= required_years AS experience_met, len(matched_skills) AS n_matched, len(need) AS n_required, "
+    "coalesce(array_to_string(missing_skills, ', '), '') AS missing, coalesce(s.n, 0) AS sections_detected, coalesce(b.n, 0) AS blocks_classified, "
+    "coalesce(u.n, 0) AS total_skills FROM report LEFT JOIN (SELECT doc_id, count(DISTINCT section) AS n FROM sections GROUP BY 1) s ON s.doc_id = candidate_id "
+    "LEFT JOIN (SELECT doc_id, count(*) AS n FROM classified GROUP BY 1) b ON b.doc_id = candidate_id "
+    "LEFT JOIN (SELECT doc_id, count(*) AS n FROM unified GROUP BY 1) u ON u.doc_id = candidate_id"
+))
+def screening_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = classified(spark, sf_dir)
+    parts = sections.segment_sections(found)
+    profile = parsed(spark, sf_dir)
+    merged = skills.merge_profile_skills(skills.extract_from_sections(parts), profile)
+    return reports.screening_summary(
+        skills.replace_profile_skills(profile, merged), requirements(spark, sf_dir), sections.sections_detected(parts), sections.blocks_classified(found), skills.skill_total(merged)
+    )
+
+
+# Windows and ordered sequences
+register("split_blocks", "SELECT doc_id, block_id, first_line, text, n_lines FROM blocks")(on(blocks)(lambda df: df.select("doc_id", "block_id", "first_line", "text", "n_lines")))
+register("classify_blocks", "SELECT doc_id, block_id, text, section, method, confidence FROM classified")(
+    on(classified)(lambda df: df.select("doc_id", "block_id", "text", "section", "method", "confidence"))
+)
+register("context_carry", "SELECT doc_id, block_id, coalesce(last_value(CASE WHEN confidence >= 0.6 AND method <> 'context' THEN section END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY block_id), 'other') AS current_section FROM classified")(
+    on(classified)(lambda df: sections.context_carry(df).select("doc_id", "block_id", "current_section"))
+)
+register("resume_heading_positions", "SELECT doc_id, " + ", ".join(f"{k}_line" for k in profiles.HEADINGS) + " FROM places")(on(resumes)(profiles.heading_positions))
+for _name, _kind in (("resume_skills_span", "skills"), ("resume_certifications", "certifications"), ("resume_education", "education"), ("resume_experience", "work"), ("resume_languages", "languages")):
+    register(_name, f"SELECT doc_id, {bar(o.span(_kind, profiles.STOPS[_kind]), 'lines')} FROM places")(
+        on(resumes)(lambda df, kind=_kind: shown(profiles.span(df, kind), "lines"))
+    )
+register("resume_name", "SELECT doc_id, name FROM profiles")(on(resumes)(lambda df: df.select("doc_id", profiles.first_line(t.split_lines(F.col("text"))).alias("name"))))
+register("job_role", "SELECT job_id, role FROM jparsed")(on(jobs)(lambda df: df.select("job_id", profiles.first_line(t.split_lines(F.col("text"))).alias("role"))))
+register("parse_resume", f"SELECT doc_id, name, {bar('skills', 'skills')}, coalesce(experience, '') AS experience, coalesce(education, '') AS education, {bar('certifications', 'certifications')}, {bar('languages', 'languages')} FROM profile")(
+    on(parsed)(lambda df: shown(df, "skills", "certifications", "languages"))
+)
+register("job_experience", "SELECT job_id, experience FROM jparsed")(on(requirements)(lambda df: df.select("job_id", "experience")))
+register("job_education", "SELECT job_id, education FROM jparsed")(on(requirements)(lambda df: df.select("job_id", "education")))
+register("job_responsibilities", f"SELECT job_id, {bar('responsibilities', 'responsibilities')} FROM job")(on(requirements)(lambda df: shown(df.select("job_id", "responsibilities"), "responsibilities")))
+register("parse_job", f"SELECT job_id, role, {bar('required_skills', 'required_skills')}, experience, education, {bar('responsibilities', 'responsibilities')} FROM job")(
+    on(requirements)(lambda df: shown(df, "required_skills", "responsibilities"))
+)
+register("dedup_skills", f"SELECT {_MENTION} FROM extracted")(on(mentions)(lambda df: skills.dedup_skills(skills.merge_stack_components(df)).select(*_MENTION.split(", "))))
+register("extract_skills", f"SELECT {_MENTION} FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, section, canonical ORDER BY confidence DESC, seq_ord, source) AS nth FROM expanded) WHERE nth = 1")(
+    lambda s, p: skills.extract_skills(skills.section_texts(segmented(s, p))).select(*_MENTION.split(", "))
+)
+register("extract_from_sections", f"SELECT {_MENTION} FROM extracted")(lambda s, p: extracted(s, p).select(*_MENTION.split(", ")))
+register("rank_candidates", f"SELECT job_id, cast(nth AS INTEGER) AS nth, candidate_id, overall_score FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY overall_score DESC, candidate_id) AS nth FROM report) WHERE nth <= {TOP}")(
+    lambda s, p: scoring.rank_candidates(replaced(s, p), requirements(s, p), TOP)
+)
+
+# Sorts
+register("sort_skills", "SELECT doc_id, canonical, cast(row_number() OVER (PARTITION BY doc_id ORDER BY lower(canonical), canonical) AS INTEGER) AS nth FROM unified")(
+    on(unified)(lambda df: skills.sort_skills(df).select("doc_id", "canonical", "nth"))
+)
+register("sort_sources", "SELECT source, count(*) AS n_skills FROM unified GROUP BY 1")(on(unified)(skills.source_breakdown))
+
+# Set operations
+register("concat_skills", f"SELECT doc_id, {bar('list_concat(own, detected)', 'skills')} FROM profiles")(
+    lambda s, p: shown(profiles.span(resumes(s, p), "skills").join(lines.full_text(resumes(s, p)), "doc_id").select("doc_id", F.concat("lines", profiles.detect_known_skills(F.col("full_text"))).alias("skills")), "skills")
+)
+register("union_sections", f"SELECT {_MENTION} FROM expanded")(on(mentions)(lambda df: skills.merge_stack_components(df).select(*_MENTION.split(", "))))
+register("compare_skills", "SELECT coalesce(b.doc_id, a.doc_id) AS doc_id, coalesce(b.skill, a.canonical) AS skill, CASE WHEN b.skill IS NULL THEN 'added' WHEN a.canonical IS NULL THEN 'dropped' ELSE 'kept' END AS status FROM (SELECT doc_id, unnest(skills) AS skill FROM profile) b FULL OUTER JOIN unified a ON a.doc_id = b.doc_id AND a.canonical = b.skill")(
+    lambda s, p: skills.compare_skills(parsed(s, p), unified(s, p))
+)
+register("replace_profile_skills", f"SELECT doc_id, name, {bar('skills', 'skills')} FROM replaced")(lambda s, p: shown(replaced(s, p).select("doc_id", "name", "skills"), "skills"))
+
+# Scalar functions
+register("extract_years", f"SELECT job_id, {o.years_of('text')} AS years FROM jobs")(on(jobs)(lambda df: df.select("job_id", t.extract_years(F.col("text")).alias("years"))))
+register("experience_ranges", f"SELECT doc_id, r.sy AS sy, r.sm AS sm, r.ey AS ey, r.em AS em FROM (SELECT doc_id, unnest({o.ranges('experience')}) AS r FROM profile)")(
+    on(parsed)(lambda df: df.select("doc_id", F.inline(t.experience_ranges(F.col("experience")))))
+)
+register("experience_score", "SELECT candidate_id, job_id, experience_score FROM report")(lambda s, p: _report(s, p).select("candidate_id", "job_id", "experience_score"))
+register("education_score", "SELECT candidate_id, job_id, education_score FROM report")(lambda s, p: _report(s, p).select("candidate_id", "job_id", "education_score"))
+register("skill_confidence", "SELECT doc_id, canonical, source, section, confidence FROM mentions")(on(mentions)(lambda df: df.select("doc_id", "canonical", "source", "section", "confidence")))
+_WIDE = ", ".join(f"coalesce(string_agg(content, ' | ' ORDER BY seq) FILTER (WHERE section = '{s}'), '') AS {s}" for s in d.SECTIONS)
+register("sections_map", f"SELECT doc_id, {_WIDE} FROM sections GROUP BY 1")(
+    on(segmented)(lambda df: sections.sections_map(df).select("doc_id", *(F.array_join(F.col("sections")[s], " | ").alias(s) for s in d.SECTIONS)))
+)
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
