@@ -9,9 +9,9 @@ their beginnings; labels, language, source and ids are never inputs.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 from math import exp, expm1, log1p
 
 import numpy as np
@@ -23,7 +23,7 @@ from siftline.llm.common import doc_texts
 from siftline.llm.linear import fit_noisy_or
 
 #: Bound of the training sample: about this many labelled documents a class.
-SAMPLE_DOCS = 2500
+SAMPLE_DOCS = 2000
 #: A word has to stand in so many sampled documents to get a weight.
 MIN_DOCS = 8
 #: Lengths of the word beginnings that are features too.
@@ -105,23 +105,30 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, id
 def fit(texts: list[str], label: np.ndarray, min_docs: int = MIN_DOCS) -> ToxicityModel:
     if len(np.unique(label)) < 2:
         return ToxicityModel({}, -40.0)
-    cut = [[_words(s) for s in _SENTENCE.findall(t)] for t in texts]
-    known = {w: word_features(w) for w in set(chain.from_iterable(chain.from_iterable(cut)))}
-    in_docs: Counter[str] = Counter()
-    for sentences in cut:
-        in_docs.update({f for w in set(chain.from_iterable(sentences)) for f in known[w]})
-    vocabulary = {f: i for i, f in enumerate(sorted(f for f, n in in_docs.items() if n >= min_docs))}
-    ids = {w: [vocabulary[f] for f in fs if f in vocabulary] for w, fs in known.items()}
-    features, sentence, doc_of = [], [], []
-    for d, sentences in enumerate(cut):
-        for s in sentences:
-            got = list(chain.from_iterable([ids[w] for w in s]))
-            features.extend(got)
-            sentence.extend([len(doc_of)] * len(got))
+    word_ids: dict[str, int] = {}
+    words, sentence, doc_of, in_docs = array("i"), array("i"), array("i"), Counter()
+    for d, text in enumerate(texts):
+        met: set[int] = set()
+        for s in _SENTENCE.findall(text):
+            ids = [word_ids.setdefault(w, len(word_ids)) for w in _words(s)]
+            words.extend(ids)
+            sentence.extend([len(doc_of)] * len(ids))
             doc_of.append(d)
-    arrays = (np.array(features, int), np.array(sentence, int), np.array(doc_of, int))
-    w, bias = fit_noisy_or(*arrays, label, len(vocabulary))
-    return ToxicityModel({f: float(w[i]) for f, i in vocabulary.items() if w[i]}, bias)
+            met.update(ids)
+        in_docs.update(met)
+    # How many documents hold a word of each feature, at most: enough to leave out rare ones.
+    count: Counter[str] = Counter()
+    for w, i in word_ids.items():
+        for f in word_features(w):
+            count[f] += in_docs[i]
+    vocabulary = {f: i for i, f in enumerate(sorted(f for f, n in count.items() if n >= min_docs))}
+    features = np.full((len(word_ids), 1 + len(STEMS)), len(vocabulary))
+    for w, i in word_ids.items():
+        got = [vocabulary[f] for f in word_features(w) if f in vocabulary]
+        features[i, : len(got)] = got
+    arrays = [np.frombuffer(a, np.intc) if len(a) else np.zeros(0, int) for a in (words, sentence, doc_of)]
+    weights, bias = fit_noisy_or(*arrays, label, features, len(vocabulary))
+    return ToxicityModel({f: float(weights[i]) for f, i in vocabulary.items() if weights[i]}, bias)
 
 
 def score_column(text: Column, model: ToxicityModel) -> Column:
