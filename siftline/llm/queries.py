@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import chat, exact, licenses, packing, pieces, quality, simhash, toxicity, urls
+from siftline.llm import chat, exact, licenses, media, packing, pieces, quality, simhash, toxicity, urls
 
 
 def tokenizer_file(name: str) -> str:
@@ -29,6 +29,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(read(spark, sf_dir, "documents"))
 
 
+def op3_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no images, so the media table is made from embeddings."""
+    return media.media_copies(media.pictures(read(spark, sf_dir, "embeddings")))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return quality.score_documents(docs, quality.train(docs))
@@ -81,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
         "op2_exact_dedup": op2_exact_dedup,
+        "op3_media_copies": op3_media_copies,
         "op4_quality": op4_quality,
         "op5_url_filter": op5_url_filter,
         "op6_packing": op6_packing,
