@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import re
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.functions import dictionaries as d
-from siftline.functions.text import norm_heading, norm_skill
 
 
 def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A literal table, planned as one local relation."""
-    names = [c.split()[0] for c in schema.split(", ")]
-    kinds = [c.split()[1] for c in schema.split(", ")]
-    items = [F.struct(*(F.lit(v).cast(k).alias(n) for v, n, k in zip(r, names, kinds))) for r in rows]
-    return spark.range(1).select(F.inline(F.array(*items)))
+    quote = lambda v: "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(v, str) else repr(v)
+    values = ", ".join("(" + ", ".join(map(quote, r)) + ")" for r in rows)
+    casts = [f"cast({c.split()[0]} as {c.split()[1]}) {c.split()[0]}" for c in schema.split(", ")]
+    names = ", ".join(c.split()[0] for c in schema.split(", "))
+    return spark.sql(f"SELECT {', '.join(casts)} FROM VALUES {values} t({names})")
 
 
 def section_dim(spark: SparkSession) -> DataFrame:
@@ -23,13 +25,11 @@ def section_dim(spark: SparkSession) -> DataFrame:
 
 def section_alias(spark: SparkSession) -> DataFrame:
     """alias_norm, section, alias_ord; the first place of an alias counts, its last section too."""
-    rows, n = [], 0
-    for section, aliases in d.SECTION_ALIASES.items():
-        for a in aliases:
-            rows.append((a, section, n))
-            n += 1
-    out = _table(spark, rows, "alias string, section string, alias_ord int").withColumn("alias_norm", norm_heading(F.col("alias")))
-    return out.groupBy("alias_norm").agg(F.max_by("section", "alias_ord").alias("section"), F.min("alias_ord").alias("alias_ord"))
+    rows: dict[str, tuple[str, int]] = {}
+    for n, (section, alias) in enumerate((s, a) for s, many in d.SECTION_ALIASES.items() for a in many):
+        key = " ".join(alias.replace("&", " and ").split())
+        rows[key] = (section, rows[key][1] if key in rows else n)
+    return _table(spark, [(k, s, n) for k, (s, n) in rows.items()], "alias_norm string, section string, alias_ord int")
 
 
 def content_keyword(spark: SparkSession) -> DataFrame:
@@ -58,20 +58,32 @@ def keyword_dim(spark: SparkSession, words: tuple[str, ...]) -> DataFrame:
     return _table(spark, [(w, i) for i, w in enumerate(words)], "keyword string, ord int")
 
 
+def term_of(name: str) -> str:
+    """A dictionary name as a search term: what ``norm_skill`` makes of it."""
+    return re.sub(r" ?([/+-]) ?", r"\1", " ".join(name.lower().replace("&", " and ").split()))
+
+
+def _lookup() -> dict[str, str]:
+    names = {term_of(s): s for many in d.MASTER_SKILLS.values() for s in many}
+    return names | {term_of(k): v for k, v in d.SYNONYMS.items()}
+
+
 def skill_dim(spark: SparkSession) -> DataFrame:
     """term, canonical: normalised names and synonyms; a synonym overrides a name."""
-    names = master_skills(spark).select(norm_skill(F.col("canonical")).alias("term"), "canonical", F.lit(0).alias("rank"))
-    others = synonyms(spark).select(norm_skill(F.col("synonym")).alias("term"), "canonical", F.lit(1).alias("rank"))
-    last = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("rank"), "canonical"))
-    return names.unionByName(others).withColumn("nth", last).filter("nth = 1").select("term", "canonical")
+    return _table(spark, list(_lookup().items()), "term string, canonical string")
 
 
 def skill_terms(spark: SparkSession) -> DataFrame:
-    """All distinct search terms with what each stands for: term, canonical
-    (null for a stack), stack (null otherwise), n_chars."""
-    stacks = skill_stacks(spark).select(norm_skill(F.col("stack")).alias("term"), "stack", "stack_ord").distinct()
-    out = skill_dim(spark).join(F.broadcast(stacks), "term", "full_outer")
-    return out.select("term", F.when(F.col("stack").isNull(), F.col("canonical")).alias("canonical"), "stack", "stack_ord", F.length("term").alias("n_chars"))
+    """All distinct search terms and what a mention of each says: term,
+    canonical, category, source (canonical, synonym or skill_stack), stack_ord,
+    derived_skills and
+    derived_categories (of a stack), n_chars."""
+    category = {s: c for c, many in d.MASTER_SKILLS.items() for s in many}
+    rows = {t: (t, c, category.get(c, "other"), "canonical" if t == term_of(c) else "synonym", -1, "", "") for t, c in _lookup().items()}
+    rows |= {term_of(s): (term_of(s), s, "stack", "skill_stack", i, "|".join(cs), "|".join(category.get(c, "other") for c in cs)) for i, (s, cs) in enumerate(d.SKILL_STACKS.items())}
+    out = _table(spark, list(rows.values()), "term string, canonical string, category string, source string, stack_ord int, parts string, kinds string")
+    parts = (F.when(F.col("parts") != "", F.split(c, r"\|")).alias(n) for c, n in (("parts", "derived_skills"), ("kinds", "derived_categories")))
+    return out.select("term", "canonical", "category", "source", "stack_ord", *parts, F.length("term").alias("n_chars"))
 
 
 def skill_category(skills: DataFrame, canonical: str = "canonical") -> DataFrame:

@@ -119,27 +119,34 @@ def content_scores(texts: DataFrame, keys: list[str], text_col: str = "text") ->
     return met.unionByName(longer).groupBy(*keys, "section").agg(F.sum("weight").cast("double").alias("score"))
 
 
-def classify_content(text: Column) -> tuple[Column, Column]:
-    """Section and confidence by content; ties go to the section declared first."""
-    best = F.array_max(_content_points(text))
-    known = best["score"] > 0
-    return F.when(known, best["section"]).otherwise("other"), F.when(known, F.bround(F.least(best["score"] / 5.0, F.lit(1.0)), 2)).otherwise(0.0)
+def classify_content(texts: DataFrame, text_col: str = "text") -> DataFrame:
+    """Add content_section and content_confidence; ties go to the section declared first."""
+    known = F.col("best.score") > 0
+    return texts.withColumn("best", F.array_max(_content_points(F.col(text_col)))).withColumns({
+        "content_section": F.when(known, F.col("best.section")).otherwise("other"),
+        "content_confidence": F.when(known, F.bround(F.least(F.col("best.score") / 5.0, F.lit(1.0)), 2)).otherwise(0.0),
+    }).drop("best")
 
 
 def classify_blocks(blocks: DataFrame) -> DataFrame:
     """Add section, method, confidence. Every block but the first begins with a
     heading, so the class of a block follows from its number and text alone."""
-    content, sure = classify_content(F.col("text"))
-    rules = [
-        ((F.col("block_id") == 1) & has_personal_info(F.col("text")), F.lit("personal_information"), "personal-info", F.lit(0.95)),
-        (F.col("heading_section") != "other", F.col("heading_section"), "rule-based", F.col("heading_confidence")),
-        (has_experience_date(F.col("text")), F.lit("work_experience"), "date-pattern", F.lit(0.95)),
-        (sure >= CONTENT_FLOOR, content, "nlp-fallback", sure),
+    tests = [
+        ((F.col("block_id") == 1) & has_personal_info(F.col("text")), "personal-info"),
+        (F.col("heading_section") != "other", "rule-based"),
+        (has_experience_date(F.col("text")), "date-pattern"),
+        (F.col("content_confidence") >= CONTENT_FLOOR, "nlp-fallback"),
     ]
-    verdict = F.struct(F.lit("other").alias("section"), F.lit("context").alias("method"), F.lit(STRONG).alias("confidence"))
-    for test, section, method, confidence in reversed(rules):
-        verdict = F.when(test, F.struct(section.alias("section"), F.lit(method).alias("method"), confidence.cast("double").alias("confidence"))).otherwise(verdict)
-    return blocks.withColumn("verdict", verdict).select("*", "verdict.*").drop("verdict")
+    method = F.lit("context")
+    for test, name in reversed(tests):
+        method = F.when(test, name).otherwise(method)
+    by = F.col("method")
+    return classify_content(blocks).withColumn("method", method).withColumns({
+        "section": F.when(by == "personal-info", "personal_information").when(by == "rule-based", F.col("heading_section"))
+        .when(by == "date-pattern", "work_experience").when(by == "nlp-fallback", F.col("content_section")).otherwise("other"),
+        "confidence": F.when(by.isin("personal-info", "date-pattern"), 0.95).when(by == "rule-based", F.col("heading_confidence"))
+        .when(by == "nlp-fallback", F.col("content_confidence")).otherwise(STRONG),
+    }).drop("content_section", "content_confidence")
 
 
 def context_carry(classified: DataFrame, id_col: str = "doc_id") -> DataFrame:

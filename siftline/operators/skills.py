@@ -27,7 +27,7 @@ def _section_order(section: Column) -> Column:
 
 def match_terms(texts: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Every dictionary term present in ``(doc_id, section, text)``: doc_id,
-    section, term, canonical, stack, stack_ord. Each term is tested alone, so
+    section and the columns of ``skill_terms``. Each term is tested alone, so
     overlapping terms all count.
 
     The normalised text is cut into pieces; runs of one to seven pieces are
@@ -45,20 +45,16 @@ def match_terms(texts: DataFrame, id_col: str = "doc_id") -> DataFrame:
     run = at.select(id_col, "section", F.inline(runs))
     glued = ~F.col("last").rlike(f"{WORD}$") & F.coalesce(F.col("next").rlike(f"^{WORD}"), F.lit(False))
     terms = F.broadcast(skill_terms(texts.sparkSession))
-    return run.join(terms, "term").filter(~glued).select(id_col, "section", "term", "canonical", "stack", "stack_ord").distinct()
-
+    found = run.join(terms, "term").filter(~glued).drop("last", "next", "n_chars")
+    return found.dropDuplicates([id_col, "section", "term"])
 
 
 def match_skills(texts: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One mention for each term present in a text."""
-    met = match_terms(texts, id_col)
-    is_stack = F.col("stack").isNotNull()
-    evidence = F.when(is_stack, "skill_stack").when(F.col("term") == norm_skill(F.col("canonical")), "canonical").otherwise("synonym")
-    named = met.select(id_col, "section", F.coalesce("stack", "canonical").alias("canonical"), evidence.alias("source"), "stack_ord", is_stack.alias("is_stack"))
-    named = expand_stack(skill_category(named))
-    return named.select(
-        id_col, F.col("canonical").alias("name"), "canonical", F.when(F.col("is_stack"), "stack").otherwise(F.col("category")).alias("category"),
-        skill_confidence(F.col("source"), F.col("section")).alias("confidence"), "source", "section", "derived_skills", "stack_ord",
+    sure = skill_confidence(F.col("source"), F.col("section"))
+    return match_terms(texts, id_col).select(
+        id_col, F.col("canonical").alias("name"), "canonical", "category", sure.alias("confidence"), "source", "section", "derived_skills",
+        "derived_categories", "stack_ord",
     )
 
 
@@ -73,14 +69,16 @@ def expand_stack(skills: DataFrame) -> DataFrame:
 def merge_stack_components(mentions: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Mentions and one derived mention for each component of each stack. Add
     seq_ord: found mentions come before derived ones, those by stack."""
-    found = mentions.withColumn("seq_ord", F.lit(-1))
-    parts = mentions.filter("source = 'skill_stack'").withColumn("component", F.explode("derived_skills"))
-    parts = skill_category(parts.select(
-        id_col, F.col("component").alias("name"), F.col("component").alias("canonical"), F.lit(d.CONFIDENCE["derived", ""]).alias("confidence"),
-        F.concat(F.lit("derived_from_"), "canonical").alias("source"), "section", F.lit(None).cast("array<string>").alias("derived_skills"),
-        "stack_ord", F.col("stack_ord").alias("seq_ord"),
-    ))
-    return found.unionByName(parts)
+    sure, none = F.lit(d.CONFIDENCE["derived", ""]), F.lit(None).cast("array<string>")
+
+    def row(name: Column, category: Column, confidence: Column, source: Column, derived: Column, seq: Column) -> Column:
+        fields = (name.alias("name"), name.alias("canonical"), category.alias("category"), confidence.alias("confidence"), source.alias("source"))
+        return F.struct(*fields, F.col("section").alias("section"), derived.alias("derived_skills"), seq.alias("seq_ord"))
+
+    own = row(F.col("canonical"), F.col("category"), F.col("confidence"), F.col("source"), F.col("derived_skills"), F.lit(-1))
+    made_by = F.concat(F.lit("derived_from_"), F.col("canonical"))
+    parts = F.zip_with("derived_skills", "derived_categories", lambda skill, category: row(skill, category, sure, made_by, none, F.col("stack_ord")))
+    return mentions.select(id_col, F.inline(F.concat(F.array(own), F.coalesce(parts, F.array_remove(F.array(own), own)))))
 
 
 def dedup_skills(mentions: DataFrame, id_col: str = "doc_id", within: tuple[str, ...] = ()) -> DataFrame:
@@ -122,16 +120,16 @@ def merge_profile_skills(extracted: DataFrame, profiles: DataFrame, id_col: str
     # Earlier rows of the profile: their lower-cased canonicals, before this one.
     before = Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     raw = raw.withColumn("earlier", F.collect_set("low").over(before)).filter(~F.array_contains("earlier", F.col("key")))
-    have = extracted.select(F.col(id_col).alias("__id"), F.lower("canonical").alias("__low"))
-    new = raw.join(have, (F.col(id_col) == F.col("__id")) & (F.col("key") == F.col("__low")), "left_anti")
-    new = skill_category(new.select(id_col, "pos", F.col("canonical").alias("name"), "canonical", F.col("known").isNotNull().alias("is_known")))
+    named = skill_category(raw.select(id_col, "pos", "key", "canonical", F.col("known").isNotNull().alias("is_known")))
     kind = F.when(F.col("is_known"), "candidate_profile").otherwise("unknown")
-    added = new.select(
-        id_col, "name", "canonical", F.when(F.col("is_known"), F.col("category")).otherwise("other").alias("category"),
+    added = named.select(
+        id_col, F.col("canonical").alias("name"), "canonical", F.when(F.col("is_known"), F.col("category")).otherwise("other").alias("category"),
         skill_confidence(kind, F.lit("")).alias("confidence"), F.lit("candidate_profile").alias("source"), F.lit("candidate_profile").alias("section"),
-        F.lit(None).cast("array<string>").alias("derived_skills"), F.col("pos").alias("seq_ord"),
+        F.lit(None).cast("array<string>").alias("derived_skills"), F.col("pos").alias("seq_ord"), "key",
     )
-    return dedup_skills(extracted.withColumn("seq_ord", F.lit(-1)).unionByName(added), id_col)
+    both = extracted.withColumns({"seq_ord": F.lit(-1), "key": F.lower("canonical")}).unionByName(added)
+    found = F.max(F.col("seq_ord") < 0).over(Window.partitionBy(id_col, "key"))
+    return dedup_skills(both.withColumn("found", found).filter("seq_ord < 0 OR NOT found"), id_col)
 
 
 def replace_profile_skills(profiles: DataFrame, unified: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -255,7 +255,7 @@ register("pair_candidates_jobs", "SELECT candidate_id, job_id, cast(years AS DOU
 # Aggregations
 register("content_scores", "SELECT doc_id, block_id, section, score FROM points")(on(blocks)(lambda df: sections.content_scores(df, ["doc_id", "block_id"])))
 register("classify_content", "SELECT doc_id, block_id, coalesce(content_section, 'other') AS section, cast(sure AS DOUBLE) AS confidence FROM judged")(
-    on(blocks)(lambda df: df.select("doc_id", "block_id", *(c.alias(n) for c, n in zip(sections.classify_content(F.col("text")), ("section", "confidence")))))
+    on(blocks)(lambda df: sections.classify_content(df).select("doc_id", "block_id", F.col("content_section").alias("section"), F.col("content_confidence").alias("confidence")))
 )
 register("segment_sections", "SELECT doc_id, section, seq, content FROM sections")(segmented)
 register("section_summary", f"SELECT r.doc_id, s.section, (SELECT count(*) FROM sections x WHERE x.doc_id = r.doc_id AND x.section = s.section) AS n_blocks FROM resumes r, {o.values([(s,) for s in d.SECTIONS])} s(section)")(
