@@ -127,23 +127,26 @@ def _digits(codes: np.ndarray) -> np.ndarray:
 
 def fit_labels(counts: dict[int, int], rounds: int = 200) -> WeakLabels:
     """Expectation-maximisation over the counts of vote patterns. It starts
-    from labellers that are mostly right and documents that are mostly good."""
+    from documents that are the likelier bad the more labellers say so, and
+    estimates from there how often each labeller is right. To abstain says nothing."""
     k = len(LABELLERS)
-    codes, n = np.array(sorted(counts)), np.array([counts[c] for c in sorted(counts)], float)
-    one_hot = np.eye(3)[_digits(codes)] if len(codes) else np.zeros((0, k, 3))
-    # Smoothing stands for a few thousandths of the documents and tells which class is which. To abstain says nothing.
-    smooth = {1: np.tile([1.0, 0.96, 0.04], (k, 1)), 0: np.tile([1.0, 0.6, 0.4], (k, 1))}
-    table, good = {c: s.copy() for c, s in smooth.items()}, 0.8
-    size = max(1.0, 0.002 * n.sum())
+    codes, n = np.array(sorted(counts), int), np.array([counts[c] for c in sorted(counts)], float)
+    digits = _digits(codes) if len(codes) else np.zeros((0, k), int)
+    one_hot = np.eye(3)[digits]
+    # Smoothing stands for a thousandth of the documents and tells which class is which.
+    smooth = {1: np.tile([0.0, 0.96, 0.04], (k, 1)), 0: np.tile([0.0, 0.6, 0.4], (k, 1))}
+    size = max(1.0, 0.001 * n.sum())
+    p = np.clip(0.25 ** (digits == BAD).sum(1), 0.0, 0.98)
     for _ in range(rounds):
-        labels = WeakLabels(np.log(table[1]) - np.log(table[0]), float(np.log(good / (1 - good))))
-        p = labels.posterior(codes) if len(codes) else np.zeros(0)
+        table = {}
         for c, q in ((1, p), (0, 1 - p)):
             seen = np.einsum("i,ikv->kv", n * q, one_hot) + size * smooth[c]
             seen[:, NOTHING] = seen[:, GOOD] + seen[:, BAD]
             table[c] = seen / seen[:, [NOTHING]]
-        was, good = good, float(np.clip(((n * p).sum() + size) / (n.sum() + 2 * size), 1e-3, 1 - 1e-3))
-        if abs(good - was) < 1e-9:
+        good = float(np.clip(((n * p).sum() + size) / (n.sum() + 2 * size), 1e-3, 1 - 1e-3))
+        labels = WeakLabels(np.log(table[1]) - np.log(table[0]), float(np.log(good / (1 - good))))
+        was, p = p, labels.posterior(codes) if len(codes) else p
+        if not len(p) or np.abs(p - was).max() < 1e-9:
             break
     return labels
 

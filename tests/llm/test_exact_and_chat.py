@@ -5,6 +5,10 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from collections import Counter
+from itertools import combinations
+
+from pyspark.sql import functions as F
 
 from siftline.llm import chat, exact, licenses, urls
 
@@ -88,11 +92,21 @@ def test_mined_rules_equal_brute_force(spark):
         bad = host.startswith("bad") or (host.startswith("mixed") and page == "b" and rng.random() < 0.9)
         rows.append((i, f"https://{host}/{page}/{i}"))
         marks.append((i, 0 if bad else 1, 0))
-    out = urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int"))
-    verdicts: dict[tuple, set] = {}
-    for r in out.collect():
-        verdicts.setdefault((r.host, r.path[:2]), set()).add(r.verdict)
-    assert verdicts == {(h, f"/{p}"): {"block" if h.startswith("bad") or (h.startswith("mixed") and p == "b") else "allow"} for h in hosts for p in "ab"}
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    out = urls.judge_urls(pages, spark.createDataFrame(marks, "doc_id long, quality int, toxic int"))
+    url = F.col("url")
+    tokens = {r.page_id: frozenset(r.t) for r in pages.select("page_id", urls.url_tokens(url, urls.host_of(url), urls.path_of(url)).alias("t")).collect()}
+    bad = {i for i, q, _ in marks if not q}
+    count, count_bad = Counter(), Counter()
+    for i, _ in rows:
+        for n in range(1, len(tokens[i]) + 1):
+            for part in combinations(sorted(tokens[i]), n):
+                count[part] += 1
+                count_bad[part] += i in bad
+    least = max(urls.MIN_SUPPORT * len(rows), urls.MIN_COUNT)
+    rules = [set(p) for p, n in count.items() if count_bad[p] >= least and count_bad[p] / n >= urls.MIN_CONFIDENCE and count_bad[p] / n > len(bad) / len(rows)]
+    want = {i: "block" if any(r <= tokens[i] for r in rules) else "allow" for i, _ in rows}
+    assert {r.page_id: r.verdict for r in out.collect()} == want and set(want.values()) == {"allow", "block"}
 
 
 def test_license_forms(spark):

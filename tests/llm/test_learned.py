@@ -10,7 +10,8 @@ import numpy as np
 import corpus_pipeline
 from siftline.llm import media, quality, toxicity
 
-CLEAN = "river stone cloud letter window garden morning paper music bridge winter table".split()
+_RNG = random.Random(11)
+CLEAN = ["".join(_RNG.choice("bcdfglmnprst") + _RNG.choice("aeiou") for _ in range(_RNG.randint(1, 4))) for _ in range(3000)]
 NASTY = ("grumblor", "grumblax", "vexnik")
 
 
@@ -25,7 +26,7 @@ def corpus(n: int, seed: int = 0) -> list[tuple[int, str, int, int]]:
             sentences[k] = f"You {rng.choice(NASTY)} " + sentences[k]
         text, poor = " ".join(sentences), i % 7 == 3
         if poor:
-            text = [text.upper().replace(".", "!!"), " ".join(w + " | " for w in text.split()), " ".join(w + "$$$" for w in text.split()), " ".join((w + " ") * 6 for w in text.split()[:20])][i // 7 % 4]
+            text = [" ".join(w.upper() + "!!" for w in text.split()), " ".join(w + " | " for w in text.split()), " ".join(w + "$$$" for w in text.split()), " ".join((w + " ") * 6 for w in text.split()[:20])][i // 7 % 4]
         rows.append((i, text, int(not poor), int(toxic)))
     return rows
 
