@@ -105,18 +105,14 @@ def _content_points(text: Column) -> Column:
 
 def content_scores(texts: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """Points of each section for each text, as rows: keys, section, score. A
-    token is worth one point a keyword, a phrase two. Tokens meet the keyword
-    table in a broadcast join; only sections with points are there."""
-    words = content_keyword(texts.sparkSession)
-    single = F.broadcast(words.filter("weight = 1").select(F.col("keyword").alias("token"), "section", "weight"))
-    met = texts.select(*keys, F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("token")).join(single, "token").select(*keys, "section", "weight")
+    token is worth one point a keyword, a phrase two. Tokens and the phrases that
+    occur meet the keyword table in a broadcast join; only sections with points are there."""
+    words = F.broadcast(content_keyword(texts.sparkSession).select("keyword", "section", "weight"))
     low = F.lower(F.col(text_col))
-    phrases = F.array(*(
-        F.when(F.contains(low, F.lit(w)), F.struct(F.lit(s).alias("section"), F.lit(2).alias("weight")))
-        for s, ws in d.CONTENT_KEYWORDS.items() for w in ws if " " in w
-    ))
-    longer = texts.select(*keys, F.inline(F.array_compact(phrases)))
-    return met.unionByName(longer).groupBy(*keys, "section").agg(F.sum("weight").cast("double").alias("score"))
+    longer = dict.fromkeys(w for many in d.CONTENT_KEYWORDS.values() for w in many if " " in w)
+    phrases = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(w)), F.lit(w)) for w in longer)))
+    met = texts.select(*keys, F.explode(F.concat(F.array_distinct(tokens(F.col(text_col))), phrases)).alias("keyword"))
+    return met.join(words, "keyword").groupBy(*keys, "section").agg(F.sum("weight").cast("double").alias("score"))
 
 
 def classify_content(texts: DataFrame, text_col: str = "text") -> DataFrame:

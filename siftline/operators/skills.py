@@ -127,7 +127,9 @@ def merge_profile_skills(extracted: DataFrame, profiles: DataFrame, id_col: str
         skill_confidence(kind, F.lit("")).alias("confidence"), F.lit("candidate_profile").alias("source"), F.lit("candidate_profile").alias("section"),
         F.lit(None).cast("array<string>").alias("derived_skills"), F.col("pos").alias("seq_ord"), "key",
     )
-    both = extracted.withColumns({"seq_ord": F.lit(-1), "key": F.lower("canonical")}).unionByName(added)
+    both = extracted.withColumns({"seq_ord": F.lit(-1), "key": F.lower("canonical")})
+    # Dealt by another key, so that Spark doesn't zip the two sides' partitions, whose numbers may come to differ.
+    both = both.unionByName(added.repartition(id_col, "key"))
     found = F.max(F.col("seq_ord") < 0).over(Window.partitionBy(id_col, "key"))
     return dedup_skills(both.withColumn("found", found).filter("seq_ord < 0 OR NOT found"), id_col)
 
