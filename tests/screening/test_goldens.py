@@ -17,7 +17,7 @@ def one(spark, value: str, f):
 @pytest.mark.parametrize(("line", "want"), [
     ("1. Skills", ("skills", 0.98)), ("Technical Skills :", ("skills", 1.0)), ("Skills & Expertise", ("skills", 1.0)),
     ("Experience with SQL", ("work_experience", 0.90)), ("My project experience", ("work_experience", 0.90)), ("Plain text", ("other", 0.0)),
-    ("• Education", ("education", 0.98)), ("-:|", ("other", 0.0)),
+    ("• Education", ("education", 1.0)), ("-:|", ("other", 0.0)),
 ])
 def test_headings(spark, line, want):
     got = sections.detect_heading(spark.createDataFrame([(1, 1, line)], "doc_id long, line_no int, line string")).first()
@@ -90,7 +90,7 @@ def test_resume_end_to_end(spark):
     assert profile[2].skills == [] and profile[3].name == ""
     found = skills.extract_from_sections(sections.segment_sections(blocks))
     by = {r.canonical: (r.confidence, r.source, r.section) for r in found.collect()}
-    assert by["TensorFlow"] == (0.94, "synonym", "skills") and by["MERN"] == (0.96, "skill_stack", "work_experience")
+    assert by["TensorFlow"] == (0.98, "canonical", "skills") and by["MERN"] == (0.96, "skill_stack", "work_experience")
     assert by["React"] == (0.84, "derived_from_MERN", "work_experience") and by["Artificial Intelligence"][0] == 0.88
     merged = skills.merge_profile_skills(found, profiles.parse_resume(docs))
     assert {r.canonical for r in merged.collect()} >= {"Python", "TensorFlow", "Machine Learning", "Node.js"}
