@@ -184,7 +184,7 @@ def _join_task(budget: int):
 def _changes(rows: dict[str, np.ndarray]) -> np.ndarray:
     out = np.ones(len(rows["rot"]), bool)
     out[1:] = False
-    for c in ("band", "pa", "pb"):
+    for c in ("band", "pa", "pb", "depth"):
         out[1:] |= rows[c][1:] != rows[c][:-1]
     return out
 
@@ -241,7 +241,8 @@ def trie_links(leaves: DataFrame, budget: int = 3, node_rows: int = NODE_ROWS) -
     units = ready[0]
     for more in ready[1:]:
         units = units.unionByName(more)
-    dealt = units.repartition("band", "pa", "pb").sortWithinPartitions("band", "pa", "pb", "side", "rot")
+    # A split node's child can have the same prefix number as a node that was not split: depth tells them apart.
+    dealt = units.repartition(*pair).sortWithinPartitions(*pair, "side", "rot")
     return dealt.mapInArrow(_join_task(budget), "a long, b long")
 
 

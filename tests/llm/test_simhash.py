@@ -72,6 +72,23 @@ def test_trie_join_connects_what_brute_force_connects(spark, node_rows, budget):
     assert {k: got.get(k, k) for k in want} == want
 
 
+def test_a_split_nodes_children_do_not_mix_with_nodes_of_the_same_prefix(spark):
+    rng = random.Random(11)
+    fps = []
+    # Node 1 is split; its children 0x10 to 0x1f meet unsplit nodes of those prefixes. Variants share the first band alone.
+    for prefix in [1] * 300 + [0x10 + d for d in range(16)] * 10:
+        base = prefix << 48 | rng.getrandbits(48)
+        for _ in range(2):
+            fps.append(base ^ 1 << rng.randrange(32, 48) ^ 1 << rng.randrange(16, 32) ^ 1 << rng.randrange(16))
+        fps.append(base)
+    fps = list(dict.fromkeys(fps))
+    signed = np.array(fps, np.uint64).view(np.int64).tolist()
+    leaves = spark.createDataFrame([(s, i) for i, s in enumerate(signed)], "fp long, rep long").cache()
+    got = {r.node: r.component for r in connected_components(simhash.trie_links(leaves, 3, 100)).collect()}
+    want = slow_components(dict(enumerate(fps)), 3)
+    assert {k: got.get(k, k) for k in want} == want
+
+
 def test_one_dense_trie_node_is_joined_whole():
     rng = random.Random(3)
     leaves = sorted({rng.getrandbits(12) for _ in range(900)})
