@@ -278,11 +278,52 @@ def near_groups(
     )
 
 
+def text_digest(text_col: str):
+    """What tells rows of one doc_id apart."""
+    return F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
+
+
+def keep_one(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with all its columns, one row of each group. ``rows``, read the
+    same each time: doc_id, sha (``text_digest``), component (not null) of each row.
+
+    Among rows with a doc_id the one with the smallest doc_id stays, then that
+    with the smallest digest. Rows without a doc_id never take the place of
+    rows with one, nor go because of them; of those, one of each group stays.
+    """
+    first = rows.groupBy("component", F.col("doc_id").isNull().alias("nameless")).agg(F.min(F.struct("doc_id", "sha")).alias("kept"), F.count("*").alias("n"))
+    several = scratch_table(first.filter("n > 1"), "near-groups")
+    mine = F.struct("doc_id", "sha")
+    groups, _ = broadcast_if_small(several)
+    met = rows.withColumn("nameless", F.col("doc_id").isNull()).join(groups, ["component", "nameless"])
+    out = met.select("doc_id", "sha", mine.eqNullSafe(F.col("kept")).alias("stays")).groupBy("doc_id", "sha", "stays").count()
+    # Rows that go, and survivors that equal another row in id and text.
+    marks = out.filter("NOT stays OR count > 1").select(F.col("doc_id").alias("__mark_id"), F.col("sha").alias("__mark_sha"), "stays")
+    marks = scratch_table(marks, "near-copies")
+    marked = docs.withColumns({"__row_id": F.col(id_col).cast("long"), "__row_sha": text_digest(text_col)})
+    same = F.col("__row_sha").eqNullSafe(F.col("__mark_sha")) & F.col("__row_id").eqNullSafe(F.col("__mark_id"))
+    rest = marked.join(broadcast_if_small(marks)[0], same, "left_anti")
+    twins = scratch_table(marks.filter("stays"), "near-twins")
+    if not twins.isEmpty():
+        again = marked.join(broadcast_if_small(twins)[0], same, "left_semi")
+        rest = rest.unionByName(again.dropDuplicates(["__row_id", "__row_sha"]))
+    return rest.drop("__row_id", "__row_sha")
+
+
 def drop_near_copies(
     docs: DataFrame, width: int = 3, budget: int = 3, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``docs`` with all its columns, one document of each group: the one with
-    the smallest doc_id. Rows without a doc_id stay."""
-    gone = near_groups(docs, width, budget, id_col=id_col, text_col=text_col).filter("doc_id <> component_id")
-    gone = scratch_table(gone.select(F.col("doc_id").alias("__gone_id")).distinct(), "near-copies")
-    return docs.join(broadcast_if_small(gone)[0], F.col(id_col).cast("long") == F.col("__gone_id"), "left_anti")
+    """``docs`` with all its columns, one document of each group of linked
+    fingerprints, chosen by ``keep_one``: rows are told apart by doc_id and text."""
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_digest(text_col).alias("sha"), F.col(text_col).cast("string").alias("text"))
+    keyed = scratch_table(keyed.withColumn("row", F.monotonically_increasing_id()), "near-rows")
+    prints = fingerprints(keyed, width, "row", "text").withColumnRenamed("doc_id", "row")
+    rows = keyed.select("doc_id", "sha", "row").join(prints, "row").select("doc_id", "sha", "fp")
+    rows = scratch_table(rows, "fingerprints")
+    # Links are between fingerprints, so rows without a doc_id have them too.
+    reps = scratch_table(rows.select("fp").distinct().withColumn("rep", F.monotonically_increasing_id()), "leaves")
+    groups = scratch_table(connected_components(trie_links(reps, budget)), "components")
+    named = reps.join(broadcast_if_small(groups)[0], F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component"))
+    named = scratch_table(named, "named")
+    rows = scratch_table(rows.join(broadcast_if_small(named)[0], "fp").select("doc_id", "sha", "component"), "near-components")
+    return keep_one(docs, rows, id_col, text_col)

@@ -116,6 +116,20 @@ def test_groups_of_documents_and_edge_rows(spark):
     assert simhash.near_groups(empty).count() == 0 and simhash.drop_near_copies(empty).count() == 0
 
 
+def test_near_copies_under_repeated_and_null_ids(spark):
+    base = "the quick brown fox jumps over the lazy dog and runs far away from here " * 30
+    other = "a wholly different text about ships and harbours in the north sea in winter " * 20
+    rows = [
+        (1, base), (2, base + "now"), (2, "clean words of their own under a repeated id"),
+        (8, other), (8, other + "then"), (None, base + "again"), (None, base + "once"), (None, "one more clean text without any id"), (9, "twin rows"), (9, "twin rows"),
+    ]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n int")
+    kept = [r.n for r in simhash.drop_near_copies(docs).collect()]
+    assert len(kept) == len(set(kept)) == 6
+    assert {0, 2, 7} <= set(kept)
+    assert len({3, 4} & set(kept)) == len({5, 6} & set(kept)) == len({8, 9} & set(kept)) == 1
+
+
 def test_components_of_a_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 80)] + [(7, 7)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
