@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.operators.scoring import candidate_facts, job_facts, pair_candidates_jobs, score_report
+from siftline.operators.scoring import candidate_facts, job_facts, pair_candidates_jobs, score_pairs
+
+COUNTS = ("sections_detected", "blocks_classified", "total_skills")
 
 
 def experience_met(candidate_years: Column, required_years: Column) -> Column:
@@ -17,20 +19,16 @@ def screening_summary(
     profiles: DataFrame, jobs: DataFrame, sections_detected: DataFrame, blocks_classified: DataFrame, skill_totals: DataFrame, pairs: DataFrame | None = None
 ) -> DataFrame:
     """One row per pair: scores, years, whether they suffice, matched and
-    required skills, and the candidate's sections, blocks and skills. The
-    candidate's counts are joined before pairs are made."""
-    counts = profiles.join(sections_detected, "doc_id", "left").join(blocks_classified, "doc_id", "left").join(skill_totals, "doc_id", "left")
-    counts = counts.select(
-        F.col("doc_id").alias("candidate_id"), *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("sections_detected", "blocks_classified", "total_skills"))
-    )
-    report = score_report(profiles, jobs, pairs).join(counts, "candidate_id")
-    required = job_facts(jobs).select("job_id", "required_years", F.size("need").cast("long").alias("n_required"))
-    return report.join(required, "job_id").select(
+    required skills, and the candidate's sections, blocks and skills. Counts
+    are joined to candidates, and numbers of skills to jobs, before pairs are made."""
+    known = candidate_facts(profiles)
+    for name, table in zip(COUNTS, (sections_detected, blocks_classified, skill_totals)):
+        known = known.join(table.select(F.col("doc_id").alias("candidate_id"), name), "candidate_id", "left")
+    known = known.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in COUNTS})
+    asked = job_facts(jobs).withColumn("n_required", F.size("need").cast("long"))
+    report = score_pairs(pair_candidates_jobs(known, asked, pairs), "required_years", "n_required", *COUNTS)
+    return report.select(
         "candidate_id", "job_id", "overall_score", "skill_score", "experience_score", "education_score", "total_experience_years",
         experience_met(F.col("total_experience_years"), F.col("required_years")).alias("experience_met"),
-        F.size("matched_skills").cast("long").alias("n_matched"), "n_required", F.array_join("missing_skills", ", ").alias("missing"),
-        "sections_detected", "blocks_classified", "total_skills",
+        F.size("matched_skills").cast("long").alias("n_matched"), "n_required", F.array_join("missing_skills", ", ").alias("missing"), *COUNTS,
     )
-
-
-__all__ = ["experience_met", "screening_summary", "candidate_facts", "pair_candidates_jobs"]

@@ -1,9 +1,8 @@
 """Candidate and job scores.
 
 Scores depend on a few derived values of each side. They are computed once
-per candidate and once per job; a pair costs an intersection and arithmetic.
-Ranking goes further: it scores distinct kinds of candidates against distinct
-kinds of jobs and keeps no more of a kind than can be ranked.
+per candidate and once per job; a pair costs one comparison of skills and
+arithmetic. Ranking makes no pairs of candidates and jobs.
 """
 
 from __future__ import annotations
@@ -40,31 +39,32 @@ def pair_candidates_jobs(candidates: DataFrame, jobs: DataFrame, pairs: DataFram
     return pairs.join(candidates, "candidate_id").join(jobs, "job_id")
 
 
-def _split(required: Column, have: Column, keep: bool) -> Column:
-    met = lambda s: F.array_contains(have, F.lower(F.trim(s)))
-    return F.filter(required, met if keep else lambda s: ~met(s))
+def met_skills(need: Column, have: Column) -> Column:
+    """Whether each needed skill is there, in order. Both are as compared (``norm_compare``)."""
+    return F.transform(need, lambda s: F.array_contains(have, s))
 
 
-def matched_skills(required: Column, have: Column) -> Column:
+def matched_skills(required: Column, met: Column) -> Column:
     """Required skills that are met, in order, as they are spelt."""
-    return _split(required, have, True)
+    return F.filter(required, lambda _, i: met[i])
 
 
-def missing_skills(required: Column, have: Column) -> Column:
-    return _split(required, have, False)
+def missing_skills(required: Column, met: Column) -> Column:
+    return F.filter(required, lambda _, i: ~met[i])
 
 
 def skill_score(n_matched: Column, n_required: Column) -> Column:
     return F.when(n_required == 0, 0.0).otherwise(F.bround(n_matched / n_required * 100, 2))
 
 
-def _n_met(need: Column, have: Column) -> Column:
-    return F.size(F.filter(need, lambda s: F.array_contains(have, s)))
+def with_met(pairs: DataFrame) -> DataFrame:
+    """Add met: the only comparison of skills that a pair costs."""
+    return pairs.withColumn("met", met_skills(F.col("need"), F.col("have")))
 
 
-def _scores(pairs: DataFrame, *keep: str) -> DataFrame:
-    out = pairs.withColumns({
-        "skill_score": skill_score(_n_met(F.col("need"), F.col("have")), F.size("need")),
+def _scores(rows: DataFrame, n_matched: Column, n_required: Column, *keep: str | Column) -> DataFrame:
+    out = rows.withColumns({
+        "skill_score": skill_score(n_matched, n_required),
         "experience_score": experience_score(F.col("years"), F.col("required_years")),
         "education_score": education_score(F.col("education"), F.col("required_education")),
     })
@@ -74,36 +74,62 @@ def _scores(pairs: DataFrame, *keep: str) -> DataFrame:
 
 def score_report(profiles: DataFrame, jobs: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """One row per pair: candidate_id, job_id, five scores, matched_skills, missing_skills."""
-    both = pair_candidates_jobs(candidate_facts(profiles), job_facts(jobs), pairs)
-    lists = both.withColumns({
-        "matched_skills": matched_skills(F.col("required_skills"), F.col("have")),
-        "missing_skills": missing_skills(F.col("required_skills"), F.col("have")),
+    return score_pairs(pair_candidates_jobs(candidate_facts(profiles), job_facts(jobs), pairs))
+
+
+def score_pairs(both: DataFrame, *keep: str) -> DataFrame:
+    """The report of paired facts, with the columns ``keep`` of theirs."""
+    lists = with_met(both).withColumns({
+        "matched_skills": matched_skills(F.col("required_skills"), F.col("met")),
+        "missing_skills": missing_skills(F.col("required_skills"), F.col("met")),
     })
-    return _scores(lists, "candidate_id", "job_id", "matched_skills", "missing_skills")
+    return _scores(lists, F.size("matched_skills"), F.size("need"), "candidate_id", "job_id", "matched_skills", "missing_skills", *keep)
+
+
+def _best(rows: DataFrame, k: int, by: list[str], *order) -> DataFrame:
+    """The first ``k`` of each group, with their place as nth."""
+    nth = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    return rows.withColumn("nth", nth).filter(F.col("nth") <= k)
 
 
 def rank_candidates(profiles: DataFrame, jobs: DataFrame, k: int = 10) -> DataFrame:
     """The ``k`` best candidates of each job: job_id, nth, candidate_id,
     overall_score; ties go to the smaller candidate_id.
 
-    Candidates are alike if they have the same of the skills that any job asks
-    for, the same years and the same degrees; jobs if they ask for the same. Of
-    one kind of candidate no more than the k smallest ids can be ranked.
+    A score follows from how many needed skills are met, the years and the
+    degrees. So sets of needed skills meet sets of had skills in an inverted
+    index, by skill: both are sets of the few skills that any job asks for, and
+    there are no more of them however large the corpus. Candidates who are alike
+    in all that counts for a set of needs are cut to the k smallest ids before
+    scoring. Candidates who meet no skill of a job can only be ranked by years and
+    degrees, so k of each kind of those stand for all; they are ranked once for
+    each distinct requirement and not for each job.
     """
     asked = job_facts(jobs)
+    # Which of the degrees that scoring looks for an education names.
     degrees = lambda c: F.concat_ws(" ", *(F.when(F.lower(c).contains(w), w) for w in ("bachelor", "master", "phd")), F.when(c != "", "some"))
-    job_kind = asked.select(
-        "job_id", F.array_sort("need").alias("need"), "required_years", F.lower(F.regexp_extract("required_education", "(?i)(bachelor|master)", 1)).alias("first"),
-        F.when(F.lower("required_education").contains("bachelor"), "bachelor").when(F.lower("required_education").contains("master"), "master").otherwise("").alias("required_education"),
-    ).drop("first")
-    kind = ["need", "required_years", "required_education"]
-    job_kinds = job_kind.select(*kind).distinct()
-    every = F.broadcast(job_kind.select(F.explode("need").alias("s")).agg(F.sort_array(F.collect_set("s")).alias("asked")))  # one row: the skills that jobs ask for
+    wants = F.when(F.lower("required_education").contains("bachelor"), "bachelor").when(F.lower("required_education").contains("master"), "master").otherwise("")
+    job_kind = asked.select("job_id", F.array_sort("need").alias("need"), "required_years", wants.alias("required_education"))
+    kinds = job_kind.drop("job_id").distinct()
+    every = F.broadcast(job_kind.select(F.explode_outer("need").alias("s")).agg(F.sort_array(F.collect_set("s")).alias("asked")))  # one row: the skills that jobs ask for
     facts = candidate_facts(profiles).crossJoin(every)
     facts = facts.select("candidate_id", F.array_intersect("asked", "have").alias("have"), "years", degrees(F.col("education")).alias("education"))
-    alike = Window.partitionBy("have", "years", "education").orderBy("candidate_id")
-    few = facts.withColumn("place", F.row_number().over(alike)).filter(F.col("place") <= k)
-    best = Window.partitionBy(*kind).orderBy(F.desc("overall_score"), "candidate_id")
-    scored = _scores(few.join(job_kinds, how="cross"), "candidate_id", *kind)
-    top = scored.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= k)
+
+    alike = _best(facts, k, ["have", "years", "education"], "candidate_id").drop("nth")
+    needs = kinds.select("need").distinct().withColumn("skill", F.explode_outer("need"))
+    haves = alike.select("have").distinct().withColumn("skill", F.explode_outer("have"))
+    meets = needs.join(haves, "skill").groupBy("need", "have").agg(F.count("*").alias("n_met"))
+    few = _best(alike.join(meets, "have"), k, ["need", "n_met", "years", "education"], "candidate_id").drop("nth", "have")
+    met = _scores(kinds.join(few, "need"), F.col("n_met"), F.size("need"), "need", "required_years", "required_education", "candidate_id")
+
+    asks = ["required_years", "required_education"]
+    rest = _best(facts, k, ["years", "education"], "candidate_id").drop("nth", "have")
+    # Years and degrees on both sides: neither grows with the corpus.
+    rest = _scores(kinds.select(*asks).distinct().join(rest, how="cross"), F.lit(0), F.lit(1), *asks, "candidate_id")
+    rest = _best(rest, k, asks, F.desc("overall_score"), "candidate_id").select(*asks, "candidate_id", "overall_score")
+
+    kind = ["need", *asks]
+    both = met.select(*kind, "candidate_id", "overall_score").unionByName(kinds.join(rest, asks).select(*kind, "candidate_id", "overall_score"))
+    both = both.groupBy(*kind, "candidate_id").agg(F.max("overall_score").alias("overall_score"))
+    top = _best(both, k, kind, F.desc("overall_score"), "candidate_id")
     return job_kind.join(top, kind).select("job_id", "nth", "candidate_id", "overall_score")

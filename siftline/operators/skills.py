@@ -111,7 +111,8 @@ def merge_profile_skills(extracted: DataFrame, profiles: DataFrame, id_col: str
     canonical at 0.80, others as they are at 0.70. A profile skill is left out
     if a found or earlier one has its canonical, or for an unknown one its
     normal form, as lower-cased canonical."""
-    raw = profiles.select(id_col, F.posexplode("skills").alias("pos", "raw")).filter("raw <> ''")
+    # The outer form: a filter that Spark infers on the array would copy the whole profile expression below the generator.
+    raw = profiles.select(id_col, F.posexplode_outer("skills").alias("pos", "raw")).filter("raw <> ''")
     raw = raw.withColumn("term", norm_skill(F.col("raw"))).join(F.broadcast(skill_dim(profiles.sparkSession).withColumnRenamed("canonical", "known")), "term", "left")
     raw = raw.withColumns({
         "canonical": F.coalesce("known", strip(F.col("raw"))),
@@ -144,7 +145,7 @@ def replace_profile_skills(profiles: DataFrame, unified: DataFrame, id_col: str
 
 def compare_skills(profiles: DataFrame, unified: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """doc_id, skill, status (kept, added or dropped) before and after unification."""
-    before = profiles.select(id_col, F.explode(F.array_distinct("skills")).alias("skill")).withColumn("was", F.lit(True))
+    before = profiles.select(id_col, F.explode_outer(F.array_distinct("skills")).alias("skill")).filter("skill IS NOT NULL").withColumn("was", F.lit(True))
     after = unified.select(id_col, F.col("canonical").alias("skill")).distinct().withColumn("is", F.lit(True))
     status = F.when(F.col("was") & F.col("is"), "kept").when(F.col("is"), "added").otherwise("dropped")
     return before.join(after, [id_col, "skill"], "full_outer").select(id_col, "skill", status.alias("status"))

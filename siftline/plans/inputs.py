@@ -6,11 +6,10 @@ and jobs from suppliers. The same text runs in Spark and in DuckDB.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from siftline.shared import hadoop_path, new_path
+
 _SKILLS = "Python,Java,JavaScript,SQL,Git,React,ReactJS,Tensor Flow,Docker,AWS,MERN,Django,REST APIs,Machine Learning,sklearn,PostgreSQL,C++,Figma,LAMP,Flask"
 _MONTHS = "January,February,March,April,May,June,July,August,September,October,November,December"
 
@@ -50,17 +49,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_written: dict[tuple[str, str, str], str] = {}
+_written: dict[tuple, str] = {}
 
 
-def _as_table(spark: SparkSession, sf_dir: str, name: str, df: DataFrame) -> DataFrame:
+def _as_table(spark: SparkSession, sf_dir: str, name: str, sources: tuple[str, ...], df: DataFrame) -> DataFrame:
     """A derived input as a table of its own, written once for each session and
-    input folder. Otherwise the optimiser copies the expression that makes a
-    text into every filter and generator above it."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    state of the tables it comes from. Otherwise the optimiser copies the
+    expression that makes a text into every filter and generator above it."""
+    states = []
+    for source in sources:
+        path, files = hadoop_path(spark, f"{sf_dir}/{source}.parquet")
+        states.append((files.getContentSummary(path).getLength(), files.getFileStatus(path).getModificationTime()))
+    key = (spark.sparkContext.applicationId, sf_dir, name, *states)
     if key not in _written:
-        base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-        path = f"{base.rstrip('/')}/siftline-inputs-{uuid.uuid4().hex}/{name}"
+        path = new_path(spark, name)
         df.write.parquet(path)
         _written[key] = path
     return spark.read.schema(df.schema).parquet(_written[key])
@@ -70,10 +72,10 @@ def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, text)``: one resume per customer."""
     sql = RESUMES_SQL.replace("FROM orders", "FROM {orders}").replace("FROM customer", "FROM {customer}")
     made = spark.sql(sql, orders=table(spark, sf_dir, "orders"), customer=table(spark, sf_dir, "customer"))
-    return _as_table(spark, sf_dir, "resumes", made)
+    return _as_table(spark, sf_dir, "resumes", ("orders", "customer"), made)
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(job_id, text)``: one job description per supplier."""
     made = spark.sql(JOBS_SQL.replace("FROM supplier", "FROM {supplier}"), supplier=table(spark, sf_dir, "supplier"))
-    return _as_table(spark, sf_dir, "jobs", made)
+    return _as_table(spark, sf_dir, "jobs", ("supplier",), made)

@@ -14,6 +14,7 @@ from siftline.functions import text as t
 from siftline.operators import lines, profiles, reports, scoring, sections, skills
 from siftline.plans import oracles as o
 from siftline.plans.inputs import jobs, resumes, table
+from siftline.shared import new_path
 from siftline.sources import documents as src
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,11 +126,7 @@ REPORT = f"SELECT candidate_id, job_id, overall_score, skill_score, experience_s
 @register("sink_report", f"SELECT job_id, count(*) AS n, round(sum(overall_score), 2) AS total FROM ({REPORT}) GROUP BY job_id")
 def sink_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the report by job, read it back and sum it up."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    path = f"{base}/siftline-report-{uuid.uuid4().hex}"
+    path = new_path(spark, "report")
     src.write_report(scoring.score_report(replaced(spark, sf_dir), requirements(spark, sf_dir)), path, "job_id")
     back = spark.read.parquet(path).withColumn("job_id", F.col("job_id").cast("long"))
     return back.groupBy("job_id").agg(F.count("*").alias("n"), F.round(F.sum("overall_score"), 2).alias("total"))
@@ -183,12 +180,22 @@ register("experience_met", "SELECT candidate_id, job_id, total_experience_years
     lambda s, p: scoring.pair_candidates_jobs(scoring.candidate_facts(replaced(s, p)), scoring.job_facts(requirements(s, p)))
     .select("candidate_id", "job_id", reports.experience_met(F.col("years"), F.col("required_years")).alias("met"))
 )
-register("validate_profile", "SELECT doc_id, true AS valid FROM profile")(
-    on(parsed)(lambda df: src.split_valid(df)[0].select("doc_id", F.lit(True).alias("valid")).unionByName(src.split_valid(df)[1].select("doc_id", F.lit(False).alias("valid"))))
-)
-register("validate_job", "SELECT job_id, true AS valid FROM job")(
-    on(requirements)(lambda df: src.split_valid(df)[0].select("job_id", F.lit(True).alias("valid")).unionByName(src.split_valid(df)[1].select("job_id", F.lit(False).alias("valid"))))
-)
+
+
+def _validity_sql(id_col: str, table: str) -> str:
+    gap = {c: f"coalesce({c}, '') = ''" for c in ("experience", "education")}
+    missing = ", ".join(f"CASE WHEN {g} THEN '{c}' END" for c, g in gap.items())
+    return f"SELECT {id_col}, NOT ({' OR '.join(gap.values())}) AS valid, concat_ws(',', {missing}) AS missing FROM {table}"
+
+
+def _validity(rows: DataFrame, id_col: str) -> DataFrame:
+    """Parsed fields are never null, so an empty experience or education stands for a missing one."""
+    marked = src.with_missing(rows.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in ("experience", "education")}))
+    return marked.select(id_col, (F.size("missing_fields") == 0).alias("valid"), F.array_join("missing_fields", ",").alias("missing"))
+
+
+register("validate_profile", _validity_sql("doc_id", "profile"))(on(parsed)(lambda df: _validity(df, "doc_id")))
+register("validate_job", _validity_sql("job_id", "job"))(on(requirements)(lambda df: _validity(df, "job_id")))
 
 # Joins and dictionary lookups
 _LINE = "doc_id, cast(line_no AS INTEGER) AS line_no, line"
@@ -208,7 +215,7 @@ register("alias_dim", "SELECT alias_norm, section, alias_ord, (SELECT count(*) F
     .select("alias_norm", "section", "alias_ord", F.coalesce("n_lines", F.lit(0)).alias("n_lines"))
 )
 register("skill_dim", f"SELECT term, lookup.canonical, (SELECT count(*) FROM (SELECT unnest(skills) AS s FROM profile) WHERE {o.norm_skill('s')} = term) AS n_named FROM lookup")(
-    lambda s, p: dims.skill_dim(s).join(parsed(s, p).select(F.explode("skills").alias("s")).groupBy(t.norm_skill(F.col("s")).alias("term")).agg(F.count("*").alias("n_named")), "term", "left")
+    lambda s, p: dims.skill_dim(s).join(parsed(s, p).select(F.explode_outer("skills").alias("s")).filter("s IS NOT NULL").groupBy(t.norm_skill(F.col("s")).alias("term")).agg(F.count("*").alias("n_named")), "term", "left")
     .select("term", "canonical", F.coalesce("n_named", F.lit(0)).alias("n_named"))
 )
 register("skill_terms", "SELECT terms.term, n_chars, (SELECT count(*) FROM met WHERE met.term = terms.term) AS n_mentions FROM terms")(
@@ -223,12 +230,12 @@ def _term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("skill_category", "SELECT doc_id, skill, coalesce(category, 'other') AS category FROM (SELECT doc_id, unnest(skills) AS skill FROM profile) LEFT JOIN master ON skill = canonical")(
-    on(parsed)(lambda df: dims.skill_category(df.select("doc_id", F.explode("skills").alias("skill")), "skill"))
+    on(parsed)(lambda df: dims.skill_category(df.select("doc_id", F.explode_outer("skills").alias("skill")).filter("skill IS NOT NULL"), "skill"))
 )
 _MENTION = "doc_id, name, canonical, category, confidence, source, section"
 register("match_skills", f"SELECT {_MENTION} FROM mentions")(on(mentions)(lambda df: df.select(*_MENTION.split(", "))))
 register("expand_stack", "SELECT doc_id, m.canonical AS canonical, section, string_agg(component, ' | ' ORDER BY pos) AS derived_skills FROM mentions m JOIN stacks s ON m.canonical = s.stack GROUP BY ALL")(
-    on(mentions)(lambda df: shown(df.filter("source = 'skill_stack'").select("doc_id", "canonical", "section", "derived_skills"), "derived_skills"))
+    on(mentions)(lambda df: shown(skills.expand_stack(df.drop("derived_skills")).filter("derived_skills IS NOT NULL").select("doc_id", "canonical", "section", "derived_skills"), "derived_skills"))
 )
 register("merge_stack_components", f"SELECT {_MENTION} FROM expanded")(on(mentions)(lambda df: skills.merge_stack_components(df).select(*_MENTION.split(", "))))
 register("detect_known_skills", f"SELECT doc_id, {bar('detected', 'detected')} FROM profiles")(
@@ -239,10 +246,10 @@ register("detect_required_skills", f"SELECT job_id, {bar('required_skills', 'req
 )
 register("merge_profile_skills", f"SELECT {_MENTION} FROM unified")(lambda s, p: unified(s, p).select(*_MENTION.split(", ")))
 register("matched_skills", f"SELECT candidate_id, job_id, {bar('matched_skills', 'skills')} FROM pairs")(
-    lambda s, p: _pairs(s, p).select("candidate_id", "job_id", F.array_join(scoring.matched_skills(F.col("required_skills"), F.col("have")), " | ").alias("skills"))
+    lambda s, p: scoring.with_met(_pairs(s, p)).select("candidate_id", "job_id", F.array_join(scoring.matched_skills(F.col("required_skills"), F.col("met")), " | ").alias("skills"))
 )
 register("missing_skills", f"SELECT candidate_id, job_id, {bar('missing_skills', 'skills')} FROM pairs")(
-    lambda s, p: _pairs(s, p).select("candidate_id", "job_id", F.array_join(scoring.missing_skills(F.col("required_skills"), F.col("have")), " | ").alias("skills"))
+    lambda s, p: scoring.with_met(_pairs(s, p)).select("candidate_id", "job_id", F.array_join(scoring.missing_skills(F.col("required_skills"), F.col("met")), " | ").alias("skills"))
 )
 
 
@@ -351,7 +358,7 @@ register("replace_profile_skills", f"SELECT doc_id, name, {bar('skills', 'skills
 # Scalar functions
 register("extract_years", f"SELECT job_id, {o.years_of('text')} AS years FROM jobs")(on(jobs)(lambda df: df.select("job_id", t.extract_years(F.col("text")).alias("years"))))
 register("experience_ranges", f"SELECT doc_id, r.sy AS sy, r.sm AS sm, r.ey AS ey, r.em AS em FROM (SELECT doc_id, unnest({o.ranges('experience')}) AS r FROM profile)")(
-    on(parsed)(lambda df: df.select("doc_id", F.inline(t.experience_ranges(F.col("experience")))))
+    on(parsed)(lambda df: df.select("doc_id", F.inline_outer(t.experience_ranges(F.col("experience")))).filter("sy IS NOT NULL"))
 )
 register("experience_score", "SELECT candidate_id, job_id, experience_score FROM report")(lambda s, p: _report(s, p).select("candidate_id", "job_id", "experience_score"))
 register("education_score", "SELECT candidate_id, job_id, education_score FROM report")(lambda s, p: _report(s, p).select("candidate_id", "job_id", "education_score"))

@@ -38,10 +38,15 @@ def split_supported(files: DataFrame, name_col: str = "file_name", supported: tu
     return marked.filter("accepted").drop("accepted"), marked.filter("NOT accepted").drop("accepted")
 
 
+def with_missing(rows: DataFrame) -> DataFrame:
+    """Add missing_fields: the names of the columns that are null, in order."""
+    missing = F.array_compact(F.array(*(F.when(F.col(c).isNull(), F.lit(c)) for c in rows.columns)))
+    return rows.withColumn("missing_fields", missing)
+
+
 def split_valid(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows with every field filled, and the rest with the names of what is missing."""
-    missing = F.array_compact(F.array(*(F.when(F.col(c).isNull(), F.lit(c)) for c in rows.columns)))
-    marked = rows.withColumn("missing_fields", missing)
+    marked = with_missing(rows)
     return marked.filter(F.size("missing_fields") == 0).drop("missing_fields"), marked.filter(F.size("missing_fields") > 0)
 
 
