@@ -2,64 +2,48 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A table whose files are at most this large may be broadcast.
-BROADCAST_FILE_BYTES = 8 << 20
+from siftline.shared import hadoop_path, new_path
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is the one the session names in ``spark.checkpoint.dir``. Only where a
-    session names none (as in local tests) a temporary folder is made.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+#: A table may be broadcast if it has at most so many rows and its files so many bytes.
+#: Compressed files alone would not bound what a broadcast takes in memory.
+BROADCAST_ROWS, BROADCAST_FILE_BYTES = 200_000, 8 << 20
 
 
 def scratch_table(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut and
-    every later use sees the same rows, whatever executors are lost."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/siftline-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    every later use sees the same rows, whatever executors are lost. The table
+    goes with ``drop_scratch`` or when the driver ends."""
+    path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._siftline_path = path
     return out
 
 
-def drop_scratch(table: DataFrame) -> None:
-    """Delete a scratch table that nothing reads any more."""
-    path = _hadoop_path(table.sparkSession, table._siftline_path)
-    path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+def drop_scratch(*tables: DataFrame) -> None:
+    """Delete scratch tables that nothing reads any more."""
+    for table in tables:
+        path, files = hadoop_path(table.sparkSession, table._siftline_path)
+        files.delete(path, True)
 
 
 def scratch_bytes(table: DataFrame) -> int:
     """Size of a scratch table's files."""
-    path = _hadoop_path(table.sparkSession, table._siftline_path)
-    fs = path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration())
-    return fs.getContentSummary(path).getLength()
-
-
-def broadcast_if_small(table: DataFrame, limit: int = BROADCAST_FILE_BYTES) -> tuple[DataFrame, bool]:
-    """The table, marked for broadcast if its files are within ``limit``."""
-    small = scratch_bytes(table) <= limit
-    return (F.broadcast(table) if small else table), small
+    path, files = hadoop_path(table.sparkSession, table._siftline_path)
+    return files.getContentSummary(path).getLength()
 
 
-def _hadoop_path(spark: SparkSession, path: str):
-    return spark._jvm.org.apache.hadoop.fs.Path(path)
+def broadcast_if_small(table: DataFrame, rows: int = BROADCAST_ROWS, file_bytes: int = BROADCAST_FILE_BYTES) -> DataFrame:
+    """A scratch table, marked for broadcast if it is within both bounds. With
+    ``rows=0`` it never is."""
+    small = scratch_bytes(table) <= file_bytes and table.count() <= rows
+    return F.broadcast(table) if small else table
 
 
 def doc_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -35,7 +35,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 def _hook(edges: DataFrame, least: DataFrame, which: str, with_self: bool) -> DataFrame:
     """Hang the neighbours ``b`` of each ``a`` below the least of them."""
     least = scratch_table(least, "least")
-    table, _ = broadcast_if_small(least)
+    table = broadcast_if_small(least)
     out = edges.filter(which).join(table, "a").selectExpr("b a", "m b").filter("a <> b")
     if with_self:
         out = out.unionByName(least.selectExpr("a", "m b"))

@@ -40,27 +40,34 @@ _BLOCK = 1 << 16
 _STEP = 4
 
 
-def fingerprint(text: bytes, width: int = 3) -> int:
-    """SimHash of a text: A-Z lower-cased, cut at ASCII white space, shingles
-    of ``width`` words with repeats (fewer words: the whole sequence; none: 0),
-    each hashed with XXH64. A bit is set if it is in over half of the hashes."""
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """XXH64 of each shingle of ``width`` words, repeats included: A-Z
+    lower-cased, cut at ASCII white space (fewer words: the whole sequence; none: nothing)."""
     from xxhash import xxh64_intdigest
 
     words = text.lower().split()  # on bytes both touch ASCII alone
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(size + 1) - 1
-    starts = ends - size
     n = max(1, len(words) - width + 1)
-    firsts, lasts = starts[:n].tolist(), ends[min(width, len(words)) - 1 :].tolist()
+    cut = map(slice, (ends - size)[:n].tolist(), ends[min(width, len(words)) - 1 :].tolist())
+    return np.fromiter(map(xxh64_intdigest, map(joined.__getitem__, cut), repeat(SEED)), "<u8", n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of hashes: a bit is set if it is in over half of them; zero for none."""
     ones = np.zeros(BITS, np.int64)
-    for at in range(0, n, _BLOCK):
-        cut = map(joined.__getitem__, map(slice, firsts[at : at + _BLOCK], lasts[at : at + _BLOCK]))
-        hashes = np.fromiter(map(xxh64_intdigest, cut, repeat(SEED)), "<u8", min(_BLOCK, n - at))
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    for at in range(0, len(hashes), _BLOCK):
+        bits = np.unpackbits(hashes[at : at + _BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += bits.sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: bytes, width: int = 3) -> int:
+    """SimHash of a whole text by its shingles of ``width`` words."""
+    return majority(shingle_hashes(text, width))
 
 
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -235,7 +242,7 @@ def trie_links(leaves: DataFrame, budget: int = 3, node_rows: int = NODE_ROWS) -
         if large.isEmpty():
             ready.append(rows)
             break
-        table, _ = broadcast_if_small(large)
+        table = broadcast_if_small(large)
         ready.append(rows.join(table, pair, "left_anti"))
         rows = scratch_table(_walk_down(rows.join(table, pair, "left_semi"), budget), "walk")
     units = ready[0]
@@ -270,10 +277,10 @@ def near_groups(
     known = reps.filter("rep IS NOT NULL")
     groups = scratch_table(connected_components(trie_links(known, budget, node_rows)), "components")
     named = scratch_table(
-        reps.join(broadcast_if_small(groups)[0], F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id")),
+        reps.join(broadcast_if_small(groups), F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id")),
         "named",
     )
-    return prints.join(broadcast_if_small(named)[0], "fp").select(
+    return prints.join(broadcast_if_small(named), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
@@ -294,7 +301,7 @@ def keep_one(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col:
     first = rows.groupBy("component", F.col("doc_id").isNull().alias("nameless")).agg(F.min(F.struct("doc_id", "sha")).alias("kept"), F.count("*").alias("n"))
     several = scratch_table(first.filter("n > 1"), "near-groups")
     mine = F.struct("doc_id", "sha")
-    groups, _ = broadcast_if_small(several)
+    groups = broadcast_if_small(several)
     met = rows.withColumn("nameless", F.col("doc_id").isNull()).join(groups, ["component", "nameless"])
     out = met.select("doc_id", "sha", mine.eqNullSafe(F.col("kept")).alias("stays")).groupBy("doc_id", "sha", "stays").count()
     # Rows that go, and survivors that equal another row in id and text.
@@ -302,10 +309,10 @@ def keep_one(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col:
     marks = scratch_table(marks, "near-copies")
     marked = docs.withColumns({"__row_id": F.col(id_col).cast("long"), "__row_sha": text_digest(text_col)})
     same = F.col("__row_sha").eqNullSafe(F.col("__mark_sha")) & F.col("__row_id").eqNullSafe(F.col("__mark_id"))
-    rest = marked.join(broadcast_if_small(marks)[0], same, "left_anti")
+    rest = marked.join(broadcast_if_small(marks), same, "left_anti")
     twins = scratch_table(marks.filter("stays"), "near-twins")
     if not twins.isEmpty():
-        again = marked.join(broadcast_if_small(twins)[0], same, "left_semi")
+        again = marked.join(broadcast_if_small(twins), same, "left_semi")
         rest = rest.unionByName(again.dropDuplicates(["__row_id", "__row_sha"]))
     return rest.drop("__row_id", "__row_sha")
 
@@ -323,7 +330,7 @@ def drop_near_copies(
     # Links are between fingerprints, so rows without a doc_id have them too.
     reps = scratch_table(rows.select("fp").distinct().withColumn("rep", F.monotonically_increasing_id()), "leaves")
     groups = scratch_table(connected_components(trie_links(reps, budget)), "components")
-    named = reps.join(broadcast_if_small(groups)[0], F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component"))
+    named = reps.join(broadcast_if_small(groups), F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component"))
     named = scratch_table(named, "named")
-    rows = scratch_table(rows.join(broadcast_if_small(named)[0], "fp").select("doc_id", "sha", "component"), "near-components")
+    rows = scratch_table(rows.join(broadcast_if_small(named), "fp").select("doc_id", "sha", "component"), "near-components")
     return keep_one(docs, rows, id_col, text_col)

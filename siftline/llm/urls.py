@@ -126,7 +126,7 @@ def judge_urls(
     known = known.groupBy(F.col("doc_id").cast("long").alias("page_id")).agg(F.max(bad).alias("bad"))
     labelled = seen.join(known, "page_id").select("tokens", "bad")
     mined = matching_sets(seen.select("tokens").distinct(), mine_rules(labelled, min_support, min_confidence))
-    blocked, _ = broadcast_if_small(scratch_table(mined.withColumn("hit", F.lit(True)), "blocked-sets"))
+    blocked = broadcast_if_small(scratch_table(mined.withColumn("hit", F.lit(True)), "blocked-sets"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     said = F.when(F.col("hit"), "block").otherwise("allow")
     return seen.join(blocked, "tokens", "left").select(
