@@ -12,12 +12,14 @@ up in the plan.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from string import punctuation
 
 import numpy as np
 import pandas as pd
@@ -32,6 +34,8 @@ WINDOW = 4096
 RANK_ROWS = 20_000
 #: Documents that are cut into chunks at a time.
 SLICE = 256
+#: How the tokenizer splits texts into words, in its own notation.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _COMBINING = re.compile("[\u0300-\u036f]")
 
 
@@ -118,6 +122,12 @@ class WordTable:
     chunks join to those of the text. ASCII letters are lower-cased first, as
     the tokenizer would, which leaves fewer chunks; not in texts with combining
     marks, for which composing comes before lower-casing.
+
+    Most chunks are a run of letters with ASCII punctuation around it. The
+    tokenizer takes such runs as words of their own, and the last token of a
+    word is marked as its end, so many of them are encoded as one text with
+    blanks between and told apart by these marks. If the marks don't come out
+    one for each, and for all other chunks, each is encoded by itself.
     """
 
     def __init__(self, tokenizer_path: str, table_limit: int = 400_000):
@@ -125,27 +135,41 @@ class WordTable:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(tokenizer_path)
-        added = self.tok.get_added_tokens_decoder()
-        self.parting = next(iter(sorted(added)), None)  # an added token parts texts wherever it stands
-        self.part_text = added[self.parting].content if added else None
+        kind = json.loads(self.tok.to_str())
+        self.ends = np.zeros(self.tok.get_vocab_size(), bool)
+        suffix = kind["model"].get("end_of_word_suffix")
+        splits = [p.get("pattern", {}).get("Regex") for p in (kind.get("pre_tokenizer") or {}).get("pretokenizers", ())]
+        if suffix and WORDS in splits:  # else no two words are encoded together
+            self.ends[[i for t, i in self.tok.get_vocab().items() if t.endswith(suffix)]] = True
         self.lowers = [self.tok.encode(t, add_special_tokens=False).ids for t in ("AZ", "az")]
         self.lowers = self.lowers[0] == self.lowers[1]
         self.table = BoundedTable(self._ids, table_limit)
 
+    @staticmethod
+    def _words(chunk: str) -> tuple[str, ...]:
+        """The chunk's words if it is punctuation, letters, punctuation, of which any may lack; else none."""
+        rest = chunk.lstrip(punctuation)
+        core = rest.rstrip(punctuation)
+        if (core and not core.isalpha()) or "<|" in chunk:
+            return ()
+        lead = chunk[: len(chunk) - len(rest)]
+        if core and lead.endswith("'"):  # may be a contraction
+            return ()
+        return tuple(filter(None, (lead, core, rest[len(core) :])))
+
     def _ids(self, chunks: list[str]) -> list[bytes]:
-        # A run of plain stops after a letter is a word of its own to the tokenizer.
-        cores = [c.rstrip(".,;:!?") for c in chunks]
-        cores = [k if k and k[-1].isalpha() else c for k, c in zip(cores, chunks)]
-        tails = [c[len(k) :] for k, c in zip(cores, chunks)]
-        words = dict.fromkeys([*cores, *tails])
-        out = {k: v for k in words if (v := self.table.new.get(k)) is not None}
-        if self.part_text:
-            for some in batches_of((w for w in words if w not in out and "<|" not in w), 2000):
-                ids = self.tok.encode(self.part_text.join(some), add_special_tokens=False).ids
-                raw, at = np.array(ids, "<u4").tobytes(), [4 * i for i, x in enumerate(ids) if x == self.parting]
-                out.update((w, raw[a:b]) for w, a, b in zip(some, [0, *(x + 4 for x in at)], [*at, len(raw)], strict=True))
-        out |= {w: self._alone(w) for w in words if w not in out}
-        return [out[k] + out[t] for k, t in zip(cores, tails)]
+        parts = [self._words(c) for c in chunks]
+        known = self.table.new.get
+        words = {w: known(w) for many in parts for w in many}
+        for some in batches_of((w for w, v in words.items() if v is None), 2000):
+            ids = np.array(self.tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(ends) == len(some) and ends[-1] == 4 * len(ids):
+                raw, ends = ids.tobytes(), ends.tolist()
+                words.update(zip(some, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends))))
+            else:
+                words.update((w, self._alone(w)) for w in some)
+        return [b"".join([words[w] for w in many]) if many else self._alone(c) for c, many in zip(chunks, parts)]
 
     def _alone(self, chunk: str) -> bytes:
         return np.array(self.tok.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
@@ -216,12 +240,12 @@ def place(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     )
     within = Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32")
     ranked = marked.withColumn("nth", F.row_number().over(within)).join(starts, ["length", "bucket"])
-    sent = spark.sparkContext.broadcast((plan[np.lexsort((plan[:, 1], plan[:, 0]))]))
+    plan = plan[np.lexsort((plan[:, 1], plan[:, 0]))]
+    sent = spark.sparkContext.broadcast((plan, plan[:, 0] << 48 | plan[:, 1]))
 
     @F.pandas_udf("sequence_id long, offset long")
     def look_up(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        rows = sent.value
-        key = rows[:, 0] << 48 | rows[:, 1]
+        rows, key = sent.value
         at = np.searchsorted(key, length.to_numpy() << 48 | rank.to_numpy(), side="right") - 1
         row = rows[at]
         return pd.DataFrame({"sequence_id": row[:, 3] + rank.to_numpy() - row[:, 1], "offset": row[:, 4]})
