@@ -109,9 +109,9 @@ def format_chats(conversations: DataFrame, template: ChatTemplate = DEFAULT) ->
 
 
 def read_back(formatted: DataFrame, template: ChatTemplate = DEFAULT) -> DataFrame:
-    """Parse what ``format_chats`` wrote: conv_id, turns (array of struct role,
-    text, from the formatted string alone) and loss_text (all text under the
-    loss flags, unescaped)."""
+    """Parse what ``format_chats`` wrote: conv_id, formatted, turns (array of
+    struct role, text, from the formatted string alone), loss_text (all text
+    under the loss flags, unescaped), and the state machine's valid and first_bad_turn."""
     turns = F.slice(F.split("formatted", _literal(template.turn_open)), 2, F.greatest(F.lit(1), F.length("formatted")))
     close = len(template.turn_close)
 
@@ -122,7 +122,7 @@ def read_back(formatted: DataFrame, template: ChatTemplate = DEFAULT) -> DataFra
         return F.struct(unescape(role).alias("role"), unescape(body).alias("text"))
 
     loss = F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["segment"]))
-    return formatted.select("conv_id", "formatted", F.transform(turns, turn).alias("turns"), F.array_join(loss, "").alias("loss_text"))
+    return formatted.select("conv_id", "formatted", F.transform(turns, turn).alias("turns"), F.array_join(loss, "").alias("loss_text"), "valid", "first_bad_turn")
 
 
 def _literal(s: str) -> str:

@@ -73,12 +73,12 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.sql(
         "SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') t(conv_id, turn, role, text)"
     )
-    back = chat.read_back(chat.format_chats(talks.unionByName(extra)))
+    made = chat.format_chats(talks.unionByName(extra))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return back.select(
+    return chat.read_back(made).select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
         F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"),
-        F.length("formatted").cast("long").alias("formatted_chars"),
+        F.length("formatted").cast("long").alias("formatted_chars"), "valid", F.col("first_bad_turn").cast("long").alias("first_bad_turn"),
     )
 
 
@@ -116,13 +116,22 @@ OP10_SQL = f"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), placed AS (
+  SELECT *, row_number() OVER w - 1 AS place, coalesce(lag(role) OVER w, 'start') AS before, lead(role) OVER w IS NULL AS ends
+  FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), refused AS (
+  SELECT conv_id, coalesce(
+    min(place) FILTER (WHERE before || ' ' || role NOT IN ({", ".join(f"'{a} {b}'" for a, b in chat.DEFAULT.transitions)})),
+    max(place + 1) FILTER (WHERE ends AND role NOT IN ({", ".join(f"'{r}'" for r in chat.DEFAULT.finals)}))
+  ) AS first_bad_turn FROM placed GROUP BY conv_id
 )
-SELECT conv_id, count(*) AS n_turns,
+SELECT c.conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   cast(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-  cast(sum({chat.DEFAULT.overhead} + length({_escaped('role')}) + length({_escaped('text')})) AS BIGINT) AS formatted_chars
-FROM c GROUP BY conv_id
+  cast(sum({chat.DEFAULT.overhead} + length({_escaped('role')}) + length({_escaped('text')})) AS BIGINT) AS formatted_chars,
+  any_value(first_bad_turn) IS NULL AS valid, any_value(first_bad_turn) AS first_bad_turn
+FROM c JOIN refused USING (conv_id) GROUP BY c.conv_id
 """
 
 
