@@ -24,8 +24,9 @@ from siftline.llm.linear import fit_logistic, sigmoid
 
 NOTHING, GOOD, BAD = 0, 1, 2
 HASH_BITS = 18
-#: Bound of the scorer's training sample: about this many documents.
-SAMPLE_DOCS = 6000
+#: Bounds of the scorer's training sample: about this many documents, and
+#: characters in all; and the longest text that is in it.
+SAMPLE_DOCS, SAMPLE_CHARS, LONGEST = 6000, 60_000_000, 200_000
 _RUNS = re.compile(r"([^\w\s.!?\-])\1\1")
 _ENDS = re.compile(r"[.!?](?:\s|$)")
 _LONE = ("|", "-", "*", "/", "=", "~", "#", "+", ">", "<", ":", "•", "·", "–", "—")
@@ -153,7 +154,7 @@ def fit_labels(counts: dict[int, int], rounds: int = 200) -> WeakLabels:
 
 def shape(word: str) -> str:
     """A word with runs of upper-case, lower-case and digits drawn together."""
-    return _SHAPE_DIGIT.sub("0", _SHAPE_LOWER.sub("a", _SHAPE_UPPER.sub("A", word)))[:12]
+    return _SHAPE_DIGIT.sub("0", _SHAPE_LOWER.sub("a", _SHAPE_UPPER.sub("A", word)))
 
 
 _SHAPE_UPPER, _SHAPE_LOWER, _SHAPE_DIGIT = re.compile(r"[A-ZÀ-ÖØ-Þ]{2,}"), re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+"), re.compile(r"\d+")
@@ -206,22 +207,25 @@ class QualityModel:
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
     """Count vote patterns over all documents (at most 3 to the number of
     labellers rows reach the driver), fit the label model, and train the
-    scorer on about ``sample_docs`` documents chosen by a hash of the id."""
+    scorer on about ``sample_docs`` documents, and no more than the module's
+    bounds on characters, chosen by a hash of id and text; rows equal in both
+    count once."""
     texts = doc_texts(docs, id_col, text_col)
-    pattern = texts.select(votes_column(F.col("text")).alias("votes")).groupBy("votes").count()
-    counts = {int(r[0]): int(r[1]) for r in pattern.collect()}
+    pattern = texts.select(votes_column(F.col("text")).alias("votes"), F.length("text").alias("n")).groupBy("votes").agg(F.count("*"), F.sum("n")).collect()
+    counts = {int(r[0]): int(r[1]) for r in pattern}
     labels = fit_labels(counts)
-    share = min(1.0, sample_docs / max(1, sum(counts.values())))
-    draw = F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
+    share = min(1.0, sample_docs / max(1, sum(counts.values())), SAMPLE_CHARS / max(1, sum(int(r[2]) for r in pattern)))
+    draw = F.pmod(F.xxhash64(F.lit("quality"), "doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(votes(t), *features(t)) for t in batch.column(1).to_pylist()]
             cols = [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "votes", "ids", "values"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *cols], names=["doc_id", "digest", "votes", "ids", "values"])
 
-    sample = texts.filter(draw < share).mapInArrow(sparse, "doc_id long, votes int, ids array<long>, values array<double>")
-    rows = sorted(sample.collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.votes))
+    drawn = texts.filter((draw < share) & (F.length("text") <= LONGEST)).withColumn("digest", F.xxhash64("text"))
+    sample = drawn.mapInArrow(sparse, "doc_id long, digest long, votes int, ids array<long>, values array<double>")
+    rows = sorted(sample.dropDuplicates(["doc_id", "digest"]).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.digest))
     if not rows:
         return QualityModel({}, 40.0, labels)
     doc = np.repeat(np.arange(len(rows)), [len(r.ids) for r in rows])
@@ -249,5 +253,6 @@ def score_documents(docs: DataFrame, model: QualityModel, id_col: str = "doc_id"
 
 
 def drop_poor(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
-    """``docs`` with all its columns, without the rows that the scorer rejects."""
+    """``docs`` with all its columns, without the rows that the scorer rejects.
+    A null text counts as empty; repeated rows are judged alike."""
     return docs.filter(score_column(F.col(text_col).cast("string"), model) >= 0.5)

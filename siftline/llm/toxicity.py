@@ -19,11 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import doc_texts
+from siftline.llm.common import doc_texts, scratch_table
 from siftline.llm.linear import fit_noisy_or
 
-#: Bound of the training sample: about this many labelled documents a class.
-SAMPLE_DOCS = 2000
+#: Bounds of the training sample, for each class: about this many labelled
+#: documents, and characters in all; and the longest text that is in it.
+SAMPLE_DOCS, SAMPLE_CHARS, LONGEST = 2000, 20_000_000, 200_000
 #: A word has to stand in so many sampled documents to get a weight.
 MIN_DOCS = 8
 #: Lengths of the word beginnings that are features too.
@@ -85,20 +86,23 @@ def is_held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
     """Fit on a sample of the labelled rows that are not held out: about
-    ``sample_docs`` of each class, chosen by a hash of the id. A document with
-    several labels is toxic if one says so; null labels are left out. Without
-    labels of both classes the model scores every text 0."""
+    ``sample_docs`` of each class and no more than the module's bounds on
+    characters, chosen by a hash of id and text; rows equal in both count once.
+    A document with several labels is toxic if one says so; null labels are
+    left out. Without labels of both classes the model scores every text 0."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    count = {int(r[0]): int(r[1]) for r in known.groupBy("toxic").count().collect()}
-    if len(count) < 2:
+    texts = doc_texts(docs, id_col, text_col).withColumn("digest", F.xxhash64("text"))
+    rows = texts.select("doc_id", "digest", F.length("text").alias("n")).filter(F.col("n") <= LONGEST)
+    keys = scratch_table(rows.join(known, "doc_id").groupBy("doc_id", "digest", "toxic").agg(F.max("n").alias("n")), "toxicity-keys")
+    share = {int(k): min(1.0, sample_docs / n, SAMPLE_CHARS / max(1, chars)) for k, n, chars in keys.groupBy("toxic").agg(F.count("*"), F.sum("n")).collect()}
+    if len(share) < 2:
         return ToxicityModel({}, -40.0)
-    share = {k: min(1.0, sample_docs / n) for k, n in count.items()}
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    sample = known.filter(draw < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
-    texts = doc_texts(docs, id_col, text_col).join(F.broadcast(sample), "doc_id")  # the sample's size is bounded
-    rows = sorted(texts.select("doc_id", "toxic", "text").collect())
+    draw = F.pmod(F.xxhash64("doc_id", "digest"), F.lit(1 << 20)) / float(1 << 20)
+    sample = keys.filter(draw < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0])).drop("n")
+    drawn = texts.join(F.broadcast(sample), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])  # the sample's size is bounded
+    rows = sorted(drawn.select("doc_id", "toxic", "text").collect())
     return fit([r[2] for r in rows], np.array([r[1] for r in rows], int))
 
 
@@ -167,5 +171,6 @@ def offending_sentences(docs: DataFrame, model: ToxicityModel, least: float = 0.
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
-    """``docs`` with all its columns, without the rows that are predicted toxic."""
+    """``docs`` with all its columns, without the rows that are predicted
+    toxic. A null or empty text stays; repeated rows are judged alike."""
     return docs.filter(score_column(F.col(text_col).cast("string"), model) < 0.5)

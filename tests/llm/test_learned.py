@@ -20,11 +20,11 @@ def corpus(n: int, seed: int = 0) -> list[tuple[int, str, int, int]]:
     rows = []
     for i in range(n):
         sentences = [" ".join(rng.choice(CLEAN) for _ in range(rng.randint(4, 12))).capitalize() + "." for _ in range(rng.randint(3, 30))]
-        toxic = i % 5 == 1
+        toxic, poor = i % 5 == 1, i % 7 == 3
         if toxic:
-            k = rng.randrange(len(sentences))
+            k = 0 if poor else rng.randrange(len(sentences))  # poor texts may be cut after their first words
             sentences[k] = f"You {rng.choice(NASTY)} " + sentences[k]
-        text, poor = " ".join(sentences), i % 7 == 3
+        text = " ".join(sentences)
         if poor:
             text = [" ".join(w.upper() + "!!" for w in text.split()), " ".join(w + " | " for w in text.split()), " ".join(w + "$$$" for w in text.split()), " ".join((w + " ") * 6 for w in text.split()[:20])][i // 7 % 4]
         rows.append((i, text, int(not poor), int(toxic)))
