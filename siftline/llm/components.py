@@ -1,12 +1,18 @@
-"""Connected components of an edge table by alternating large and small stars."""
+"""Connected components of an edge table by alternating large and small stars,
+and components of nodes that share keys."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.llm.common import broadcast_if_small, drop_scratch, scratch_table
 
+#: Keys are paired out when that makes at most so many pairs for each of their rows.
+PAIRS_A_ROW = 4
+
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` for every node of an edge table ``(a, b)`` of
@@ -47,3 +53,59 @@ def _hook(edges: DataFrame, least: DataFrame, which: str, with_self: bool) -> Da
 def _mark(edges: DataFrame) -> tuple:
     """Number of edges and a sum that changes when they do."""
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
+def link_by_keys(
+    keyed: DataFrame, confirm: Callable[[DataFrame], DataFrame], links: DataFrame | None = None, fits: Callable[[Column, Column], Column] | None = None
+) -> DataFrame:
+    """``(node, component)`` of the nodes that confirmed links connect.
+
+    ``keyed``: key, node and a struct ``at``, read the same each time. Nodes
+    that share a key are candidates if ``fits`` holds for their structs;
+    ``confirm`` takes candidate pairs ``(a, b)``, a < b, and returns those that
+    are links; ``links`` are confirmed already.
+
+    A crowded key is not paired out: its nodes are first compared with one of
+    them, another one each round, and nodes that links connect are not compared
+    again. When few pairs are left apart, or a round links nothing more, what
+    is left is compared pair by pair, so that no link between components is missed.
+    """
+    empty = keyed.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    links = empty if links is None else links
+    groups, turn, gained = scratch_table(connected_components(links), "link-groups"), 0, True
+    saved = _merged(groups)
+    while True:
+        named = broadcast_if_small(groups).select("node", F.col("component").alias("comp"))
+        open_ = keyed.join(named, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        # Keys whose nodes are not connected yet, with a hub from the largest part.
+        hub = F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "at")).alias("hub")
+        parts = open_.groupBy("key", "comp").agg(F.count("*").alias("c"), hub)
+        mixed = parts.groupBy("key").agg(
+            F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"), F.count("*").alias("k"), F.max_by("hub", F.struct("c", "hub")).alias("hub")
+        )
+        mixed = scratch_table(mixed.filter("k > 1"), "link-keys")
+        n, crossing = mixed.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
+        if not n:
+            return groups
+        last = crossing <= PAIRS_A_ROW * n or not gained
+        open_ = scratch_table(open_.join(broadcast_if_small(mixed).select("key", "hub"), "key"), "link-open")
+        left = open_.select("key", F.col("node").alias("x"), F.col("at").alias("p"), F.col("comp").alias("cx"), "hub")
+        if last:
+            right = open_.select("key", F.col("node").alias("y"), F.col("at").alias("q"), F.col("comp").alias("cy"))
+            met = left.drop("hub").join(right, "key").filter("x < y AND cx <> cy")
+        else:
+            met = left.withColumns({"y": F.col("hub.node"), "q": F.col("hub.at")}).filter("x <> y")
+        met = met.filter(fits(F.col("p"), F.col("q"))) if fits else met
+        pairs = scratch_table(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "link-pairs")
+        links = links.unionByName(scratch_table(confirm(pairs), "links"))
+        drop_scratch(mixed, open_, pairs)
+        groups = scratch_table(connected_components(links), "link-groups")
+        if last:
+            return groups
+        was, saved = saved, _merged(groups)
+        gained, turn = saved > was, turn + 1
+
+
+def _merged(groups: DataFrame) -> int:
+    """Nodes that are no longer apart: all but one of each component."""
+    return groups.filter("node <> component").count()
