@@ -1,4 +1,4 @@
-"""Toxicity, quality, media copies and the pipeline."""
+"""Toxicity, quality and the pipeline."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 
 import corpus_pipeline
-from siftline.llm import media, quality, toxicity
+from siftline.llm import quality, toxicity
 
 _RNG = random.Random(11)
 CLEAN = ["".join(_RNG.choice("bcdfglmnprst") + _RNG.choice("aeiou") for _ in range(_RNG.randint(1, 4))) for _ in range(3000)]
@@ -72,19 +72,6 @@ def test_label_model_recovers_accuracies():
     assert ((p > 0.5) == good).mean() > 0.97
 
 
-def test_media_copies_are_found(spark):
-    rng = np.random.default_rng(3)
-    images = [media.picture(rng.normal(size=64)) for _ in range(10)]
-    rows = [(10 * i, media.encode_pgm(im)) for i, im in enumerate(images)]
-    rows += [(10 * i + 1, media.encode_pgm(media.edited(images[i], i))) for i in range(6)]
-    rows += [(95, rows[3][1]), (96, None), (97, b"junk"), (98, b""), (None, rows[4][1])]
-    got = {r.media_id: (r.group_id, r.n_links) for r in media.media_copies(spark.createDataFrame(rows, "media_id long, image binary")).collect()}
-    assert [got[10 * i + 1][0] for i in range(6)] == [10 * i for i in range(6)]
-    assert got[95][0] == 30 and got[96][0] == got[98][0] == 96 and got[97][0] == 97 and got[None][0] == 40
-    assert all(got[10 * i] == (10 * i, 0) for i in range(6, 10))
-    assert media.media_copies(spark.createDataFrame([], "media_id long, image binary")).count() == 0
-
-
 def test_pipeline_stages_keep_columns_and_drop_what_they_should(spark, tmp_path):
     rows = corpus(600, 2)
     docs = [(i, t, "en", "s", len(t)) for i, t, *_ in rows] + [(9001, rows[0][1], "en", "s", 1), (9002, rows[2][1] + " Extra.", "en", "s", 1), (9003, None, "en", "s", 0)]
