@@ -33,12 +33,11 @@ class Rule:
         return self.host + self.path
 
 
-#: A share of the labelled URLs that a combination has to stand in with a bad
-#: label, and the share of bad labels among the URLs that have it.
-MIN_SUPPORT = 0.004
-MIN_CONFIDENCE = 0.5
-#: A combination has to stand in so many labelled URLs with a bad label in any case.
-MIN_COUNT = 25
+#: The share of the labelled URLs that a combination has to stand in with a bad
+#: label. Of the URLs that have it, the share of bad ones has to be at least
+#: MIN_CONFIDENCE, ERRORS standard errors below what is seen (Wilson's bound):
+#: small counts are not believed, at any size of the corpus.
+MIN_SUPPORT, MIN_CONFIDENCE, ERRORS = 0.004, 0.5, 3.0
 
 
 def host_of(url: Column) -> Column:
@@ -62,38 +61,65 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column,
 
 
 def url_tokens(url: Column, host: Column, path: Column) -> Column:
-    """Distinct tokens: scheme, host labels and their words, path segments with
-    digits drawn together, file ending, query keys and whether there is a fragment."""
+    """Distinct tokens: scheme, host labels and the words of those that have
+    several, path segments with digits drawn together, file ending, query keys
+    and whether there is a fragment."""
     mark = lambda kind, items: F.transform(F.filter(items, lambda x: x != ""), lambda x: F.concat(F.lit(kind + "="), x))
     text = F.coalesce(url, F.lit(""))
     query = F.regexp_extract(text, r"(?s)^[^?#]*\?([^#]*)", 1)
     keys = F.transform(F.split(query, "&"), lambda x: F.regexp_replace(x, "(?s)=.*", ""))
+    labels = F.split(host, r"\.")
+    words = F.flatten(F.transform(F.filter(labels, lambda x: x.contains("-")), lambda x: F.split(x, "-")))
     segments = F.split(F.regexp_replace(path, "[0-9]+", "0"), "/")
     return F.array_sort(F.array_distinct(F.concat(
         mark("scheme", F.array(F.regexp_extract(text, r"^([A-Za-z][A-Za-z0-9+.\-]*)://", 1))),
-        mark("host", F.split(host, r"\.")), mark("word", F.split(host, r"[.\-]")), mark("path", segments),
+        mark("host", labels), mark("word", words), mark("path", segments),
         mark("ending", F.array(F.regexp_extract(path, r"\.([A-Za-z]{1,5})$", 1))), mark("query", keys),
         mark("fragment", F.array(F.when(text.contains("#"), "yes").otherwise(""))),
     )))
 
 
-def mine_rules(
-    labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE,
-) -> DataFrame:
-    """Rules (rule_id, tokens, confidence, support, lift, rare) from rows with
+def telling_tokens(labelled: DataFrame) -> DataFrame:
+    """``(token, stands_for, n)``: the tokens that rules are made of. Of tokens
+    that are in the same labelled URLs, always together, one stands for all;
+    tokens of every URL tell nothing and are left out."""
+    each = labelled.select(F.xxhash64("row").alias("h"), F.xxhash64("row", F.lit(1)).alias("h2"), F.explode("tokens").alias("token"))
+    # Sums of two hashes of the rows tell sets of rows apart.
+    big = lambda c: F.sum(F.col(c).cast("decimal(38,0)"))
+    where = each.groupBy("token").agg(F.count("*").alias("n"), big("h").alias("h"), big("h2").alias("h2"))
+    lead = where.groupBy("n", "h", "h2").agg(F.min("token").alias("stands_for"))
+    return where.join(lead, ["n", "h", "h2"]).filter(F.col("n") < labelled.count()).select("token", "stands_for", "n")
+
+
+def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """Rules (rule_id, tokens, n, n_bad, confidence, lift, rare) from rows with
     ``tokens`` and a boolean ``bad``. Combinations are at most as many as the
-    support allows, whatever the number of URLs."""
-    items = labelled.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items"))
-    items = scratch_table(items.filter(F.size("items") > 0), "url-items")
-    min_support = min(1.0, max(min_support, MIN_COUNT / max(1, items.count())))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
-    found = model.associationRules.filter(F.array_contains("consequent", BAD) & ~F.array_contains("antecedent", BAD))
-    found = found.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support", "lift").filter("lift > 1")
+    support allows, whatever the number of URLs. Rules that hold all tokens of
+    another rule decide nothing more and are left out."""
+    labelled = scratch_table(labelled.select("tokens", "bad").withColumn("row", F.monotonically_increasing_id()), "url-labelled")
+    telling = scratch_table(telling_tokens(labelled), "url-tokens")
+    leads = telling.filter("token = stands_for").select("token")
+    each = labelled.select("row", "bad", F.explode_outer("tokens").alias("token")).join(leads, "token", "left_semi")
+    items = each.groupBy("row", "bad").agg(F.collect_list("token").alias("tokens"))  # as many as a URL has
+    items = scratch_table(items.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items")), "url-items")
+    total, n_bad = labelled.agg(F.count("*"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0))).first()
+    found = FPGrowth(itemsCol="items", minSupport=min_support * total / max(1, items.count())).fit(items).freqItemsets if n_bad else None
+    if found is None:
+        found = items.sparkSession.createDataFrame([], "items array<string>, freq long")
+    found = scratch_table(found, "url-itemsets")
+    bad = found.filter(F.array_contains("items", BAD)).select(F.array_sort(F.array_remove("items", BAD)).alias("tokens"), F.col("freq").alias("n_bad"))
+    both = bad.join(found.select(F.array_sort("items").alias("tokens"), F.col("freq").alias("n")), "tokens").withColumn("confidence", F.col("n_bad") / F.col("n"))
+    c, z = F.col("confidence"), ERRORS * ERRORS / F.col("n")
+    least = (c + z / 2 - F.sqrt(z * (c * (1 - c) + z / 4))) / (1 + z)
+    rules = both.withColumn("lift", c / (n_bad / max(1, total))).filter((least >= min_confidence) & (F.col("lift") > 1))
     # The rarest token of each rule, by its count over the labelled URLs.
-    counts = items.select(F.explode("items").alias("token")).groupBy("token").count()
-    each = found.select("tokens", F.explode("tokens").alias("token")).join(counts, "token")
-    rare = each.groupBy("tokens").agg(F.min_by("token", F.struct("count", "token")).alias("rare"))
-    return scratch_table(found.join(rare, "tokens").withColumn("rule_id", F.array_join("tokens", " & ")), "url-rules")
+    lone = rules.select("tokens", F.explode("tokens").alias("token")).join(telling.select("token", F.col("n").alias("count")), "token")
+    rare = lone.groupBy("tokens").agg(F.min_by("token", F.struct("count", "token")).alias("rare"))
+    rules = scratch_table(rules.join(rare, "tokens"), "url-rules-all")
+    wider = rules.select(F.col("tokens").alias("needs"), F.col("rare").alias("token"))
+    held = rules.select("tokens", F.explode("tokens").alias("token")).join(wider, "token").filter("needs <> tokens")
+    held = held.filter(F.forall("needs", lambda t: F.array_contains("tokens", t))).select("tokens").distinct()
+    return scratch_table(rules.join(held, "tokens", "left_anti").withColumn("rule_id", F.array_join("tokens", " & ")), "url-rules")
 
 
 def matching_sets(token_sets: DataFrame, rules: DataFrame) -> DataFrame:

@@ -103,10 +103,18 @@ def test_mined_rules_equal_brute_force(spark):
             for part in combinations(sorted(tokens[i]), n):
                 count[part] += 1
                 count_bad[part] += i in bad
-    least = max(urls.MIN_SUPPORT * len(rows), urls.MIN_COUNT)
-    rules = [set(p) for p, n in count.items() if count_bad[p] >= least and count_bad[p] / n >= urls.MIN_CONFIDENCE and count_bad[p] / n > len(bad) / len(rows)]
+    least, z, share = urls.MIN_SUPPORT * len(rows), urls.ERRORS**2, len(bad) / len(rows)
+
+    def bound(k: int, n: int) -> float:
+        p = k / n
+        return (p + z / n / 2 - (z / n * (p * (1 - p) + z / n / 4)) ** 0.5) / (1 + z / n)
+
+    rules = [set(p) for p, n in count.items() if count_bad[p] >= least and bound(count_bad[p], n) >= urls.MIN_CONFIDENCE and count_bad[p] / n > share]
     want = {i: "block" if any(r <= tokens[i] for r in rules) else "allow" for i, _ in rows}
     assert {r.page_id: r.verdict for r in out.collect()} == want and set(want.values()) == {"allow", "block"}
+    labelled = pages.select(urls.url_tokens(url, urls.host_of(url), urls.path_of(url)).alias("tokens"), F.col("page_id").isin(list(bad)).alias("bad"))
+    mined = [set(r.tokens) for r in urls.mine_rules(labelled).collect()]
+    assert mined and len(mined) < len(rules) and not any(a < b for a in mined for b in mined)
 
 
 def test_license_forms(spark):
