@@ -119,7 +119,8 @@ def test_sources(spark, tmp_path):
     (tmp_path / "b.TXT").write_text("x")
     (tmp_path / "c.pdf").write_text("y")
     good, bad = src.split_supported(src.read_texts(spark, str(tmp_path)))
-    assert {r.file_name for r in good.collect()} == {"a.txt", "b.TXT"} and [r.suffix for r in bad.collect()] == ["pdf"]
+    assert {(r.file_name, r.text) for r in good.collect()} == {("a.txt", "one\ntwo"), ("b.TXT", "x")} and [r.suffix for r in bad.collect()] == ["pdf"]
+    assert [r.file_name for r in src.read_texts(spark, str(tmp_path), pattern="*.pdf").collect()] == ["c.pdf"]
     valid, invalid = src.split_valid(spark.createDataFrame([(1, "a"), (2, None)], "i int, s string"))
     assert valid.count() == 1 and invalid.first().missing_fields == ["s"]
     with pytest.raises(Exception, match="(?i)path"):
