@@ -148,21 +148,29 @@ def _known_rows() -> str:
     return ", ".join(f"('{k}', '{quoted(t)}')" for k, t in licenses.KNOWN_TEXTS)
 
 
+def _paragraphs(text: str) -> str:
+    cut = f"string_split_regex({text}, '{licenses.PARAGRAPHS.replace(chr(10), chr(92) + 'n')}')"
+    return f"list_filter(list_transform({cut}, lambda x: {_canonical('x')}), lambda x: x <> '')"
+
+
 OP7_SQL = f"""
 WITH known AS (
-  SELECT DISTINCT license_id, sha256({_canonical('t')}) AS h FROM (VALUES {_known_rows()}) v(license_id, t)
-), d AS (
-  SELECT doc_id, sha256({_canonical("coalesce(text, '')")}) AS digest, coalesce(text, '') AS t FROM documents
-), e AS (
-  SELECT doc_id, digest, digest AS h, true AS whole FROM d
+  SELECT DISTINCT license_id, sha256(array_to_string(p, ' ')) AS h, p[1] AS lead, len(p) AS n
+  FROM (SELECT license_id, {_paragraphs('t')} AS p FROM (VALUES {_known_rows()}) v(license_id, t))
+), d AS MATERIALIZED (
+  SELECT doc_id, coalesce(text, '') AS t, {_paragraphs("coalesce(text, '')")} AS p FROM documents
+), w AS (SELECT doc_id, t, p, sha256(array_to_string(p, ' ')) AS digest FROM d), e AS (
+  SELECT doc_id, digest, digest AS h, 'whole' AS kind FROM w
+  UNION ALL
+  SELECT doc_id, digest, sha256({_canonical('line')}), 'line' FROM (SELECT doc_id, digest, unnest(string_split(t, chr(10))) AS line FROM w)
   UNION ALL
-  SELECT doc_id, digest, sha256({_canonical('line')}), false
-  FROM (SELECT doc_id, digest, unnest(string_split(t, chr(10))) AS line FROM d)
-  WHERE regexp_matches(lower(line), '{licenses.ANCHOR}')
+  SELECT doc_id, digest, sha256(array_to_string(p[i:i + n - 1], ' ')), 'run'
+  FROM (SELECT doc_id, digest, p, unnest(range(1, len(p) + 1)) AS i FROM w) x JOIN (SELECT DISTINCT lead, n FROM known WHERE n > 1) k ON p[i] = lead
+  WHERE i + n - 1 <= len(p) AND n < len(p)
 )
-SELECT doc_id, digest, max(CASE WHEN whole THEN license_id END) AS whole_license,
+SELECT doc_id, digest, max(license_id) FILTER (WHERE kind = 'whole') AS whole_license,
   coalesce(string_agg(DISTINCT license_id, ',' ORDER BY license_id), '') AS licenses,
-  count(license_id) FILTER (WHERE NOT whole) AS matched_lines
+  count(license_id) FILTER (WHERE kind = 'line') AS matched_lines, count(license_id) FILTER (WHERE kind = 'run') AS matched_runs
 FROM e LEFT JOIN known USING (h) GROUP BY doc_id, digest
 """
 

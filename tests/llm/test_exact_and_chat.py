@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
+import textwrap
 from collections import Counter
 from itertools import combinations
+from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from siftline.llm import chat, exact, licenses, urls
@@ -121,9 +125,66 @@ def test_license_forms(spark):
     rows = [
         (1, "Text.\nLICENSED   under the Apache Licence, Version 2.0"), (2, "Copyright (c) 2020 Me\nReleased under the MIT License."), (3, "none"), (4, None),
         (5, "Released under the MIT License. And more"), (None, "Licensed under CC BY-NC 4.0."), (6, "x\nlicensed under the GNU General Public License, v3!\n"),
+        (7, ""), (8, "x " * 200_000 + "\n(Released under the MIT License)"),
     ]
     docs = spark.createDataFrame([(*r, "d") for r in rows], "doc_id long, text string, digest string")
-    got = {r.doc_id: (r.whole_license, r.licenses, r.matched_lines) for r in licenses.scan(docs, licenses.known_digests(spark)).collect()}
-    assert got[1] == (None, "Apache-2.0", 1) and got[2] == ("MIT", "MIT", 1) and got[3] == got[4] == got[5] == (None, "", 0)
-    assert got[None] == ("CC-BY-NC-4.0", "CC-BY-NC-4.0", 1) and got[6] == (None, "GPL-3.0", 1)
-    assert licenses.scan(docs.limit(0), licenses.known_digests(spark)).count() == 0
+    known = licenses.known_digests(spark)
+    got = {r.doc_id: (r.whole_license, r.licenses, r.matched_lines) for r in licenses.scan(docs, known).collect()}
+    assert got[1] == (None, "Apache-2.0", 1) and got[2] == ("MIT", "MIT", 1) and got[3] == got[4] == got[5] == got[7] == (None, "", 0)
+    assert got[None] == ("CC-BY-NC-4.0", "CC-BY-NC-4.0", 1) and got[6] == (None, "GPL-3.0", 1) and got[8] == (None, "MIT", 1)
+    assert licenses.scan(docs.limit(0), known).count() == 0
+    twice = spark.createDataFrame([(1, "Released under the MIT License."), (1, "Released under the MIT License."), (1, "released\nunder the MIT license"), (1, "other")], "doc_id long, text string")
+    assert sorted((r.whole_license or "", r.matched_lines) for r in licenses.scan(twice, known).collect()) in ([("", 0), ("MIT", 0)], [("", 0), ("MIT", 1)])
+
+
+MIT_FILE = """MIT License
+
+Copyright (c) 2024 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+
+
+def test_whole_license_files_and_licenses_inside_texts(spark):
+    wrapped = "\n\n".join(textwrap.fill(" ".join(p.split()), 50) for p in MIT_FILE.split("\n\n"))
+    broken = MIT_FILE.replace("free of charge", "for a charge")
+    rows = [(1, MIT_FILE), (2, wrapped.upper()), (3, f"Some tool.\n\n{wrapped}\n\nUsage: run it."), (4, broken), (5, f"A\n\n{broken}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.whole_license, r.licenses, r.matched_runs) for r in licenses.scan(docs, licenses.known_digests(spark)).collect()}
+    assert got == {1: ("MIT", "MIT", 0), 2: ("MIT", "MIT", 0), 3: (None, "MIT", 1), 4: (None, "", 0), 5: (None, "", 0)}
+
+
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no license files")
+def test_license_files_of_the_system(spark, tmp_path):
+    """Published texts, read from a folder: whole, wrapped anew and in capitals, inside a longer text."""
+    names = [n for n in ("Apache-2.0", "GPL-2", "GPL-3", "LGPL-2.1", "MPL-2.0", "BSD") if os.path.exists(f"/usr/share/common-licenses/{n}")]
+    rows = []
+    for i, name in enumerate(names):
+        text = Path(f"/usr/share/common-licenses/{name}").read_text()
+        (tmp_path / f"{name}.txt").write_text(text)
+        blocks = [b for b in re.split(r"\n[ \t]*\n", text) if b.strip()]
+        # Copyright lines are known by their place at a line's beginning, so those stay as they are.
+        anew = "\n\n".join(b if "copyright (c)" in b.lower() else " ".join(b.split()) for b in blocks)
+        rows += [(10 * i, text), (10 * i + 1, anew.upper()), (10 * i + 2, f"Before.\n\n{text}\n\nAfter.")]
+        rows.append((10 * i + 3, text.replace("the", "a", 40)))
+    known = licenses.read_known(spark, str(tmp_path))
+    got = {r.doc_id: (r.whole_license, r.licenses) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), known).collect()}
+    for i, name in enumerate(names):
+        assert got[10 * i] == (name, name) and got[10 * i + 2] == (None, name) and got[10 * i + 3] == (None, "")
+        assert got[10 * i + 1] == (name, name)
