@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from siftline.llm.common import broadcast_if_small, drop_scratch, scratch_table
 
-#: Keys are paired out when that makes at most so many pairs for each of their rows.
-PAIRS_A_ROW = 4
+#: Nodes of a key with up to so many are compared pair by pair at once.
+PAIR_OUT = 128
+#: Crowded keys are paired out in the end when that makes at most so many pairs for each of their rows.
+PAIRS_A_ROW = 64
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -65,14 +67,14 @@ def link_by_keys(
     ``confirm`` takes candidate pairs ``(a, b)``, a < b, and returns those that
     are links; ``links`` are confirmed already.
 
-    A crowded key is not paired out: its nodes are first compared with one of
-    them, another one each round, and nodes that links connect are not compared
-    again. When few pairs are left apart, or a round links nothing more, what
-    is left is compared pair by pair, so that no link between components is missed.
+    Keys with few nodes are paired out at once. A crowded key is not: its nodes
+    are first compared with one of them, another one each round, and nodes
+    that links connect are not compared again. When few pairs are left apart,
+    or a round links hardly anything more, what is left is compared pair by
+    pair, so that no link between components is missed.
     """
-    empty = keyed.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    links = empty if links is None else links
-    groups, turn, gained = scratch_table(connected_components(links), "link-groups"), 0, True
+    links = keyed.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0) if links is None else links
+    groups, turn, last = scratch_table(connected_components(links), "link-groups"), 0, False
     saved = _merged(groups)
     while True:
         named = broadcast_if_small(groups).select("node", F.col("component").alias("comp"))
@@ -84,26 +86,29 @@ def link_by_keys(
             F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"), F.count("*").alias("k"), F.max_by("hub", F.struct("c", "hub")).alias("hub")
         )
         mixed = scratch_table(mixed.filter("k > 1"), "link-keys")
-        n, crossing = mixed.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
-        if not n:
-            return groups
-        last = crossing <= PAIRS_A_ROW * n or not gained
-        open_ = scratch_table(open_.join(broadcast_if_small(mixed).select("key", "hub"), "key"), "link-open")
-        left = open_.select("key", F.col("node").alias("x"), F.col("at").alias("p"), F.col("comp").alias("cx"), "hub")
-        if last:
-            right = open_.select("key", F.col("node").alias("y"), F.col("at").alias("q"), F.col("comp").alias("cy"))
-            met = left.drop("hub").join(right, "key").filter("x < y AND cx <> cy")
-        else:
-            met = left.withColumns({"y": F.col("hub.node"), "q": F.col("hub.at")}).filter("x <> y")
+        crowded = mixed.filter(F.col("n") > PAIR_OUT)
+        n, crossing = crowded.agg(F.coalesce(F.sum("n"), F.lit(0)), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
+        last = last or not n or crossing <= PAIRS_A_ROW * n
+        open_ = scratch_table(open_.join(broadcast_if_small(mixed).select("key", "n", "hub"), "key"), "link-open")
+        left = open_.select("key", "n", F.col("node").alias("x"), F.col("at").alias("p"), F.col("comp").alias("cx"), "hub")
+        right = open_.select("key", F.col("node").alias("y"), F.col("at").alias("q"), F.col("comp").alias("cy"))
+        few = left if last else left.filter(F.col("n") <= PAIR_OUT)
+        met = few.join(right, "key").filter("x < y AND cx <> cy").select("x", "p", "y", "q")
+        if not last:
+            star = left.filter(F.col("n") > PAIR_OUT).select("x", "p", F.col("hub.node").alias("y"), F.col("hub.at").alias("q"))
+            met = met.unionByName(star.filter("x <> y"))
         met = met.filter(fits(F.col("p"), F.col("q"))) if fits else met
         pairs = scratch_table(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "link-pairs")
         links = links.unionByName(scratch_table(confirm(pairs), "links"))
-        drop_scratch(mixed, open_, pairs)
         groups = scratch_table(connected_components(links), "link-groups")
+        drop_scratch(mixed, pairs)
         if last:
+            drop_scratch(open_)
             return groups
+        # What was paired out is done.
+        keyed = open_.filter(F.col("n") > PAIR_OUT).select("key", "node", "at")
         was, saved = saved, _merged(groups)
-        gained, turn = saved > was, turn + 1
+        last, turn = saved - was <= saved // 100, turn + 1
 
 
 def _merged(groups: DataFrame) -> int:
