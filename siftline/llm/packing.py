@@ -24,6 +24,7 @@ from string import punctuation
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,11 +33,12 @@ from siftline.llm.common import BoundedTable, batches_of, doc_texts, scratch_tab
 WINDOW = 4096
 #: Items of one length are ranked in buckets of about this many.
 RANK_ROWS = 20_000
-#: Documents that are cut into chunks at a time.
-SLICE = 256
+#: Bytes of text that are cut into chunks at a time, about (whole documents).
+SLICE_BYTES = 32 << 20
 #: How the tokenizer splits texts into words, in its own notation.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_COMBINING = re.compile("[\u0300-\u036f]")
+_PLAIN = re.compile(rf"([{re.escape(punctuation)}]*)([^\W\d_]*)([{re.escape(punctuation)}]*)").fullmatch
+_COMBINING = "[\u0300-\u036f]"
 
 
 class CapacityTree:
@@ -130,7 +132,7 @@ class WordTable:
     one for each, and for all other chunks, each is encoded by itself.
     """
 
-    def __init__(self, tokenizer_path: str, table_limit: int = 400_000):
+    def __init__(self, tokenizer_path: str, table_limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -148,14 +150,14 @@ class WordTable:
     @staticmethod
     def _words(chunk: str) -> tuple[str, ...]:
         """The chunk's words if it is punctuation, letters, punctuation, of which any may lack; else none."""
-        rest = chunk.lstrip(punctuation)
-        core = rest.rstrip(punctuation)
-        if (core and not core.isalpha()) or "<|" in chunk:
+        met = _PLAIN(chunk)
+        if not met or "<|" in chunk:
             return ()
-        lead = chunk[: len(chunk) - len(rest)]
-        if core and lead.endswith("'"):  # may be a contraction
+        lead, core, tail = met.groups()
+        # Not letters alone, or what may be a contraction.
+        if not core.isalpha() and core or (lead and core and lead[-1] == "'"):
             return ()
-        return tuple(filter(None, (lead, core, rest[len(core) :])))
+        return tuple([w for w in (lead, core, tail) if w])
 
     def _ids(self, chunks: list[str]) -> list[bytes]:
         parts = [self._words(c) for c in chunks]
@@ -174,18 +176,28 @@ class WordTable:
     def _alone(self, chunk: str) -> bytes:
         return np.array(self.tok.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit numbers."""
-        cut = [self._plain(t).replace("\n", " ").split(" ") for t in texts]
-        for found in self.table.look_up(cut):
-            yield b"".join(found)
-
-    def _plain(self, text: str) -> str:
-        if not self.lowers or "<|" in text:
-            return text
-        if text.isascii():
-            return text.lower()
-        return text if _COMBINING.search(text) else text.encode().lower().decode()  # bytes: ASCII alone
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """For each text its ids as little-endian unsigned 32-bit numbers.
+
+        Only the distinct chunks of the texts are looked up; their ids are then
+        laid out by position in arrays."""
+        cut = pc.split_pattern(pc.replace_substring(self._plain(texts), "\n", " "), " ")
+        coded = cut.values.slice(cut.offsets[0].as_py(), cut.offsets[-1].as_py() - cut.offsets[0].as_py()).dictionary_encode()
+        (found,) = self.table.look_up([coded.dictionary.to_pylist()])
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        first, pool = np.cumsum(size) - size, np.frombuffer(b"".join(found), "<u4")
+        codes = coded.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(size[codes])])
+        ids = pool[np.repeat(first[codes] - ends[:-1], size[codes]) + np.arange(ends[-1])]
+        bounds = ends[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
+        for a, b in zip(bounds.tolist(), bounds[1:].tolist()):
+            yield ids[a:b].tobytes()
+
+    def _plain(self, texts: pa.Array) -> pa.Array:
+        if not self.lowers:
+            return texts
+        marked = pc.or_(pc.match_substring(texts, "<|"), pc.match_substring_regex(texts, _COMBINING))
+        return pc.if_else(marked, texts, pc.ascii_lower(texts))
 
 
 @lru_cache(maxsize=2)
@@ -210,10 +222,11 @@ def cut_pieces(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, end = word_table(tokenizer_path), struct.pack("<I", end_id)
         for batch in batches:
-            for part in range(0, batch.num_rows, SLICE):
-                some = batch.slice(part, SLICE)
+            step = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes))
+            for part in range(0, batch.num_rows, step):
+                some = batch.slice(part, step)
                 rows = []
-                for doc_id, raw in zip(some.column(0).to_pylist(), words.encode(some.column(1).to_pylist())):
+                for doc_id, raw in zip(some.column(0).to_pylist(), words.encode(some.column(1))):
                     raw += end
                     n = len(raw) // 4
                     for at in range(0, n, window):

@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 import sentencepiece
@@ -47,7 +48,8 @@ def test_small_tables_forget_and_still_agree():
     assert [ids for ids, _ in encoder.encode(texts)] == [encoder.model.encode(t) for t in texts]
     words, tok = packing.WordTable(BPE, table_limit=5), Tokenizer.from_file(BPE)
     want = [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
-    assert list(words.encode(texts)) == want
+    assert list(words.encode(pa.array(texts))) == want
+    assert list(words.encode(pa.array(texts).slice(3, 9))) == want[3:12] and list(words.encode(pa.array([], pa.string()))) == []
 
 
 def test_unknown_outputs_are_refused(spark):
