@@ -34,7 +34,7 @@ WINDOW = 4096
 #: Items of one length are ranked in buckets of about this many.
 RANK_ROWS = 20_000
 #: Bytes of text that are cut into chunks at a time, about (whole documents).
-SLICE_BYTES = 32 << 20
+SLICE_BYTES = 16 << 20
 #: How the tokenizer splits texts into words, in its own notation.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PLAIN = re.compile(rf"([{re.escape(punctuation)}]*)([^\W\d_]*)([{re.escape(punctuation)}]*)").fullmatch
@@ -132,7 +132,7 @@ class WordTable:
     one for each, and for all other chunks, each is encoded by itself.
     """
 
-    def __init__(self, tokenizer_path: str, table_limit: int = 600_000):
+    def __init__(self, tokenizer_path: str, table_limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -45,7 +45,10 @@ def test_small_tables_forget_and_still_agree():
     rng = random.Random(5)
     texts = [" ".join(rng.choice(["ab", "cd.", "xyz\n", "", "é", "Ω"]) * rng.randint(1, 3) for _ in range(50)) for _ in range(40)]
     encoder = pieces.ChunkEncoder(SP, table_limit=5)
-    assert [ids for ids, _ in encoder.encode(texts)] == [encoder.model.encode(t) for t in texts]
+    met = list(encoder.chunks(pa.array(texts)))
+    ids = [encoder.ids_of(m) for m in met]
+    assert ids == [encoder.model.encode(t) for t in texts]
+    assert [encoder.decoded(m) for m in met] == [encoder.decode(i) for i in ids] == [encoder.model.decode(i) for i in ids]
     words, tok = packing.WordTable(BPE, table_limit=5), Tokenizer.from_file(BPE)
     want = [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     assert list(words.encode(pa.array(texts))) == want
