@@ -112,7 +112,15 @@ def bar(x: str, name: str) -> str:
 
 # Sources and sinks
 register("src_resume_text", "SELECT doc_id, coalesce(text, '') AS text FROM documents")(docs)
-register("src_job_text", "SELECT job_id, text FROM jobs")(jobs)
+
+
+@register("src_job_text", "SELECT job_id, text FROM jobs")
+def src_job_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write each job as a file of its own and read the folder of files."""
+    path = new_path(spark, "job-files")
+    jobs(spark, sf_dir).repartition("job_id").write.partitionBy("job_id").option("lineSep", "\x00").text(path)
+    job_id = F.regexp_extract("file_path", "job_id=([0-9]+)", 1).cast("long")
+    return src.read_texts(spark, path).select(job_id.alias("job_id"), F.rtrim(F.col("text"), F.lit("\x00")).alias("text"))
 
 
 @register("src_reject_format", r"SELECT page_id, lower(regexp_extract(coalesce(url, ''), '\.([^./\\]+)$', 1)) AS suffix, lower(regexp_extract(coalesce(url, ''), '\.([^./\\]+)$', 1)) = 'html' AS accepted FROM pages")
@@ -281,6 +289,8 @@ register("experience_months", f"SELECT doc_id, {o.months(o.ranges('experience'))
 )
 register("experience_years", "SELECT candidate_id, cast(years AS DOUBLE) AS years FROM cand2")(lambda s, p: scoring.candidate_facts(replaced(s, p)).select("candidate_id", "years"))
 register("overall_score", "SELECT candidate_id, job_id, overall_score FROM report")(lambda s, p: _report(s, p).select("candidate_id", "job_id", "overall_score"))
+_NEAR = "JOIN customer ON candidate_id = c_custkey JOIN supplier ON job_id = s_suppkey AND c_nationkey = s_nationkey"
+register("score_given_pairs", REPORT.replace("FROM report", f"FROM report {_NEAR}"))(lambda s, p: _report_of_pairs(s, p))
 register("score_report", REPORT)(lambda s, p: shown(_report(s, p), "matched_skills", "missing_skills"))
 
 
@@ -288,6 +298,15 @@ def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score_report(replaced(spark, sf_dir), requirements(spark, sf_dir))
 
 
+def _report_of_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the pairs of a list: here, candidates and jobs of one nation."""
+    who = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("candidate_id"), F.col("c_nationkey").alias("nation"))
+    what = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("job_id"), F.col("s_nationkey").alias("nation"))
+    pairs = who.join(what, "nation").select("candidate_id", "job_id")
+    report = scoring.score_report(replaced(spark, sf_dir), requirements(spark, sf_dir), pairs)
+    return shown(report, "matched_skills", "missing_skills")
+
+
 @register("screening_summary", (
     "SELECT candidate_id, job_id, overall_score, skill_score, experience_score, education_score, total_experience_years, "
     "total_experience_years >= required_years AS experience_met, len(matched_skills) AS n_matched, len(need) AS n_required, "

@@ -12,10 +12,10 @@ SUPPORTED = ("txt", "md", "text")
 
 
 def read_texts(spark: SparkSession, path: str, id_col: str = "doc_id", pattern: str | None = None) -> DataFrame:
-    """Whole text files as ``(doc_id, text, file_name)``; a missing path raises.
-    The id is a hash of the file's path."""
+    """Whole text files as ``(doc_id, text, file_name, file_path)``; a missing
+    path raises. The id is a hash of the file's path."""
     files = spark.read.text(path, wholetext=True, pathGlobFilter=pattern).select("value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name"))
-    return files.select(F.xxhash64("file_path").alias(id_col), F.col("value").alias("text"), "file_name")
+    return files.select(F.xxhash64("file_path").alias(id_col), F.col("value").alias("text"), "file_name", "file_path")
 
 
 def text_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
