@@ -164,7 +164,7 @@ class _Features(dict):
     """Hashed feature of a word's shape, kept for words met before."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 200_000:
+        if len(self) > 60_000:
             self.clear()
         value = self[word] = _hashed("s:" + shape(word))
         return value

@@ -36,6 +36,8 @@ NODE_ROWS = 2048
 TASK_ROWS = 1 << 16
 #: Node pairs with no more leaf pairs than this are compared leaf by leaf.
 LEAF_PAIRS = 32
+#: Node pairs that a task walks at a time.
+FRONTIER = 1 << 19
 _BLOCK = 1 << 16
 _STEP = 4
 
@@ -104,7 +106,7 @@ def _unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         if not differ.any():
             return label
         i, j, least = i[differ], j[differ], least[differ]
-        for k in (i, j, label[i], label[j]):
+        for k in (label[i], label[j]):  # roots alone: a member must not leave its root before that is united
             np.minimum.at(label, k, least)
         while (label[label] != label).any():
             label = label[label]
@@ -117,9 +119,12 @@ def join_nodes(rot: np.ndarray, pairs: tuple[np.ndarray, ...], depth: int, budge
     ``rot``: leaves, sorted within each node. ``pairs``: arrays a_lo, a_hi,
     b_lo, b_hi, spent; a node paired with itself has equal bounds.
     """
-    label = np.arange(len(rot))
-    a, ah, b, bh, spent = pairs
-    while len(a):
+    label, waiting, ones_before = np.arange(len(rot)), [(pairs, depth)], {}
+    while waiting:
+        (a, ah, b, bh, spent), depth = waiting.pop()
+        if len(a) > FRONTIER:  # one half after the other, so that what is held stays bounded
+            waiting += [(tuple(x[part] for x in (a, ah, b, bh, spent)), depth) for part in (slice(len(a) // 2), slice(len(a) // 2, None))]
+            continue
         na, nb, own = ah - a, bh - b, a == b
         few = (na * nb <= LEAF_PAIRS) | (depth >= BITS)
         if few.any():
@@ -131,9 +136,11 @@ def join_nodes(rot: np.ndarray, pairs: tuple[np.ndarray, ...], depth: int, budge
                 label = _unite(label, i[near], j[near])
             a, ah, b, bh, spent, own = (x[~few] for x in (a, ah, b, bh, spent, own))
         if not len(a):
-            break
-        ones = (rot >> np.uint64(BITS - 1 - depth)) & np.uint64(1)
-        cum = np.concatenate([[0], np.cumsum(ones.astype(np.int64))])
+            continue
+        if depth not in ones_before:
+            ones = (rot >> np.uint64(BITS - 1 - depth)) & np.uint64(1)
+            ones_before[depth] = np.concatenate([[0], np.cumsum(ones.astype(np.int32), dtype=np.int32)])
+        cum = ones_before[depth]
         am, bm = _split(cum, a, ah), _split(cum, b, bh)
         cross = ~own
         a, ah, b, bh, spent = (
@@ -144,8 +151,8 @@ def join_nodes(rot: np.ndarray, pairs: tuple[np.ndarray, ...], depth: int, budge
             )
         )
         keep = (ah > a) & (bh > b) & (spent <= budget)
-        a, ah, b, bh, spent = (x[keep] for x in (a, ah, b, bh, spent))
-        depth += 1
+        if keep.any():
+            waiting.append((tuple(x[keep] for x in (a, ah, b, bh, spent)), depth + 1))
     return label
 
 

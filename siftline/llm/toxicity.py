@@ -69,7 +69,7 @@ class _WordWeights(dict):
         self.weights = weights
 
     def __missing__(self, word: str) -> float:
-        if len(self) >= 400_000:
+        if len(self) >= 120_000:
             self.clear()
         value = self[word] = sum(self.weights.get(f, 0.0) for f in word_features(word))
         return value

@@ -89,6 +89,14 @@ def test_a_split_nodes_children_do_not_mix_with_nodes_of_the_same_prefix(spark):
     assert {k: got.get(k, k) for k in want} == want
 
 
+def test_walking_in_slices_links_the_same(monkeypatch):
+    rot = np.sort(np.array(random_leaves(3, 2000), np.uint64) >> np.uint64(30))
+    whole = tuple(np.array([x]) for x in (0, len(rot), 0, len(rot), 0))
+    want = simhash.join_nodes(rot, whole, 30, 3)
+    monkeypatch.setattr(simhash, "FRONTIER", 50)
+    assert simhash.join_nodes(rot, whole, 30, 3).tolist() == want.tolist()
+
+
 def test_one_dense_trie_node_is_joined_whole():
     rng = random.Random(3)
     leaves = sorted({rng.getrandbits(12) for _ in range(900)})
