@@ -96,7 +96,7 @@ EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
 
 #: Equivalent spellings, as (pattern, replacement) over lower-case text. RE2 and Java read them alike.
 SPELLINGS: tuple[tuple[str, str], ...] = (
-    ("(^|\n)[ \t]*(copyright[ \t]*(©|[(]c[)]|[0-9]{4}|[<\\[])|©|[(]c[)])[^\n]*", "$1"),
+    ("(^|\n)[ \t]*(copyright[ \t]*(©|[(]c[)]|[0-9]{4}|[<\\[])|(©|[(]c[)])[ \t]*[0-9]{4})[^\n]*", "$1"),
     ("(^|\n)[ \t]*all rights reserved[. \t]*(\n|$)", "$1"),
     ("^\\s*(the )?(mit|isc|zlib|unlicense|boost software|(new |simplified |modified )?bsd|bsd [0-9]-clause|apache|mozilla public|gnu ([a-z]+ )?general public)( [0-9]-clause)? licen[cs]e[^\n]{0,30}(\n|$)", ""),
     ("licenc", "licens"),

@@ -179,8 +179,8 @@ def test_license_files_of_the_system(spark, tmp_path):
         text = Path(f"/usr/share/common-licenses/{name}").read_text()
         (tmp_path / f"{name}.txt").write_text(text)
         blocks = [b for b in re.split(r"\n[ \t]*\n", text) if b.strip()]
-        # Copyright lines are known by their place at a line's beginning, so those stay as they are.
-        anew = "\n\n".join(b if not n or "copyright (c)" in b.lower() else " ".join(b.split()) for n, b in enumerate(blocks))
+        # Copyright and title lines are known by their place at a line's beginning, so those stay as they are.
+        anew = "\n\n".join(b if b.strip().count("\n") < 3 or "copyright (c)" in b.lower() else " ".join(b.split()) for b in blocks)
         rows += [(10 * i, text), (10 * i + 1, anew.upper()), (10 * i + 2, f"Before.\n\n{text}\n\nAfter.")]
         rows.append((10 * i + 3, text.replace("the", "a", 40)))
     known = licenses.read_known(spark, str(tmp_path))
