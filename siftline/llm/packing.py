@@ -132,7 +132,7 @@ class WordTable:
     one for each, and for all other chunks, each is encoded by itself.
     """
 
-    def __init__(self, tokenizer_path: str, table_limit: int = 400_000):
+    def __init__(self, tokenizer_path: str, table_limit: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -37,7 +37,7 @@ TASK_ROWS = 1 << 16
 #: Node pairs with no more leaf pairs than this are compared leaf by leaf.
 LEAF_PAIRS = 32
 #: Node pairs that a task walks at a time.
-FRONTIER = 1 << 19
+FRONTIER = 1 << 16
 _BLOCK = 1 << 16
 _STEP = 4
 
@@ -129,7 +129,7 @@ def join_nodes(rot: np.ndarray, pairs: tuple[np.ndarray, ...], depth: int, budge
         few = (na * nb <= LEAF_PAIRS) | (depth >= BITS)
         if few.any():
             left = np.flatnonzero(few)
-            for part in np.array_split(left, 1 + int((na * nb)[left].sum()) // (1 << 21)):
+            for part in np.array_split(left, 1 + int((na * nb)[left].sum()) // (1 << 18)):
                 i, j = _spread(a[part], na[part], b[part], nb[part])
                 # A pair of a node with itself gives each link twice; one is enough.
                 near = (i != j) & (np.bitwise_count(rot[i] ^ rot[j]) <= budget)
