@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
 from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,6 +64,24 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, upper, upper.lower())
 
 
+def releasing(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """A function over a task's batches that gives freed memory back to the
+    machine at its end. Python workers outlive tasks, and several wait beside
+    those that work, so what each keeps counts."""
+
+    @wraps(run)
+    def task(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return task
+
+
 class BoundedTable:
     """A lookup table that computes many missing values at once and keeps the
     keys met last, ``2 * limit`` at most. Forgetting changes only speed."""

@@ -28,7 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from siftline.llm.common import BoundedTable, batches_of, doc_texts
+from siftline.llm.common import BoundedTable, batches_of, doc_texts, releasing
 
 MARK = "▁"
 #: Bytes of text that are cut into chunks at a time, about (whole documents).
@@ -173,7 +173,7 @@ def encode(
                 yield pa.RecordBatch.from_arrays(cols, schema=kinds)
 
     schema = ", ".join(["doc_id long", *(f"{c} {OUTPUTS[c]}" for c in outputs)])
-    return doc_texts(docs, id_col, text_col).mapInArrow(run, schema)
+    return doc_texts(docs, id_col, text_col).mapInArrow(releasing(run), schema)
 
 
 def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -188,4 +188,4 @@ def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col:
             texts = [enc.decode(ids.as_py() or []) for ids in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "decoded"])
 
-    return encoded.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{ids_col}` ids").mapInArrow(run, "doc_id long, decoded string")
+    return encoded.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{ids_col}` ids").mapInArrow(releasing(run), "doc_id long, decoded string")

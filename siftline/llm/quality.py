@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from siftline.llm.common import doc_texts
+from siftline.llm.common import doc_texts, releasing
 from siftline.llm.linear import fit_logistic, sigmoid
 
 NOTHING, GOOD, BAD = 0, 1, 2
@@ -102,11 +102,11 @@ def votes(text: str) -> int:
 
 
 def votes_column(text: Column) -> Column:
-    @F.arrow_udf("int")
-    def code(texts: pa.Array) -> pa.Array:
-        return pa.array([votes(t or "") for t in texts.to_pylist()], pa.int32())
+    def code(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([votes(t.as_py() or "") for t in texts], pa.int32())
 
-    return code(text)
+    return F.arrow_udf(releasing(code), "int")(text)
 
 
 @dataclass(frozen=True)
@@ -224,7 +224,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *cols], names=["doc_id", "digest", "votes", "ids", "values"])
 
     drawn = texts.filter((draw < share) & (F.length("text") <= LONGEST)).withColumn("digest", F.xxhash64("text"))
-    sample = drawn.mapInArrow(sparse, "doc_id long, digest long, votes int, ids array<long>, values array<double>")
+    sample = drawn.mapInArrow(releasing(sparse), "doc_id long, digest long, votes int, ids array<long>, values array<double>")
     rows = sorted(sample.dropDuplicates(["doc_id", "digest"]).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.digest))
     if not rows:
         return QualityModel({}, 40.0, labels)
@@ -237,11 +237,11 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id
 def score_column(text: Column, model: QualityModel) -> Column:
     """Chance of good quality of each text; a null text counts as empty."""
 
-    @F.arrow_udf("double")
-    def score(texts: pa.Array) -> pa.Array:
-        return pa.array([model.score(t or "") for t in texts.to_pylist()], pa.float64())
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([model.score(t.as_py() or "") for t in texts], pa.float64())
 
-    return score(text)
+    return F.arrow_udf(releasing(score), "double")(text)
 
 
 def score_documents(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import broadcast_if_small, doc_texts, scratch_table
+from siftline.llm.common import broadcast_if_small, doc_texts, releasing, scratch_table
 from siftline.llm.components import connected_components
 
 SEED = 42
@@ -82,7 +82,7 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
             fps = np.fromiter((fingerprint(t.as_py(), width) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], schema=kinds)
 
-    return doc_texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return doc_texts(docs, id_col, text_col).mapInArrow(releasing(run), "doc_id long, fp long")
 
 
 def _split(cum: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -257,7 +257,7 @@ def trie_links(leaves: DataFrame, budget: int = 3, node_rows: int = NODE_ROWS) -
         units = units.unionByName(more)
     # A split node's child can have the same prefix number as a node that was not split: depth tells them apart.
     dealt = units.repartition(*pair).sortWithinPartitions(*pair, "side", "rot")
-    return dealt.mapInArrow(_join_task(budget), "a long, b long")
+    return dealt.mapInArrow(releasing(_join_task(budget)), "a long, b long")
 
 
 def _rotate(col: str, by: int):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import doc_texts, scratch_table
+from siftline.llm.common import doc_texts, releasing, scratch_table
 from siftline.llm.linear import fit_noisy_or
 
 #: Bounds of the training sample, for each class: about this many labelled
@@ -138,11 +138,11 @@ def fit(texts: list[str], label: np.ndarray, min_docs: int = MIN_DOCS) -> Toxici
 def score_column(text: Column, model: ToxicityModel) -> Column:
     """The score of each text, 0 to 1; a null or empty text has no sentence and scores 0."""
 
-    @F.arrow_udf("double")
-    def score(texts: pa.Array) -> pa.Array:
-        return pa.array([model.score(t) if t else 0.0 for t in texts.to_pylist()], pa.float64())
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([model.score(t.as_py() or "") for t in texts], pa.float64())
 
-    return score(text)
+    return F.arrow_udf(releasing(score), "double")(text)
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
