@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftline.llm.common import BoundedTable, batches_of, doc_texts, scratch_table
+from siftline.llm.common import BoundedTable, batches_of, doc_texts, releasing, scratch_table
 
 WINDOW = 4096
 #: Items of one length are ranked in buckets of about this many.
@@ -157,6 +157,9 @@ class WordTable:
         # Not letters alone, or what may be a contraction.
         if not core.isalpha() and core or (lead and core and lead[-1] == "'"):
             return ()
+        # Lower-casing may leave a combining mark, which joins what follows it.
+        if len(low := core.lower()) != len(core) or core and not low.isalpha():
+            return ()
         return tuple([w for w in (lead, core, tail) if w])
 
     def _ids(self, chunks: list[str]) -> list[bytes]:
@@ -236,7 +239,7 @@ def cut_pieces(
                 cols = list(zip(*rows)) or [[]] * len(fields)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(cols, fields)], schema=kinds)
 
-    return doc_texts(docs, id_col, text_col).mapInArrow(run, schema)
+    return doc_texts(docs, id_col, text_col).mapInArrow(releasing(run), schema)
 
 
 def place(pieces: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -19,7 +19,7 @@ SP = str(public_tokenizers.path("piece_bpe_32k.model"))
 BPE = str(public_tokenizers.path("word_bpe_49k.json"))
 TEXTS = [
     "", None, " ", "   ", "a", "a  b   c ", "Hello, world.\nNew line\t tab", "▁marked▁ text", "日本語 テスト", "x" * 3000, "e\u0301 \u00e9 K\u0331",
-    "</s> <s> <unk>", "<|endoftext|> it's DON'T ΑΣ", "the quick brown fox. " * 700, "one " * 5000, "\x00 \x1c\x85", "a b" * 3,
+    "TAKSİ. (İ) İ. İ, \"İ\" aİ! İ", "</s> <s> <unk>", "<|endoftext|> it's DON'T ΑΣ", "the quick brown fox. " * 700, "one " * 5000, "\x00 \x1c\x85", "a b" * 3,
 ]
 
 
@@ -55,6 +55,19 @@ def test_small_tables_forget_and_still_agree():
     assert list(words.encode(pa.array(texts).slice(3, 9))) == want[3:12] and list(words.encode(pa.array([], pa.string()))) == []
 
 
+def test_words_of_random_texts_equal_the_library():
+    rng = random.Random(11)
+    odd = "İıΣςßŉǰΐẞﬀÅΩK가한́̇ªº٣²_'s\"(.,)-!?<|>\x1c\xa0\u3000"
+    words, tok = packing.WordTable(BPE), Tokenizer.from_file(BPE)
+    texts = []
+    for _ in range(6000):
+        word = lambda: "".join(rng.choice(odd if rng.random() < 0.4 else "abcXYZé") for _ in range(rng.randint(1, 7)))
+        texts.append(" ".join(word() for _ in range(rng.randint(0, 8))))
+    want = [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
+    got = list(words.encode(pa.array(texts)))
+    assert [t for t, a, b in zip(texts, got, want) if a != b] == []
+
+
 def test_unknown_outputs_are_refused(spark):
     with pytest.raises(ValueError, match="unknown"):
         pieces.encode(frame(spark, ["a"]), SP, ("nothing",))
