@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import chat, exact, licenses, media, packing, pieces, quality, simhash, toxicity, urls
+from siftline.llm import chat, decontaminate, exact, licenses, media, packing, pieces, quality, simhash, toxicity, urls
 
 
 def tokenizer_file(name: str) -> str:
@@ -82,6 +82,15 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    found = decontaminate.scan(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated"
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
@@ -94,6 +103,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_toxicity": op9_toxicity,
         "op10_chat_format": op10_chat_format,
+        "op13_decontaminate": op13_decontaminate,
     }
 
 
@@ -175,5 +185,27 @@ FROM e LEFT JOIN known USING (h) GROUP BY doc_id, digest
 """
 
 
+def _words(text: str) -> str:
+    low = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"regexp_extract_all({low}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+OP13_SQL = f"""
+WITH b AS (
+  SELECT item, w, least(len(w), {decontaminate.WINDOW}) AS n FROM (SELECT coalesce(cast(item_id AS VARCHAR), '') AS item, {_words('text')} AS w FROM benchmark) WHERE len(w) > 0
+), win AS (
+  SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS said FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM b)
+), d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, {_words('text')} AS w FROM documents
+), runs AS (
+  SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS said FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)
+), met AS MATERIALIZED (SELECT runs.r, runs.i, runs.n, win.item FROM runs JOIN win USING (n, said)), hit AS (
+  SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS k FROM met) GROUP BY r
+), items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS said FROM (SELECT DISTINCT r, item FROM met) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(said, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op7_license_scan": OP7_SQL, "op10_chat_format": OP10_SQL}
+    return {"op13_decontaminate": OP13_SQL, "op2_exact_dedup": OP2_SQL, "op7_license_scan": OP7_SQL, "op10_chat_format": OP10_SQL}

@@ -58,7 +58,7 @@ class ToxicityModel:
         return _softplus(self.bias + sum(map(self._words.__getitem__, _words(sentence))))
 
     def score(self, text: str) -> float:
-        return -expm1(-sum(map(self.sentence, _SENTENCE.findall(text))))
+        return 0.0 - expm1(-sum(map(self.sentence, _SENTENCE.findall(text))))
 
 
 class _WordWeights(dict):
