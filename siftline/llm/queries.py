@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import chat, decontaminate, exact, licenses, media, packing, pieces, quality, simhash, toxicity, urls
+from siftline.llm import alignment, chat, decontaminate, exact, licenses, media, packing, pieces, quality, simhash, toxicity, urls
 
 
 def tokenizer_file(name: str) -> str:
@@ -82,6 +82,11 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, a, b = read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model")
+    return alignment.alignment_counts(docs, a, b, digest=True).withColumnRenamed("groups", "groups_sha256")
+
+
 def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -103,6 +108,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_toxicity": op9_toxicity,
         "op10_chat_format": op10_chat_format,
+        "op12_alignment": op12_alignment,
         "op13_decontaminate": op13_decontaminate,
     }
 
