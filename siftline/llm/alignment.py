@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import BROADCAST_ROWS, BoundedTable, batches_of, broadcast_if_small, doc_texts, drop_scratch, releasing, scratch_table
+from siftline.llm.common import BROADCAST_ROWS, BoundedTable, batches_of, crowded_join, doc_texts, releasing, scratch_table
 
 #: Bytes of text that are cut into chunks at a time, about (whole documents); chunks that are tokenised in one call.
 SLICE_BYTES, JOINED = 4 << 20, 1000
@@ -271,18 +271,6 @@ def pair_counts(linked: DataFrame, a_size: int) -> tuple[np.ndarray, DataFrame]:
     return vector, counted.filter("NOT same").select(F.col("key").alias("odd"), "n")
 
 
-def _crowded(pairs: DataFrame, rows: int) -> int:
-    """The least power of two that at most ``rows`` pairs reach in number of documents."""
-    sizes = sorted(pairs.groupBy(F.length(F.bin("n")).alias("digits")).count().collect(), reverse=True)  # at most 64 rows
-    at, total = 64, 0
-    for digits, n in sizes:
-        total += n
-        if total > rows:
-            break
-        at = digits
-    return 1 << min(at - 1, 62)
-
-
 def alignment_counts(docs: DataFrame, a_path: str, b_path: str, digest: bool = False, broadcast_rows: int = BROADCAST_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_a, n_b, n_groups, n_links, n_best
     (links whose pair no other pair of the A id exceeds in documents), count_sum
@@ -311,16 +299,9 @@ def alignment_counts(docs: DataFrame, a_path: str, b_path: str, digest: bool = F
             keys, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n == most[keys >> 16])], names=["odd", "n", "top"])
 
-    known = scratch_table(pairs.mapInArrow(releasing(best_of), "odd long, n long, top boolean"), "pair-best")
+    known = scratch_table(pairs.mapInArrow(releasing(best_of), "odd long, n long, top boolean").withColumn("held", F.col("n")), "pair-best")
     links = linked.select("row", F.inline(F.arrays_zip("odd", F.col("odd_n").alias("often"))))
-    if known.count() <= broadcast_rows:
-        met = links.join(broadcast_if_small(known, broadcast_rows), "odd")
-    else:
-        least = _crowded(known, broadcast_rows)
-        crowded = scratch_table(known.filter(F.col("n") >= least), "pair-crowded")
-        met = links.join(broadcast_if_small(crowded, broadcast_rows), "odd")
-        rest = links.join(broadcast_if_small(crowded, broadcast_rows), "odd", "left_anti")
-        met = met.unionByName(rest.join(known.filter(F.col("n") < least), "odd"))
-    other = met.groupBy("row").agg(F.sum(F.when(F.col("top"), F.col("often")).otherwise(0)).alias("n_best"), F.sum(F.col("often") * F.col("n")).alias("count_sum"))
+    met = crowded_join(links, known, "odd", broadcast_rows)
+    other = met.groupBy("row").agg(F.sum(F.when(F.col("top"), F.col("often")).otherwise(0)).alias("n_best"), F.sum(F.col("often") * F.col("held")).alias("count_sum"))
     sums = own.unionByName(other).groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
     return linked.drop("same", "same_n", "odd", "odd_n").join(sums, "row").drop("row")

@@ -49,6 +49,24 @@ def broadcast_if_small(table: DataFrame, rows: int = BROADCAST_ROWS, file_bytes:
     return F.broadcast(table) if small else table
 
 
+def crowded_join(rows: DataFrame, table: DataFrame, key: str, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``rows`` joined with a scratch table that has each ``key`` once and, as
+    ``n``, how many rows have it. The table is broadcast if it is small. Else
+    only its keys with most rows are, at most ``most``; what meets in a shuffle
+    has fewer rows a key than each of those."""
+    if table.count() <= most:
+        return rows.join(broadcast_if_small(table, most), key).drop("n")
+    least, total = 1 << 62, 0
+    for digits, count in sorted(table.groupBy(F.length(F.bin("n"))).count().collect(), reverse=True):  # at most 64 rows
+        total += count
+        if total > most:
+            break
+        least = 1 << (digits - 1)
+    crowded = scratch_table(table.filter(F.col("n") >= least), "crowded")
+    some, few = broadcast_if_small(crowded, most), table.filter(F.col("n") < least)
+    return rows.join(some, key).unionByName(rows.join(some, key, "left_anti").join(few, key)).drop("n")
+
+
 def doc_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, text)`` of a table, a null text as the empty text. All other
     columns are left behind, so their names cannot clash."""

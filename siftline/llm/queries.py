@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import alignment, chat, decontaminate, exact, licenses, media, packing, pieces, quality, simhash, toxicity, urls
+from siftline.llm import alignment, chat, decontaminate, exact, licenses, media, packing, pieces, quality, repair, simhash, toxicity, urls
 
 
 def tokenizer_file(name: str) -> str:
@@ -82,6 +82,17 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    talks = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    plan, turns = repair.repair(repair.damaged(talks))
+    ids = talks.select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
+    out = repair.of_each(repair.of_each(ids, plan), repair.turn_digests(turns))
+    counts = (repair.column_or(c, 0) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost"))
+    return out.select("conv_id", *counts, repair.column_or("audit", ""), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, a, b = read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model")
     return alignment.alignment_counts(docs, a, b, digest=True).withColumnRenamed("groups", "groups_sha256")
@@ -108,6 +119,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_toxicity": op9_toxicity,
         "op10_chat_format": op10_chat_format,
+        "op11_repair": op11_repair,
         "op12_alignment": op12_alignment,
         "op13_decontaminate": op13_decontaminate,
     }
