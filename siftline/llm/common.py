@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from functools import wraps
 from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.shared import hadoop_path, new_path
@@ -18,12 +19,27 @@ from siftline.shared import hadoop_path, new_path
 BROADCAST_ROWS, BROADCAST_FILE_BYTES = 200_000, 8 << 20
 
 
-def scratch_table(df: DataFrame, label: str) -> DataFrame:
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    """Batches of ``rows`` rows go to Python meanwhile; then what the session had holds again."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    if rows:
+        spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
+def scratch_table(df: DataFrame, label: str, batch_rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut and
     every later use sees the same rows, whatever executors are lost. The table
-    goes with ``drop_scratch`` or when the driver ends."""
+    goes with ``drop_scratch`` or when the driver ends. ``batch_rows`` bounds
+    what Python functions in ``df``, and the JVM beside them, hold at once."""
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with arrow_batches(df.sparkSession, batch_rows):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._siftline_path = path
     return out

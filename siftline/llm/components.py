@@ -58,14 +58,15 @@ def _mark(edges: DataFrame) -> tuple:
 
 
 def link_by_keys(
-    keyed: DataFrame, confirm: Callable[[DataFrame], DataFrame], links: DataFrame | None = None, fits: Callable[[Column, Column], Column] | None = None
+    keyed: DataFrame, confirm: Callable[[DataFrame], DataFrame], links: DataFrame | None = None, fits: Callable[[Column, Column], Column] | None = None,
+    batch_rows: int | None = None,
 ) -> DataFrame:
     """``(node, component)`` of the nodes that confirmed links connect.
 
     ``keyed``: key, node and a struct ``at``, read the same each time. Nodes
     that share a key are candidates if ``fits`` holds for their structs;
     ``confirm`` takes candidate pairs ``(a, b)``, a < b, and returns those that
-    are links; ``links`` are confirmed already.
+    are links, ``batch_rows`` at a time; ``links`` are confirmed already.
 
     Keys with few nodes are paired out at once. A crowded key is not: its nodes
     are first compared with one of them, another one each round, and nodes
@@ -99,7 +100,7 @@ def link_by_keys(
             met = met.unionByName(star.filter("x <> y"))
         met = met.filter(fits(F.col("p"), F.col("q"))) if fits else met
         pairs = scratch_table(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "link-pairs")
-        links = links.unionByName(scratch_table(confirm(pairs), "links"))
+        links = links.unionByName(scratch_table(confirm(pairs), "links", batch_rows))
         groups = scratch_table(connected_components(links), "link-groups")
         drop_scratch(mixed, pairs)
         if last:

@@ -34,7 +34,9 @@ WINDOW = 4096
 #: Items of one length are ranked in buckets of about this many.
 RANK_ROWS = 20_000
 #: Bytes of text that are cut into chunks at a time, about (whole documents).
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
+#: Rows that go to Python at once.
+TEXT_ROWS = 1500
 #: How the tokenizer splits texts into words, in its own notation.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PLAIN = re.compile(rf"([{re.escape(punctuation)}]*)([^\W\d_]*)([{re.escape(punctuation)}]*)").fullmatch
@@ -132,7 +134,7 @@ class WordTable:
     one for each, and for all other chunks, each is encoded by itself.
     """
 
-    def __init__(self, tokenizer_path: str, table_limit: int = 200_000):
+    def __init__(self, tokenizer_path: str, table_limit: int = 120_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -280,7 +282,7 @@ def pack(
     A repeated or null doc_id is packed like any other row; an empty table
     gives an empty table; other columns are not looked at."""
     pieces = cut_pieces(docs, tokenizer_path, end_id, window, with_ids, id_col, text_col)
-    return place(scratch_table(pieces, "pieces"), window)
+    return place(scratch_table(pieces, "pieces", TEXT_ROWS), window)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -36,6 +36,8 @@ NODE_ROWS = 2048
 TASK_ROWS = 1 << 16
 #: Node pairs with no more leaf pairs than this are compared leaf by leaf.
 LEAF_PAIRS = 32
+#: Rows of texts that go to Python at once.
+TEXT_ROWS = 1000
 #: Node pairs that a task walks at a time.
 FRONTIER = 1 << 16
 _BLOCK = 1 << 16
@@ -279,7 +281,7 @@ def near_groups(
     component of their fingerprint, null if no row with an id has it. An empty
     table gives an empty table; other columns are not looked at.
     """
-    prints = scratch_table(fingerprints(docs, width, id_col, text_col), "fingerprints")
+    prints = scratch_table(fingerprints(docs, width, id_col, text_col), "fingerprints", TEXT_ROWS)
     reps = scratch_table(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "leaves")
     known = reps.filter("rep IS NOT NULL")
     groups = scratch_table(connected_components(trie_links(known, budget, node_rows)), "components")
