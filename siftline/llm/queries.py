@@ -225,5 +225,66 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
 """
 
 
+def _options(state: int) -> str:
+    """The best of deleting, rerolling and keeping the row with symbol s, as structs (cost, audit)."""
+    move = lambda edit, cost, to: f"{{'c': v{to}.c + {cost}, 'a': '{edit}' || v{to}.a}}"
+    after, never = repair.NEXT[state], "{'c': 1000000, 'a': ''}"
+    late = "CASE WHEN s = upper(s) THEN 1 ELSE 0 END"
+    kept = [(x, repair.kept_state(x, state)) for x in repair.ROLES]
+    keeps = " ".join(f"WHEN lower(s) = '{x}' THEN {move('K', late, to)}" for x, to in kept if to is not None)
+    return f"list_min([{move('D', 3, state)}, CASE WHEN s <> 'd' THEN {move('R', f'2 + {late}', after)} ELSE {never} END, CASE {keeps} ELSE {never} END])"
+
+
+def _or_insert(own: str, other: str) -> str:
+    return f"list_min([{own}, {{'c': {other}.c + 2, 'a': 'I' || {other}.a}}])"
+
+
+_SPACE_CHARS = " || ".join(f"chr({ord(c)})" for c in " \t\n\x0b\x0c\r")
+_CRC = (
+    "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(k, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: "
+    "list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295)"
+)
+OP11_SQL = f"""
+WITH RECURSIVE c AS MATERIALIZED (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations
+), drawn AS MATERIALIZED (SELECT *, {_CRC} % 20 AS g FROM c), placed AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM (
+    SELECT conv_id, turn, CASE g WHEN 4 THEN 'user' ELSE role END AS role, CASE g WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+      unnest(range(CASE g WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) FROM drawn)
+), judged AS (
+  SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+    CASE WHEN ini IN ('u', 'a', 's') THEN ini ELSE 'o' END AS kind, coalesce(pair NOT IN ('su', 'ua', 'au'), false) AS illegal
+  FROM (SELECT *, rtrim(text, {_SPACE_CHARS}) AS bare, substr(role, 1, 1) AS ini, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) AS nth,
+    lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY pos) || substr(role, 1, 1) AS pair FROM placed)
+), rows_ AS MATERIALIZED (
+  SELECT *, CASE WHEN fault IN ('blank', 'duplicate') THEN 'd' WHEN fault = 'truncated' THEN upper(kind) ELSE kind END AS symbol FROM judged
+), w AS MATERIALIZED (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+    count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE illegal) AS illegal,
+    string_agg(symbol, '' ORDER BY pos) AS word FROM rows_ GROUP BY conv_id
+), walk AS (
+  SELECT word, len(word) AS n, {{'c': 0, 'a': ''}} AS v0, {{'c': 4, 'a': 'II'}} AS v1, {{'c': 2, 'a': 'I'}} AS v2, {{'c': 0, 'a': ''}} AS v3 FROM (SELECT DISTINCT word FROM w)
+  UNION ALL
+  SELECT word, n - 1, {_or_insert('b0', 'x2')}, {_or_insert('b1', 'x2')}, x2, x3 FROM (
+    SELECT word, n, b0, b1, {_or_insert('b2', 'b3')} AS x2, {_or_insert('b3', 'b2')} AS x3 FROM (
+      SELECT word, n, {', '.join(f'{_options(q)} AS b{q}' for q in range(4))} FROM (SELECT *, substr(word, n, 1) AS s FROM walk WHERE n > 0)))
+), plan AS MATERIALIZED (
+  SELECT w.*, v0.c::BIGINT AS cost, v0.a AS audit FROM w JOIN (SELECT word, v0 FROM walk WHERE n = 0) USING (word)
+), edits AS (
+  SELECT conv_id, edit, sum(CASE WHEN edit <> 'I' THEN 1 ELSE 0 END) OVER o AS pos, sum(CASE WHEN edit <> 'D' THEN 1 ELSE 0 END) OVER o AS j
+  FROM (SELECT conv_id, unnest(string_split(audit, '')) AS edit, unnest(range(len(audit))) AS i FROM plan WHERE audit <> '') WINDOW o AS (PARTITION BY conv_id ORDER BY i)
+), turns AS (
+  SELECT e.conv_id, edit, j, r.role, r.text, max(CASE WHEN j = 1 AND edit = 'K' AND r.symbol IN ('s', 'S') THEN 1 ELSE 0 END) OVER (PARTITION BY e.conv_id) AS lead
+  FROM (SELECT * FROM edits WHERE edit <> 'D') e LEFT JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM e.conv_id AND r.pos = e.pos
+), made AS (
+  SELECT conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN (j - lead) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY j)) AS sha
+  FROM turns GROUP BY conv_id
+)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) ids LEFT JOIN plan p ON p.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN made m ON m.conv_id IS NOT DISTINCT FROM ids.conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op13_decontaminate": OP13_SQL, "op2_exact_dedup": OP2_SQL, "op7_license_scan": OP7_SQL, "op10_chat_format": OP10_SQL}
+    return {"op11_repair": OP11_SQL, "op13_decontaminate": OP13_SQL, "op2_exact_dedup": OP2_SQL, "op7_license_scan": OP7_SQL, "op10_chat_format": OP10_SQL}
