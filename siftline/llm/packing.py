@@ -12,7 +12,6 @@ up in the plan.
 
 from __future__ import annotations
 
-import json
 import os
 import re
 import struct
@@ -22,7 +21,6 @@ from functools import lru_cache
 from string import punctuation
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -134,21 +132,26 @@ class WordTable:
     one for each, and for all other chunks, each is encoded by itself.
     """
 
-    def __init__(self, tokenizer_path: str, table_limit: int = 120_000):
+    def __init__(self, tokenizer_path: str, table_limit: int = 80_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(tokenizer_path)
-        kind = json.loads(self.tok.to_str())
-        self.ends = np.zeros(self.tok.get_vocab_size(), bool)
-        suffix = kind["model"].get("end_of_word_suffix")
-        splits = [p.get("pattern", {}).get("Regex") for p in (kind.get("pre_tokenizer") or {}).get("pretokenizers", ())]
-        if suffix and WORDS in splits:  # else no two words are encoded together
-            self.ends[[i for t, i in self.tok.get_vocab().items() if t.endswith(suffix)]] = True
+        self.ends = self._ends()
         self.lowers = [self.tok.encode(t, add_special_tokens=False).ids for t in ("AZ", "az")]
         self.lowers = self.lowers[0] == self.lowers[1]
         self.table = BoundedTable(self._ids, table_limit)
 
+    def _ends(self) -> np.ndarray:
+        """Which ids end a word; none, so that no two words are encoded
+        together, if the tokenizer marks no ends or cuts words another way."""
+        ends, model = np.zeros(self.tok.get_vocab_size(), bool), self.tok.model
+        suffix = getattr(model, "end_of_word_suffix", None)
+        if suffix and WORDS in repr(self.tok.pre_tokenizer):
+            for i in range(len(ends)):
+                ends[i] = self.tok.id_to_token(i).endswith(suffix)
+        return ends
+
     @staticmethod
     def _words(chunk: str) -> tuple[str, ...]:
         """The chunk's words if it is punctuation, letters, punctuation, of which any may lack; else none."""
@@ -261,12 +264,12 @@ def place(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     plan = plan[np.lexsort((plan[:, 1], plan[:, 0]))]
     sent = spark.sparkContext.broadcast((plan, plan[:, 0] << 48 | plan[:, 1]))
 
-    @F.pandas_udf("sequence_id long, offset long")
-    def look_up(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("sequence_id long, offset long")
+    def look_up(length: pa.Array, rank: pa.Array) -> pa.Array:
         rows, key = sent.value
-        at = np.searchsorted(key, length.to_numpy() << 48 | rank.to_numpy(), side="right") - 1
-        row = rows[at]
-        return pd.DataFrame({"sequence_id": row[:, 3] + rank.to_numpy() - row[:, 1], "offset": row[:, 4]})
+        length, rank = length.to_numpy(), rank.to_numpy()
+        row = rows[np.searchsorted(key, length << 48 | rank, side="right") - 1]
+        return pa.StructArray.from_arrays([pa.array(row[:, 3] + rank - row[:, 1]), pa.array(row[:, 4])], names=["sequence_id", "offset"])
 
     rank = (F.col("earlier") + F.col("nth") - 1).cast("long")
     return ranked.withColumn("at", look_up("length", rank)).select(*pieces.columns, "at.*")

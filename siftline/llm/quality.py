@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from siftline.llm.common import doc_texts, releasing
+from siftline.llm.common import arrow_batches, doc_texts, releasing
 from siftline.llm.linear import fit_logistic, sigmoid
 
 NOTHING, GOOD, BAD = 0, 1, 2
@@ -27,6 +27,8 @@ HASH_BITS = 18
 #: Bounds of the scorer's training sample: about this many documents, and
 #: characters in all; and the longest text that is in it.
 SAMPLE_DOCS, SAMPLE_CHARS, LONGEST = 6000, 60_000_000, 200_000
+#: Rows of texts that go to Python at once.
+TEXT_ROWS = 1000
 _RUNS = re.compile(r"([^\w\s.!?\-])\1\1")
 _ENDS = re.compile(r"[.!?](?:\s|$)")
 _LONE = ("|", "-", "*", "/", "=", "~", "#", "+", ">", "<", ":", "•", "·", "–", "—")
@@ -211,7 +213,9 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id
     bounds on characters, chosen by a hash of id and text; rows equal in both
     count once."""
     texts = doc_texts(docs, id_col, text_col)
-    pattern = texts.select(votes_column(F.col("text")).alias("votes"), F.length("text").alias("n")).groupBy("votes").agg(F.count("*"), F.sum("n")).collect()
+    patterns = texts.select(votes_column(F.col("text")).alias("votes"), F.length("text").alias("n")).groupBy("votes").agg(F.count("*"), F.sum("n"))
+    with arrow_batches(docs.sparkSession, TEXT_ROWS):
+        pattern = patterns.collect()
     counts = {int(r[0]): int(r[1]) for r in pattern}
     labels = fit_labels(counts)
     share = min(1.0, sample_docs / max(1, sum(counts.values())), SAMPLE_CHARS / max(1, sum(int(r[2]) for r in pattern)))
@@ -225,7 +229,9 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id
 
     drawn = texts.filter((draw < share) & (F.length("text") <= LONGEST)).withColumn("digest", F.xxhash64("text"))
     sample = drawn.mapInArrow(releasing(sparse), "doc_id long, digest long, votes int, ids array<long>, values array<double>")
-    rows = sorted(sample.dropDuplicates(["doc_id", "digest"]).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.digest))
+    with arrow_batches(docs.sparkSession, TEXT_ROWS):
+        rows = sample.dropDuplicates(["doc_id", "digest"]).collect()
+    rows = sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.digest))
     if not rows:
         return QualityModel({}, 40.0, labels)
     doc = np.repeat(np.arange(len(rows)), [len(r.ids) for r in rows])
