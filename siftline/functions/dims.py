@@ -86,6 +86,28 @@ def skill_terms(spark: SparkSession) -> DataFrame:
     return out.select("term", "canonical", "category", "source", "stack_ord", *parts, F.length("term").alias("n_chars"))
 
 
+def term_pieces(term: str) -> list[str]:
+    """Runs of word characters and other single characters of a term."""
+    return re.findall(r"\w+|\W", term)
+
+
+def _terms() -> list[str]:
+    return [*_lookup(), *map(term_of, d.SKILL_STACKS)]
+
+
+#: The most pieces that a term has.
+LONGEST_TERM = max(len(term_pieces(t)) for t in _terms())
+
+
+def term_anchors(spark: SparkSession) -> DataFrame:
+    """first, lengths: for each piece that begins a term, how many pieces such terms have."""
+    lengths: dict[str, set[int]] = {}
+    for pieces in map(term_pieces, _terms()):
+        lengths.setdefault(pieces[0], set()).add(len(pieces))
+    rows = [(first, ",".join(map(str, sorted(n)))) for first, n in lengths.items()]
+    return _table(spark, rows, "first string, lengths string").select("first", F.split("lengths", ",").cast("array<int>").alias("lengths"))
+
+
 def skill_category(skills: DataFrame, canonical: str = "canonical") -> DataFrame:
     """Add category: that of the canonical name (case-sensitive), else ``other``."""
     names = F.broadcast(master_skills(skills.sparkSession).withColumnRenamed("canonical", "__name"))

@@ -1,18 +1,29 @@
 """Candidate and job scores.
 
-Scores depend on a few derived values of each side. They are computed once
-per candidate and once per job; a pair costs one comparison of skills and
-arithmetic. Ranking makes no pairs of candidates and jobs.
+What scores need of each side is worked out once for each candidate and once
+for each job, and is numbers: skills that any job asks for are bits of a few
+longs, degrees are bits of an int. A pair then costs a few integer operations
+and roundings; lists of names are read off the bits on output only. Ranking
+makes no pairs of candidates and jobs: it bounds what a set of skills can reach.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftline.functions.text import (
-    education_score, experience_months, experience_ranges, experience_score, experience_years, extract_years, norm_compare, overall_score,
-)
+from siftline.functions.text import experience_months, experience_ranges, experience_score, experience_years, extract_years, filled, norm_compare, overall_score
+from siftline.shared import stored
+
+#: Pairs that a task makes, about.
+TASK_PAIRS = 2_000_000
+#: Bits of the degrees that an education names, and of any education at all.
+DEGREES = {"bachelor": 1, "master": 2, "phd": 4}
+SOME_EDUCATION = 8
+_WORD = 64
 
 
 def candidate_facts(profiles: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -30,43 +41,126 @@ def job_facts(jobs: DataFrame, id_col: str = "job_id") -> DataFrame:
     )
 
 
+def degree_bits(education: Column) -> Column:
+    """Which degrees an education names."""
+    low = F.lower(filled(education))
+    named = (F.when(low.contains(word), bit).otherwise(0) for word, bit in DEGREES.items())
+    return reduce(Column.__add__, named, F.when(low != "", SOME_EDUCATION).otherwise(0))
+
+
+def accepted_degrees(required: Column) -> Column:
+    """Bits of which one has to be there: of the degree asked for and those above it, or of any education."""
+    low, every = F.lower(filled(required)), sum(DEGREES.values())
+    return F.when(low.contains("bachelor"), every).when(low.contains("master"), every - DEGREES["bachelor"]).otherwise(SOME_EDUCATION)
+
+
+def degree_score(degrees: Column, accepted: Column) -> Column:
+    """What ``education_score`` gives, from bits."""
+    return F.when(degrees.bitwiseAND(accepted) != 0, 100.0).otherwise(0.0)
+
+
+@dataclass(frozen=True)
+class Facts:
+    """Both sides as stored tables of numbers.
+
+    ``candidates``: candidate_id, years, degrees, have_0, ... (bits of skills),
+    and what else was kept. ``jobs``: job_id, required_skills, places (the bit
+    of each), n_required, repeats (a skill is asked for twice), required_years,
+    accepted, need_0, ... ``words``: longs of bits."""
+
+    candidates: DataFrame
+    jobs: DataFrame
+    words: int
+
+    def names(self, kind: str) -> list[str]:
+        return [f"{kind}_{k}" for k in range(self.words)]
+
+
+def _longs(places: Column, words: int, kind: str) -> list[Column]:
+    """Longs in which the bits at ``places`` are set."""
+    bit = lambda p: F.call_function("shiftleft", F.lit(1).cast("long"), (p % _WORD).cast("int"))
+    word = lambda k: F.aggregate(places, F.lit(0).cast("long"), lambda a, p: F.when(F.floor(p / _WORD) == k, a.bitwiseOR(bit(p))).otherwise(a))
+    return [word(k).alias(f"{kind}_{k}") for k in range(words)]
+
+
+def facts(candidates: DataFrame, jobs: DataFrame) -> Facts:
+    """Numbers of both sides, from rows with the columns of ``candidate_facts``
+    and ``job_facts``; other columns are kept."""
+    asked = stored(jobs, "job-facts")
+    skills = asked.select(F.explode("need").alias("skill")).agg(F.array_sort(F.collect_set("skill")).alias("asked"))  # one row: the skills that jobs ask for
+    skills = stored(skills, "asked-skills")
+    words = max(1, -(-skills.select(F.size("asked")).first()[0] // _WORD))
+    row = F.broadcast(skills)
+    place = lambda s: F.array_position("asked", s) - 1
+    had = candidates.crossJoin(row).withColumn("places", F.transform(F.array_intersect("asked", "have"), place))
+    kept = [c for c in candidates.columns if c not in ("candidate_id", "have", "months", "years", "education")]
+    had = had.select("candidate_id", "years", degree_bits(F.col("education")).alias("degrees"), *_longs(F.col("places"), words, "have"), *kept)
+    needed = asked.crossJoin(row).withColumn("places", F.transform("need", place))
+    kept = [c for c in jobs.columns if c not in ("job_id", "required_skills", "need", "required_years", "required_education")]
+    needed = needed.select(
+        "job_id", "required_skills", "places", F.size("need").alias("n_required"), (F.size("need") > F.size(F.array_distinct("need"))).alias("repeats"),
+        "required_years", accepted_degrees(F.col("required_education")).alias("accepted"), *_longs(F.col("places"), words, "need"), *kept,
+    )
+    # A stream of candidates is scored as it comes.
+    return Facts(had if had.isStreaming else stored(had, "candidate-numbers"), stored(needed, "job-numbers"), words)
+
+
 def pair_candidates_jobs(candidates: DataFrame, jobs: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """Every candidate with every job, or the ``(candidate_id, job_id)`` of
     ``pairs``. All with all is what this operator is asked for: its output is
-    the product. Jobs are the small side; Spark broadcasts them while they are."""
-    if pairs is None:
+    the product. Jobs are the small side; Spark broadcasts them while they are.
+    Candidates are dealt so that a task makes about ``TASK_PAIRS`` pairs, however
+    few bytes they are, so both sides are read for their sizes and should be
+    stored; if an executor is lost, its tasks' candidates are paired again."""
+    if pairs is not None:
+        return pairs.join(candidates, "candidate_id").join(jobs, "job_id")
+    if candidates.isStreaming:
         return candidates.join(jobs, how="cross")
-    return pairs.join(candidates, "candidate_id").join(jobs, "job_id")
+    context = candidates.sparkSession.sparkContext
+    tasks = max(context.defaultParallelism, -(-candidates.count() * jobs.count() // TASK_PAIRS))
+    return candidates.repartition(tasks, "candidate_id").join(jobs, how="cross")
+
 
+def skill_score(n_matched: Column, n_required: Column) -> Column:
+    return F.when(n_required == 0, 0.0).otherwise(F.bround(n_matched / n_required * 100, 2))
 
-def met_skills(need: Column, have: Column) -> Column:
-    """Whether each needed skill is there, in order. Both are as compared (``norm_compare``)."""
-    return F.transform(need, lambda s: F.array_contains(have, s))
 
+def _common(words: int) -> list[Column]:
+    return [F.col(f"have_{k}").bitwiseAND(F.col(f"need_{k}")) for k in range(words)]
 
-def matched_skills(required: Column, met: Column) -> Column:
-    """Required skills that are met, in order, as they are spelt."""
-    return F.filter(required, lambda _, i: met[i])
 
+def _count(longs: list[Column]) -> Column:
+    return reduce(Column.__add__, map(F.bit_count, longs))
 
-def missing_skills(required: Column, met: Column) -> Column:
-    return F.filter(required, lambda _, i: ~met[i])
 
+def with_lists(pairs: DataFrame, words: int) -> DataFrame:
+    """Add matched_skills and missing_skills: required skills in order, as they are spelt."""
+    both = pairs.withColumns({f"met_{k}": c for k, c in enumerate(_common(words))})
+    met = F.col("met_0") if words == 1 else F.array(*(F.col(f"met_{k}") for k in range(words)))
 
-def skill_score(n_matched: Column, n_required: Column) -> Column:
-    return F.when(n_required == 0, 0.0).otherwise(F.bround(n_matched / n_required * 100, 2))
+    def is_met(place: Column) -> Column:
+        long = met if words == 1 else F.get(met, F.floor(place / _WORD).cast("int"))
+        return F.call_function("getbit", long, (place % _WORD).cast("int")) == 1
+
+    at = lambda i: F.get("places", i)
+    lists = {"matched_skills": F.filter("required_skills", lambda _, i: is_met(at(i))), "missing_skills": F.filter("required_skills", lambda _, i: ~is_met(at(i)))}
+    return both.withColumns(lists).drop(*(f"met_{k}" for k in range(words)))
 
 
-def with_met(pairs: DataFrame) -> DataFrame:
-    """Add met: the only comparison of skills that a pair costs."""
-    return pairs.withColumn("met", met_skills(F.col("need"), F.col("have")))
+def with_n_matched(pairs: DataFrame, words: int) -> DataFrame:
+    """Add n_matched: how many entries of the required skills are met."""
+    repeated = F.size("matched_skills") if "matched_skills" in pairs.columns else F.size(F.filter("places", lambda p: reduce(
+        Column.__or__, ((F.floor(p / _WORD) == k) & (F.call_function("getbit", c, (p % _WORD).cast("int")) == 1) for k, c in enumerate(_common(words)))
+    )))
+    return pairs.withColumn("n_matched", F.when(F.col("repeats"), repeated).otherwise(_count(_common(words))))
 
 
-def _scores(rows: DataFrame, n_matched: Column, n_required: Column, *keep: str | Column) -> DataFrame:
+def _scores(rows: DataFrame, *keep: str | Column) -> DataFrame:
+    """Scores of rows with n_matched, n_required, years, required_years, degrees and accepted."""
     out = rows.withColumns({
-        "skill_score": skill_score(n_matched, n_required),
+        "skill_score": skill_score(F.col("n_matched"), F.col("n_required")),
         "experience_score": experience_score(F.col("years"), F.col("required_years")),
-        "education_score": education_score(F.col("education"), F.col("required_education")),
+        "education_score": degree_score(F.col("degrees"), F.col("accepted")),
     })
     overall = overall_score(F.col("skill_score"), F.col("experience_score"), F.col("education_score"))
     return out.select(*keep, overall.alias("overall_score"), "skill_score", "experience_score", "education_score", F.col("years").alias("total_experience_years"))
@@ -74,16 +168,16 @@ def _scores(rows: DataFrame, n_matched: Column, n_required: Column, *keep: str |
 
 def score_report(profiles: DataFrame, jobs: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """One row per pair: candidate_id, job_id, five scores, matched_skills, missing_skills."""
-    return score_pairs(pair_candidates_jobs(candidate_facts(profiles), job_facts(jobs), pairs))
+    return score_pairs(facts(candidate_facts(profiles), job_facts(jobs)), pairs)
 
 
-def score_pairs(both: DataFrame, *keep: str) -> DataFrame:
-    """The report of paired facts, with the columns ``keep`` of theirs."""
-    lists = with_met(both).withColumns({
-        "matched_skills": matched_skills(F.col("required_skills"), F.col("met")),
-        "missing_skills": missing_skills(F.col("required_skills"), F.col("met")),
-    })
-    return _scores(lists, F.size("matched_skills"), F.size("need"), "candidate_id", "job_id", "matched_skills", "missing_skills", *keep)
+def score_pairs(known: Facts, pairs: DataFrame | None = None, *keep: str, lists: bool = True) -> DataFrame:
+    """The report of paired facts, with the columns ``keep`` of theirs. Without
+    ``lists`` no skills are spelt, only counted."""
+    both = pair_candidates_jobs(known.candidates, known.jobs, pairs)
+    both = with_lists(both, known.words) if lists else both
+    names = ("matched_skills", "missing_skills") if lists else ()
+    return _scores(with_n_matched(both, known.words), "candidate_id", "job_id", *names, *keep)
 
 
 def _best(rows: DataFrame, k: int, by: list[str], *order) -> DataFrame:
@@ -92,44 +186,133 @@ def _best(rows: DataFrame, k: int, by: list[str], *order) -> DataFrame:
     return rows.withColumn("nth", nth).filter(F.col("nth") <= k)
 
 
+def _lowest(longs: list[Column]) -> Column:
+    """The number of the lowest bit that is set, null for none."""
+    top = F.lit(-(1 << 63))  # has no negative
+    below = lambda c: F.when(c == top, 63).otherwise(F.bit_count(c.bitwiseAND(-c) - 1))
+    return F.coalesce(*(F.when(c != 0, below(c) + k * _WORD) for k, c in enumerate(longs)))
+
+
+def _skills(rows: DataFrame, kind: str, words: int) -> DataFrame:
+    """One row for each bit that is set, as skill."""
+
+    def found(k: int) -> Column:
+        places = F.sequence(F.lit(k * _WORD), F.lit((k + 1) * _WORD - 1))
+        return F.filter(places, lambda p: F.call_function("getbit", F.col(f"{kind}_{k}"), (p % _WORD).cast("int")) == 1)
+
+    return rows.withColumn("skill", F.explode(F.concat(*map(found, range(words)))))
+
+
+#: Scores that round to one overall score have experience scores no further apart.
+_PLATEAU = 0.1
+
+
+@dataclass(frozen=True)
+class Ranking:
+    """What a ranking looks at. ``kinds``: jobs that ask for the same, once.
+    ``groups``: of each kind, the groups of candidates that may hold one of the
+    best. ``members``: of all groups. ``rest``: the best by years and degrees alone."""
+
+    kinds: DataFrame
+    groups: DataFrame
+    members: DataFrame
+    rest: DataFrame
+
+
+def _plateau(rows: DataFrame, k: int, group: list[str]) -> DataFrame:
+    """The candidates who can be among the ``k`` best of a group by overall
+    score and id, whatever else adds to the score: for each experience score
+    the k smallest ids, down to what rounding may draw level with the k-th. Adds top, the best of the scores."""
+    few = stored(_best(rows, k, [*group, "exp"], "candidate_id").drop("nth"), "few")
+    enough = _best(few, k, group, F.desc("exp"), "candidate_id").groupBy(*group).agg(F.min("exp").alias("last"), F.max("exp").alias("top"))
+    return few.join(enough, group).filter(F.col("exp") >= F.col("last") - _PLATEAU).drop("last")
+
+
+def _overall(exp: str) -> Column:
+    return overall_score(skill_score(F.col("n_matched"), F.col("n_required")), F.col(exp), F.col("degree_score"))
+
+
+def _reached(kinds: DataFrame, members: DataFrame, words: int, k: int) -> DataFrame:
+    """``(kind, reach)``: an overall score that ``k`` candidates reach, found
+    among those who come first in the lists of the kind's skills."""
+    first = _best(_skills(members, "have", words), k, ["ask", "skill", "degree_score"], F.desc("exp"), "candidate_id").drop("nth")
+    met = with_n_matched(_skills(kinds, "need", words).join(first, ["ask", "skill"]), words)
+    met = met.select("kind", "candidate_id", _overall("exp").alias("overall")).distinct()
+    best = _best(met, k, ["kind"], F.desc("overall"), "candidate_id")
+    return best.groupBy("kind").agg(F.count("*").alias("n"), F.min("overall").alias("reach")).filter(F.col("n") == k).drop("n")
+
+
+def _searched(kinds: DataFrame, heads: DataFrame, words: int) -> DataFrame:
+    """Kinds with the skills, as bits look_0, ..., under which they look for
+    groups. Who meets fewer than ``least`` skills cannot reach the threshold with
+    all years and degrees, and whoever meets as many has one of any ``n - least +
+    1`` of the skills: those that the fewest groups have are taken."""
+    full = 20.0 + 20.0 + 0.02  # years, degree, rounding
+    least = F.ceil((F.col("reach") - full) / 60.0 * F.col("n_required") - 1e-6).cast("int")
+    least = F.when(F.col("repeats") | F.col("reach").isNull(), 1).otherwise(F.least(F.greatest(F.lit(1), least), F.col("n_required")))
+    lists = _skills(heads, "have", words).groupBy("ask", "skill").agg(F.count("*").alias("in_groups"))
+    all_ = _skills(kinds.withColumn("least", least), "need", words).join(lists, ["ask", "skill"], "left")
+    nth = F.row_number().over(Window.partitionBy("kind").orderBy(F.coalesce("in_groups", F.lit(0)), "skill"))
+    size = F.count("*").over(Window.partitionBy("kind"))
+    kept = all_.withColumns({"nth": nth, "size": size}).filter(F.col("nth") <= F.col("size") - F.col("least") + 1)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("skill") % _WORD).cast("int"))
+    bits = [F.coalesce(F.bit_or(F.when(F.floor(F.col("skill") / _WORD) == w, bit)), F.lit(0).cast("long")).alias(f"look_{w}") for w in range(words)]
+    return kinds.join(kept.groupBy("kind").agg(*bits), "kind")
+
+
+def ranking(known: Facts, k: int) -> Ranking:
+    """What has to be looked at for the ``k`` best of each kind of job.
+
+    Under the years and degrees that a kind asks for, candidates with the same
+    skills and degree score are a group, which its best member bounds. A group is
+    left as soon as k candidates are known to come before its best: by a
+    threshold from the lists of single skills first, then by the first members of
+    the other groups. Years, degrees and skills of the corpus decide how many
+    groups there are, not the number of candidates.
+    """
+    words, have, ask = known.words, known.names("have"), ["required_years", "accepted"]
+    kinds = known.jobs.select(F.array_sort("places").alias("places"), "repeats", *known.names("need"), "n_required", *ask).distinct()
+    kinds = stored(kinds.withColumn("kind", F.monotonically_increasing_id()), "job-kinds")
+    asks = stored(kinds.select(*ask).distinct().withColumn("ask", F.monotonically_increasing_id()), "asks")
+    kinds, group = kinds.join(F.broadcast(asks), ask), ["ask", *have, "degree_score"]
+    alike = _best(known.candidates, k, [*have, "years", "degrees"], "candidate_id").drop("nth")
+    under = alike.join(F.broadcast(asks), how="cross").select(
+        "ask", *have, "candidate_id", degree_score(F.col("degrees"), F.col("accepted")).alias("degree_score"), experience_score(F.col("years"), F.col("required_years")).alias("exp"),
+    )
+    members = stored(_plateau(under, k, group), "members")
+    # The first member, and the smallest id that rounding may put level with it.
+    first, level = F.col("exp") == F.col("top"), F.col("exp") >= F.col("top") - _PLATEAU
+    id_where = lambda test: F.min(F.when(test, F.col("candidate_id")))
+    heads = stored(members.groupBy(*group).agg(F.max("top").alias("top"), id_where(first).alias("head"), id_where(level).alias("could")), "group-heads")
+    kinds = stored(kinds.join(_reached(kinds, members, words, k), "kind", "left"), "kind-thresholds")
+    met = _skills(_searched(kinds, heads, words), "look", words).join(_skills(heads, "have", words), ["ask", "skill"])
+    shared = [F.col(f"have_{w}").bitwiseAND(F.col(f"look_{w}")) for w in range(words)]
+    met = with_n_matched(met.filter(_lowest(shared) == F.col("skill")), words).withColumn("overall", _overall("top"))  # each group once
+    met = stored(met.filter("reach IS NULL OR overall >= reach").select("kind", *group, "n_matched", "overall", "head", "could"), "met-groups")
+    last = _best(met, k, ["kind"], F.desc("overall"), "head").filter(F.col("nth") == k)
+    last = last.select("kind", F.col("overall").alias("last"), F.col("head").alias("last_head"))
+    kept = met.join(last, "kind", "left").filter("last IS NULL OR overall > last OR (overall = last AND could <= last_head)")
+    rest = _plateau(members.drop("top"), k, ["ask", "degree_score"])
+    return Ranking(kinds, kept.select("kind", *group, "n_matched"), members, rest)
+
+
+def looked_at(known: Facts, found: Ranking) -> DataFrame:
+    """kind, candidate_id, overall_score of all candidates that a ranking scores for a kind."""
+    group = ["ask", *known.names("have"), "degree_score"]
+    met = found.groups.join(found.kinds.select("kind", "n_required"), "kind").join(found.members, group)
+    rest = found.kinds.select("kind", "ask", "n_required").join(found.rest, "ask").withColumn("n_matched", F.lit(0))
+    rows = (t.select("kind", "candidate_id", _overall("exp").alias("overall_score")) for t in (met, rest))
+    # Who meets some skills may be in the rest too, with less than their score.
+    return reduce(DataFrame.unionByName, rows).groupBy("kind", "candidate_id").agg(F.max("overall_score").alias("overall_score"))
+
+
 def rank_candidates(profiles: DataFrame, jobs: DataFrame, k: int = 10) -> DataFrame:
     """The ``k`` best candidates of each job: job_id, nth, candidate_id,
-    overall_score; ties go to the smaller candidate_id.
-
-    A score follows from how many needed skills are met, the years and the
-    degrees. So sets of needed skills meet sets of had skills in an inverted
-    index, by skill: both are sets of the few skills that any job asks for, and
-    there are no more of them however large the corpus. Candidates who are alike
-    in all that counts for a set of needs are cut to the k smallest ids before
-    scoring. Candidates who meet no skill of a job can only be ranked by years and
-    degrees, so k of each kind of those stand for all; they are ranked once for
-    each distinct requirement and not for each job.
-    """
-    asked = job_facts(jobs)
-    # Which of the degrees that scoring looks for an education names.
-    degrees = lambda c: F.concat_ws(" ", *(F.when(F.lower(c).contains(w), w) for w in ("bachelor", "master", "phd")), F.when(c != "", "some"))
-    wants = F.when(F.lower("required_education").contains("bachelor"), "bachelor").when(F.lower("required_education").contains("master"), "master").otherwise("")
-    job_kind = asked.select("job_id", F.array_sort("need").alias("need"), "required_years", wants.alias("required_education"))
-    kinds = job_kind.drop("job_id").distinct()
-    every = F.broadcast(job_kind.select(F.explode_outer("need").alias("s")).agg(F.sort_array(F.collect_set("s")).alias("asked")))  # one row: the skills that jobs ask for
-    facts = candidate_facts(profiles).crossJoin(every)
-    facts = facts.select("candidate_id", F.array_intersect("asked", "have").alias("have"), "years", degrees(F.col("education")).alias("education"))
-
-    alike = _best(facts, k, ["have", "years", "education"], "candidate_id").drop("nth")
-    needs = kinds.select("need").distinct().withColumn("skill", F.explode_outer("need"))
-    haves = alike.select("have").distinct().withColumn("skill", F.explode_outer("have"))
-    meets = needs.join(haves, "skill").groupBy("need", "have").agg(F.count("*").alias("n_met"))
-    few = _best(alike.join(meets, "have"), k, ["need", "n_met", "years", "education"], "candidate_id").drop("nth", "have")
-    met = _scores(kinds.join(few, "need"), F.col("n_met"), F.size("need"), "need", "required_years", "required_education", "candidate_id")
-
-    asks = ["required_years", "required_education"]
-    rest = _best(facts, k, ["years", "education"], "candidate_id").drop("nth", "have")
-    # Years and degrees on both sides: neither grows with the corpus.
-    rest = _scores(kinds.select(*asks).distinct().join(rest, how="cross"), F.lit(0), F.lit(1), *asks, "candidate_id")
-    rest = _best(rest, k, asks, F.desc("overall_score"), "candidate_id").select(*asks, "candidate_id", "overall_score")
-
-    kind = ["need", *asks]
-    both = met.select(*kind, "candidate_id", "overall_score").unionByName(kinds.join(rest, asks).select(*kind, "candidate_id", "overall_score"))
-    both = both.groupBy(*kind, "candidate_id").agg(F.max("overall_score").alias("overall_score"))
-    top = _best(both, k, kind, F.desc("overall_score"), "candidate_id")
-    return job_kind.join(top, kind).select("job_id", "nth", "candidate_id", "overall_score")
+    overall_score; ties go to the smaller candidate_id. Both sides are read once;
+    see ``ranking`` for how few candidates are scored."""
+    known = facts(candidate_facts(profiles), job_facts(jobs))
+    found = ranking(known, k)
+    top = _best(looked_at(known, found), k, ["kind"], F.desc("overall_score"), "candidate_id")
+    key = ["places", "n_required", "required_years", "accepted"]
+    kind_of = known.jobs.withColumn("places", F.array_sort("places")).join(found.kinds.select(*key, "kind"), key).select("job_id", "kind")
+    return kind_of.join(top, "kind").select("job_id", "nth", "candidate_id", "overall_score")

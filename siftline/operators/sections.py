@@ -115,10 +115,12 @@ def content_scores(texts: DataFrame, keys: list[str], text_col: str = "text") ->
     return met.join(words, "keyword").groupBy(*keys, "section").agg(F.sum("weight").cast("double").alias("score"))
 
 
-def classify_content(texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add content_section and content_confidence; ties go to the section declared first."""
-    known = F.col("best.score") > 0
-    return texts.withColumn("best", F.array_max(_content_points(F.col(text_col)))).withColumns({
+def classify_content(texts: DataFrame, text_col: str = "text", where: Column | None = None) -> DataFrame:
+    """Add content_section and content_confidence; ties go to the section
+    declared first. Texts where ``where`` does not hold are not looked at: other, 0."""
+    known = F.coalesce(F.col("best.score") > 0, F.lit(False))
+    best = F.array_max(_content_points(F.col(text_col)))
+    return texts.withColumn("best", best if where is None else F.when(where, best)).withColumns({
         "content_section": F.when(known, F.col("best.section")).otherwise("other"),
         "content_confidence": F.when(known, F.bround(F.least(F.col("best.score") / 5.0, F.lit(1.0)), 2)).otherwise(0.0),
     }).drop("best")
@@ -137,7 +139,7 @@ def classify_blocks(blocks: DataFrame) -> DataFrame:
     for test, name in reversed(tests):
         method = F.when(test, name).otherwise(method)
     by = F.col("method")
-    return classify_content(blocks).withColumn("method", method).withColumns({
+    return classify_content(blocks, where=F.col("heading_section") == "other").withColumn("method", method).withColumns({
         "section": F.when(by == "personal-info", "personal_information").when(by == "rule-based", F.col("heading_section"))
         .when(by == "date-pattern", "work_experience").when(by == "nlp-fallback", F.col("content_section")).otherwise("other"),
         "confidence": F.when(by.isin("personal-info", "date-pattern"), 0.95).when(by == "rule-based", F.col("heading_confidence"))

@@ -6,11 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.functions import dictionaries as d
-from siftline.functions.dims import skill_category, skill_dim, skill_stacks, skill_terms
+from siftline.functions.dims import LONGEST_TERM, skill_category, skill_dim, skill_stacks, skill_terms, term_anchors
 from siftline.functions.text import NOT_WORD, WORD, norm_skill, strip
 
-#: No term has more pieces (runs of word characters, or other single characters).
-MAX_PIECES = 7
 MENTION = ("name", "canonical", "category", "confidence", "source", "section", "derived_skills")
 
 
@@ -25,27 +23,36 @@ def _section_order(section: Column) -> Column:
     return F.coalesce(F.array_position(F.array(*(F.lit(s) for s in d.SKILL_SECTIONS)), section), F.lit(0))
 
 
+def anchored_runs(texts: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Runs of pieces that may be a term: doc_id, section, term, last (its last
+    piece) and next (the piece behind it). The normalised text is cut into
+    pieces, which are runs of word characters or other single characters. Only
+    where the first piece of some term stands, runs of the lengths that terms
+    with this first piece have are made."""
+    anchors = term_anchors(texts.sparkSession)
+    pieces = F.regexp_extract_all(norm_skill(F.col("text")), F.lit(f"{WORD}+|{NOT_WORD}"), F.lit(0))
+    cut = texts.select(id_col, "section", pieces.alias("pieces")).filter(F.size("pieces") > 0)
+    at = F.transform(F.sequence(F.lit(1), F.size("pieces")), lambda i: F.struct(F.get(F.col("pieces"), i - 1).alias("first"), F.slice("pieces", i + 1, F.lit(LONGEST_TERM)).alias("rest")))
+    met = cut.select(id_col, "section", F.inline(F.filter(at, lambda x: x["first"] != " "))).join(F.broadcast(anchors), "first")
+    run = met.select(id_col, "section", "first", "rest", F.explode("lengths").alias("n")).filter(F.size("rest") >= F.col("n") - 1)
+    return run.select(
+        id_col, "section", F.concat("first", F.array_join(F.slice("rest", F.lit(1), F.col("n") - 1), "")).alias("term"),
+        F.when(F.col("n") == 1, F.col("first")).otherwise(F.get("rest", F.col("n") - 2)).alias("last"), F.get("rest", F.col("n") - 1).alias("next"),
+    )
+
+
 def match_terms(texts: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Every dictionary term present in ``(doc_id, section, text)``: doc_id,
     section and the columns of ``skill_terms``. Each term is tested alone, so
     overlapping terms all count.
 
-    The normalised text is cut into pieces; runs of one to seven pieces are
-    exploded and meet the terms in a broadcast hash join. A run that ends
+    ``anchored_runs`` meet the terms in a broadcast hash join. A run that ends
     in a word character ends at a piece boundary anyway; after another one, no
     word may follow.
     """
-    cut = texts.select(id_col, "section", F.regexp_extract_all(norm_skill(F.col("text")), F.lit(f"{WORD}+|{NOT_WORD}"), F.lit(0)).alias("pieces"))
-    at = cut.select(id_col, "section", "pieces", F.posexplode("pieces").alias("i", "piece")).filter("piece <> ' '")
-    window = F.slice(F.col("pieces"), F.col("i") + 1, F.lit(MAX_PIECES + 1))
-    at = at.select(id_col, "section", window.alias("near"))
-    runs = F.transform(F.sequence(F.lit(1), F.least(F.size("near"), F.lit(MAX_PIECES))), lambda n: F.struct(
-        F.array_join(F.slice("near", F.lit(1), n), "").alias("term"), F.try_element_at("near", n).alias("last"), F.try_element_at("near", n + 1).alias("next"),
-    ))
-    run = at.select(id_col, "section", F.inline(runs))
     glued = ~F.col("last").rlike(f"{WORD}$") & F.coalesce(F.col("next").rlike(f"^{WORD}"), F.lit(False))
     terms = F.broadcast(skill_terms(texts.sparkSession))
-    found = run.join(terms, "term").filter(~glued).drop("last", "next", "n_chars")
+    found = anchored_runs(texts, id_col).join(terms, "term").filter(~glued).drop("last", "next", "n_chars")
     return found.dropDuplicates([id_col, "section", "term"])
 
 
