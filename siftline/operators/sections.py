@@ -15,6 +15,7 @@ from siftline.functions import dictionaries as d
 from siftline.functions.dims import content_keyword, section_alias, section_dim
 from siftline.functions.text import clean_heading, has_experience_date, has_personal_info, norm_heading, tokens
 from siftline.operators.lines import clean_lines
+from siftline.operators.partials import finished, partial
 
 CONTENT_FLOOR, STRONG = 0.40, 0.60
 
@@ -191,7 +192,7 @@ def blocks_classified(classified: DataFrame, id_col: str = "doc_id") -> DataFram
 
 def method_breakdown(classified: DataFrame) -> DataFrame:
     """section, method, n_blocks, avg_confidence over the corpus."""
-    return classified.groupBy("section", "method").agg(F.count("*").alias("n_blocks"), F.round(F.avg("confidence"), 6).alias("avg_confidence"))
+    return finished(partial(classified, ["section", "method"], "confidence"), "n_blocks", "avg_confidence")
 
 
 def section_order(spark) -> DataFrame:

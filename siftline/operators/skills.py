@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siftline.functions import dictionaries as d
 from siftline.functions.dims import LONGEST_TERM, skill_category, skill_dim, skill_stacks, skill_terms, term_anchors
 from siftline.functions.text import NOT_WORD, WORD, norm_skill, strip
+from siftline.operators.partials import finished, partial
 
 MENTION = ("name", "canonical", "category", "confidence", "source", "section", "derived_skills")
 
@@ -163,12 +164,17 @@ def skill_total(unified: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def source_breakdown(unified: DataFrame) -> DataFrame:
-    return unified.groupBy("source").agg(F.count("*").alias("n_skills")).orderBy("source")
+    return finished(partial(unified, ["source"]), "n_skills")
 
 
 def skill_summary(unified: DataFrame) -> DataFrame:
     """category, source, section, n_skills, avg_confidence over the corpus."""
-    return unified.groupBy("category", "source", "section").agg(F.count("*").alias("n_skills"), F.round(F.avg("confidence"), 6).alias("avg_confidence"))
+    return finished(skill_partial(unified), "n_skills", "avg_confidence")
+
+
+def skill_partial(unified: DataFrame) -> DataFrame:
+    """What ``skill_summary`` needs of a batch."""
+    return partial(unified, ["category", "source", "section"], "confidence")
 
 
 def sort_skills(unified: DataFrame, id_col: str = "doc_id") -> DataFrame:

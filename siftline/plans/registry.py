@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,10 +12,11 @@ from pyspark.sql import functions as F
 from siftline.functions import dictionaries as d
 from siftline.functions import dims
 from siftline.functions import text as t
-from siftline.operators import lines, profiles, reports, scoring, sections, skills
+from siftline.operators import lines, partials, profiles, reports, scoring, sections, skills
+from siftline.operators.order import global_rank
 from siftline.plans import oracles as o
 from siftline.plans.inputs import jobs, resumes, table
-from siftline.shared import new_path
+from siftline.shared import new_path, stored
 from siftline.sources import documents as src
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -111,16 +113,15 @@ def bar(x: str, name: str) -> str:
 
 
 # Sources and sinks
-register("src_resume_text", "SELECT doc_id, coalesce(text, '') AS text FROM documents")(docs)
+def _through_files(docs: DataFrame, label: str, id_col: str) -> DataFrame:
+    """Texts written as few files with a manifest and read from there."""
+    path = new_path(docs.sparkSession, label)
+    src.write_texts(docs, path, id_col)
+    return src.read_manifest(docs.sparkSession, path, id_col)
 
 
-@register("src_job_text", "SELECT job_id, text FROM jobs")
-def src_job_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write each job as a file of its own and read the folder of files."""
-    path = new_path(spark, "job-files")
-    jobs(spark, sf_dir).repartition("job_id").write.partitionBy("job_id").option("lineSep", "\x00").text(path)
-    job_id = F.regexp_extract("file_path", "job_id=([0-9]+)", 1).cast("long")
-    return src.read_texts(spark, path).select(job_id.alias("job_id"), F.rtrim(F.col("text"), F.lit("\x00")).alias("text"))
+register("src_resume_text", "SELECT doc_id, coalesce(text, '') AS text FROM documents")(on(docs)(lambda df: _through_files(df, "resume-files", "doc_id")))
+register("src_job_text", "SELECT job_id, text FROM jobs")(on(jobs)(lambda df: _through_files(df, "job-files", "job_id")))
 
 
 @register("src_reject_format", r"SELECT page_id, lower(regexp_extract(coalesce(url, ''), '\.([^./\\]+)$', 1)) AS suffix, lower(regexp_extract(coalesce(url, ''), '\.([^./\\]+)$', 1)) = 'html' AS accepted FROM pages")
@@ -131,13 +132,20 @@ def src_reject_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 REPORT = f"SELECT candidate_id, job_id, overall_score, skill_score, experience_score, education_score, total_experience_years, {bar('matched_skills', 'matched_skills')}, {bar('missing_skills', 'missing_skills')} FROM report"
 
 
-@register("sink_report", f"SELECT job_id, count(*) AS n, round(sum(overall_score), 2) AS total FROM ({REPORT}) GROUP BY job_id")
+_BY_JOB = "SELECT job_id, count(*) AS n, round(sum(overall_score), 2) AS total"
+
+
+def _by_job(report: DataFrame, *more) -> DataFrame:
+    return report.groupBy("job_id").agg(F.count("*").alias("n"), F.round(F.sum("overall_score"), 2).alias("total"), *more)
+
+
+@register("sink_report", f"{_BY_JOB} FROM ({REPORT}) GROUP BY job_id")
 def sink_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write the report by job, read it back and sum it up."""
-    path = new_path(spark, "report")
-    src.write_report(scoring.score_report(replaced(spark, sf_dir), requirements(spark, sf_dir)), path, "job_id")
-    back = spark.read.parquet(path).withColumn("job_id", F.col("job_id").cast("long"))
-    return back.groupBy("job_id").agg(F.count("*").alias("n"), F.round(F.sum("overall_score"), 2).alias("total"))
+    """Write the report in ranges of jobs, read it back and sum it up."""
+    path, known = new_path(spark, "report"), _facts(spark, sf_dir)
+    rows = known.candidates.count() * known.jobs.count()
+    src.write_report(scoring.score_pairs(known), path, "job_id", "candidate_id", rows=rows)
+    return _by_job(spark.read.parquet(path))
 
 
 # Lines and text
@@ -196,9 +204,11 @@ def _validity_sql(id_col: str, table: str) -> str:
 
 
 def _validity(rows: DataFrame, id_col: str) -> DataFrame:
-    """Parsed fields are never null, so an empty experience or education stands for a missing one."""
-    marked = src.with_missing(rows.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in ("experience", "education")}))
-    return marked.select(id_col, (F.size("missing_fields") == 0).alias("valid"), F.array_join("missing_fields", ",").alias("missing"))
+    """Rows through the quarantine. Parsed fields are never null, so an empty experience or education stands for a missing one."""
+    filled = rows.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in ("experience", "education")})
+    valid, rejected, _ = src.quarantine(filled, new_path(rows.sparkSession, "validated"))
+    good = valid.select(id_col, F.lit(True).alias("valid"), F.lit("").alias("missing"))
+    return good.unionByName(rejected.select(id_col, F.lit(False).alias("valid"), F.array_join("missing_fields", ",").alias("missing")))
 
 
 register("validate_profile", _validity_sql("doc_id", "profile"))(on(parsed)(lambda df: _validity(df, "doc_id")))
@@ -280,6 +290,15 @@ register("method_breakdown", "SELECT section, method, count(*) AS n_blocks, roun
 register("skill_total", "SELECT doc_id, count(*) AS total_skills FROM unified GROUP BY 1")(on(unified)(skills.skill_total))
 register("source_breakdown", "SELECT source, count(*) AS n_skills FROM unified GROUP BY 1")(on(unified)(skills.source_breakdown))
 register("skill_summary", "SELECT category, source, section, count(*) AS n_skills, round(avg(confidence), 6) AS avg_confidence FROM unified GROUP BY 1, 2, 3")(on(unified)(skills.skill_summary))
+@register("skill_summary_batches", "SELECT category, source, section, count(*) AS n_skills, round(avg(confidence), 6) AS avg_confidence FROM unified GROUP BY 1, 2, 3")
+def skill_summary_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary of a corpus that comes in batches, from the batches' partial tables."""
+    path, rows = new_path(spark, "partials"), stored(unified(spark, sf_dir), "unified")
+    for batch in range(3):
+        partials.add_batch(skills.skill_partial(rows.filter(F.pmod("doc_id", F.lit(3)) == batch)), path, str(batch))
+    return partials.finished(partials.all_batches(spark, path), "n_skills", "avg_confidence")
+
+
 register("distinct_ordered", f"SELECT doc_id, {bar('skills', 'skills')} FROM profile")(on(parsed)(lambda df: shown(df.select("doc_id", "skills"), "skills")))
 register("skill_score", "SELECT candidate_id, job_id, skill_score FROM report")(lambda s, p: _report(s, p, lists=False).select("candidate_id", "job_id", "skill_score"))
 register("experience_months", f"SELECT doc_id, {o.months(o.ranges('experience'))} AS months FROM profile")(
@@ -318,15 +337,27 @@ def _report_of_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     "LEFT JOIN (SELECT doc_id, count(*) AS n FROM unified GROUP BY 1) u ON u.doc_id = candidate_id"
 ))
 def screening_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.summarize(summary_facts(spark, sf_dir))
+
+
+def summary_facts(spark: SparkSession, sf_dir: str) -> scoring.Facts:
     found = classified(spark, sf_dir)
     parts = sections.segment_sections(found)
     profile = parsed(spark, sf_dir)
     merged = skills.merge_profile_skills(skills.extract_from_sections(parts), profile)
-    return reports.screening_summary(
+    return reports.summary_facts(
         skills.replace_profile_skills(profile, merged), requirements(spark, sf_dir), sections.sections_detected(parts), sections.blocks_classified(found), skills.skill_total(merged)
     )
 
 
+@register("sink_summary", f"{_BY_JOB}, cast(sum(len(matched_skills)) AS BIGINT) AS n_matched FROM report GROUP BY job_id")
+def sink_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the summary by blocks of candidates, read it back and sum it up."""
+    path, known = new_path(spark, "summary"), summary_facts(spark, sf_dir)
+    src.write_blocks(known.candidates, lambda some: reports.summarize(replace(known, candidates=some)), path)
+    return _by_job(spark.read.parquet(path), F.sum("n_matched").alias("n_matched"))
+
+
 # Windows and ordered sequences
 register("split_blocks", "SELECT doc_id, block_id, first_line, text, n_lines FROM blocks")(on(blocks)(lambda df: df.select("doc_id", "block_id", "first_line", "text", "n_lines")))
 register("classify_blocks", "SELECT doc_id, block_id, text, section, method, confidence FROM classified")(
@@ -364,7 +395,12 @@ register("rank_candidates", f"SELECT job_id, cast(nth AS INTEGER) AS nth, candid
 register("sort_skills", "SELECT doc_id, canonical, cast(row_number() OVER (PARTITION BY doc_id ORDER BY lower(canonical), canonical) AS INTEGER) AS nth FROM unified")(
     on(unified)(lambda df: skills.sort_skills(df).select("doc_id", "canonical", "nth"))
 )
-register("sort_sources", "SELECT source, count(*) AS n_skills FROM unified GROUP BY 1")(on(unified)(skills.source_breakdown))
+register("sort_sources", "SELECT row_number() OVER (ORDER BY source) AS nth, source, n_skills FROM (SELECT source, count(*) AS n_skills FROM unified GROUP BY 1)")(
+    on(unified)(lambda df: global_rank(skills.source_breakdown(df), "source"))
+)
+register("sort_skills_corpus", "SELECT row_number() OVER (ORDER BY lower(canonical), canonical, doc_id) AS nth, doc_id, canonical FROM unified")(
+    on(unified)(lambda df: global_rank(df.select("doc_id", "canonical"), F.lower("canonical"), "canonical", "doc_id"))
+)
 
 # Set operations
 register("concat_skills", f"SELECT doc_id, {bar('list_concat(own, detected)', 'skills')} FROM profiles")(

@@ -1,14 +1,31 @@
-"""Reading texts and writing reports."""
+"""Reading texts and writing reports.
+
+Many small texts lie in few files: texts of one order are written one after the
+other, and a manifest tells where each begins. Reports go to a bounded number
+of files sorted by what they are looked up by, or block by block, so that a run
+that breaks off goes on where it was.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.functions.text import filled
+from siftline.operators.order import global_rank, running_totals
+from siftline.shared import hadoop_path, stored
 
 #: Endings of the files that can be read as text.
 SUPPORTED = ("txt", "md", "text")
+#: Bytes of texts in a file, about: a file is read by one task.
+FILE_BYTES = 64 << 20
+#: Rows of a report in a file, about.
+FILE_ROWS = 2_000_000
+#: Candidates in a block of a report that is written block by block: with
+#: 1,000 jobs, a hundred million rows or about 4 GB of Parquet.
+BLOCK_ROWS = 100_000
 
 
 def read_texts(spark: SparkSession, path: str, id_col: str = "doc_id", pattern: str | None = None) -> DataFrame:
@@ -18,6 +35,31 @@ def read_texts(spark: SparkSession, path: str, id_col: str = "doc_id", pattern:
     return files.select(F.xxhash64("file_path").alias(id_col), F.col("value").alias("text"), "file_name", "file_path")
 
 
+def write_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES) -> None:
+    """Write ``(id, text)`` as text files of about ``file_bytes`` with many
+    texts each, a line end after each, below ``path/texts``, and a manifest
+    ``(id, part, offset, length)``, in bytes, at ``path/manifest``. A null text is empty."""
+    texts = docs.select(F.col(id_col).alias("id"), filled(F.col(text_col).cast("string")).alias("text"))
+    size = F.octet_length("text").cast("long")
+    at = running_totals(texts, "id", "text", before=size + 1)
+    at = at.withColumn("part", F.floor(F.col("before") / file_bytes))
+    at.repartition("part").sortWithinPartitions("part", "before").select("part", "text").write.partitionBy("part").text(f"{path}/texts")
+    first = at.groupBy("part").agg(F.min("before").alias("first"))
+    at.select("id", "part", "before", size.alias("length")).join(first, "part").select(
+        "id", "part", (F.col("before") - F.col("first")).alias("offset"), "length"
+    ).write.parquet(f"{path}/manifest")
+
+
+def read_manifest(spark: SparkSession, path: str, id_col: str = "doc_id", pattern: str = "*.txt") -> DataFrame:
+    """``(id, text)`` of what ``write_texts`` wrote: a file is cut at the places that the manifest names."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(f"{path}/texts")
+    files = files.select(F.regexp_extract("path", r"part=([0-9]+)", 1).cast("long").alias("part"), "content")
+    entries = F.collect_list(F.struct("id", "offset", "length"))  # of one file, so bounded as that is
+    named = files.join(spark.read.parquet(f"{path}/manifest").groupBy("part").agg(entries.alias("entries")), "part")
+    cut = F.transform("entries", lambda e: F.struct(e["id"].alias(id_col), F.decode(F.substring(F.col("content"), (e["offset"] + 1).cast("int"), e["length"].cast("int")), "UTF-8").alias("text")))
+    return named.select(F.inline(cut))
+
+
 def text_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A Parquet or other table as ``(id, text)``, a null text as empty."""
     return docs.select(id_col, filled(F.col(text_col).cast("string")).alias("text"))
@@ -41,13 +83,48 @@ def with_missing(rows: DataFrame) -> DataFrame:
     return rows.withColumn("missing_fields", missing)
 
 
-def split_valid(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows with every field filled, and the rest with the names of what is missing."""
-    marked = with_missing(rows)
-    return marked.filter(F.size("missing_fields") == 0).drop("missing_fields"), marked.filter(F.size("missing_fields") > 0)
-
-
-def write_report(report: DataFrame, path: str, partition_by: str | None = None, mode: str = "errorifexists") -> None:
-    """Write a report as Parquet, by partition if asked for."""
-    writer = report.write.mode(mode)
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+def quarantine(rows: DataFrame, path: str) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Write rows with every field filled and rows that lack some apart, in
+    one pass: the valid ones, the rejected ones with missing_fields, and how many
+    of each there are (``valid``, ``rejected``)."""
+    seen, bad = Observation(), F.size("missing_fields") > 0
+    marked = with_missing(rows).withColumn("rejected", bad)
+    count = lambda test: F.count(F.when(test, 1))
+    marked = marked.observe(seen, count(~F.col("rejected")).alias("valid"), count(F.col("rejected")).alias("rejected"))
+    marked.write.partitionBy("rejected").parquet(path)
+    back = rows.sparkSession.read.schema(marked.schema).parquet(path)
+    part = lambda test: back.filter(test).drop("rejected")
+    return part("NOT rejected").drop("missing_fields"), part("rejected"), dict(seen.get)
+
+
+def write_report(report: DataFrame, path: str, by: str, *then: str, rows: int | None = None, file_rows: int = FILE_ROWS, mode: str = "errorifexists") -> None:
+    """Write a report as Parquet files that hold ranges of ``by``, sorted by it
+    and ``then``: as many as its ``rows`` need, however many values ``by`` has. A
+    reader that asks for some values skips all files and row groups but theirs.
+    ``rows`` is counted if it is not given."""
+    rows = report.count() if rows is None else rows
+    dealt = report.repartitionByRange(max(1, -(-rows // file_rows)), by, *then).sortWithinPartitions(by, *then)
+    dealt.write.mode(mode).parquet(path)
+
+
+def write_blocks(candidates: DataFrame, make: Callable[[DataFrame], DataFrame], path: str, key: str = "candidate_id", block_rows: int = BLOCK_ROWS) -> int:
+    """Write ``make(candidates)`` for one block of candidates after the other,
+    each below ``path/block=k``, and return how many blocks were made now. Blocks
+    are ranges of ``key`` of ``block_rows`` rows. A block that is whole is not made
+    again, so a run that breaks off repeats one block and not the product."""
+    spark = candidates.sparkSession
+    placed = global_rank(candidates, key).withColumn("block", F.floor((F.col("nth") - 1) / block_rows)).drop("nth")
+    placed = stored(placed, "blocks")
+    # Bounds of blocks; ``key`` is the same in every run, so blocks are too.
+    blocks, made = [r[0] for r in placed.select("block").distinct().collect()], 0
+    for block in sorted(blocks):
+        done, files = hadoop_path(spark, f"{path}/block={block}/_SUCCESS")
+        if not files.exists(done):
+            make(placed.filter(F.col("block") == block).drop("block")).write.mode("overwrite").parquet(f"{path}/block={block}")
+            made += 1
+    return made
+
+
+def read_range(spark: SparkSession, path: str, test: Column | str) -> DataFrame:
+    """The rows of a written report for which ``test`` holds; it reaches the files' statistics."""
+    return spark.read.parquet(path).filter(test)

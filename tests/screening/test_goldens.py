@@ -121,7 +121,11 @@ def test_sources(spark, tmp_path):
     good, bad = src.split_supported(src.read_texts(spark, str(tmp_path)))
     assert {(r.file_name, r.text) for r in good.collect()} == {("a.txt", "one\ntwo"), ("b.TXT", "x")} and [r.suffix for r in bad.collect()] == ["pdf"]
     assert [r.file_name for r in src.read_texts(spark, str(tmp_path), pattern="*.pdf").collect()] == ["c.pdf"]
-    valid, invalid = src.split_valid(spark.createDataFrame([(1, "a"), (2, None)], "i int, s string"))
-    assert valid.count() == 1 and invalid.first().missing_fields == ["s"]
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, "b"), (None, None)], "i int, s string")
+    valid, invalid, n = src.quarantine(rows, str(tmp_path / "checked"))
+    assert n == {"valid": 2, "rejected": 2} and valid.columns == ["i", "s"] and {r.i for r in valid.collect()} == {1, 3}
+    assert {(r.i, *r.missing_fields) for r in invalid.collect()} == {(2, "s"), (None, "i", "s")}
+    valid, invalid, n = src.quarantine(rows.limit(0), str(tmp_path / "none"))
+    assert n == {"valid": 0, "rejected": 0} and valid.count() == invalid.count() == 0
     with pytest.raises(Exception, match="(?i)path"):
         src.read_texts(spark, str(tmp_path / "missing")).count()
