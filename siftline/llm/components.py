@@ -3,23 +3,50 @@ and components of nodes that share keys."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import broadcast_if_small, drop_scratch, scratch_table
+from siftline.llm.common import BROADCAST_ROWS, broadcast_if_small, drop_scratch, releasing, scratch_table
 
 #: Nodes of a key with up to so many are compared pair by pair at once.
-PAIR_OUT = 128
+PAIR_OUT = 8
 #: Crowded keys are paired out in the end when that makes at most so many pairs for each of their rows.
-PAIRS_A_ROW = 64
+PAIRS_A_ROW = 8
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels after the links i-j: the least member of each component."""
+    while True:
+        least = np.minimum(label[i], label[j])
+        differ = (label[i] != least) | (label[j] != least)
+        if not differ.any():
+            return label
+        i, j, least = i[differ], j[differ], least[differ]
+        for k in (label[i], label[j]):  # roots alone: a member must not leave its root before that is united
+            np.minimum.at(label, k, least)
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def _in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches]
+    if held:
+        a, b = (np.concatenate(x) for x in zip(*held))
+        nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+        label = unite(np.arange(len(nodes)), place[: len(a)], place[len(a) :])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], names=["node", "component"])
+
+
+def connected_components(edges: DataFrame, at_once: int = BROADCAST_ROWS) -> DataFrame:
     """``(node, component)`` for every node of an edge table ``(a, b)`` of
     longs; a component is named by its smallest node.
 
+    Edges no more than a broadcast may have are united in one task. Beyond that:
+
     A round joins every node's least neighbour to the node's edges and so hooks
     neighbours together; rounds grow with the logarithm of the number of nodes.
     Least neighbours come from partial aggregation. They are a table of their
@@ -27,6 +54,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     stars = scratch_table(edges.filter("a <> b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct(), "edges")
     mark = _mark(stars)
+    if mark[0] <= at_once:
+        return stars.coalesce(1).mapInArrow(releasing(_in_one_task), "node long, component long")
     while mark[0]:
         both = stars.unionByName(stars.selectExpr("b a", "a b"))
         large = _hook(both, both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "b > a", with_self=False)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.llm.common import broadcast_if_small, doc_texts, releasing, scratch_table
-from siftline.llm.components import connected_components
+from siftline.llm.components import connected_components, unite
 
 SEED = 42
 BITS = 64
@@ -100,20 +100,6 @@ def _spread(lo_a: np.ndarray, n_a: np.ndarray, lo_b: np.ndarray, n_b: np.ndarray
     return lo_a[which] + k // n_b[which], lo_b[which] + k % n_b[which]
 
 
-def _unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Labels after the links i-j: the least member of each component."""
-    while True:
-        least = np.minimum(label[i], label[j])
-        differ = (label[i] != least) | (label[j] != least)
-        if not differ.any():
-            return label
-        i, j, least = i[differ], j[differ], least[differ]
-        for k in (label[i], label[j]):  # roots alone: a member must not leave its root before that is united
-            np.minimum.at(label, k, least)
-        while (label[label] != label).any():
-            label = label[label]
-
-
 def join_nodes(rot: np.ndarray, pairs: tuple[np.ndarray, ...], depth: int, budget: int) -> np.ndarray:
     """Walk pairs of trie nodes together and return, for each leaf, the least
     leaf that it is linked with.
@@ -135,7 +121,7 @@ def join_nodes(rot: np.ndarray, pairs: tuple[np.ndarray, ...], depth: int, budge
                 i, j = _spread(a[part], na[part], b[part], nb[part])
                 # A pair of a node with itself gives each link twice; one is enough.
                 near = (i != j) & (np.bitwise_count(rot[i] ^ rot[j]) <= budget)
-                label = _unite(label, i[near], j[near])
+                label = unite(label, i[near], j[near])
             a, ah, b, bh, spent, own = (x[~few] for x in (a, ah, b, bh, spent, own))
         if not len(a):
             continue

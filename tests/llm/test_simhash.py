@@ -140,5 +140,7 @@ def test_near_copies_under_repeated_and_null_ids(spark):
 
 def test_components_of_a_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 80)] + [(7, 7)]
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    frame = spark.createDataFrame(edges, "a long, b long")
+    got = {r.node: r.component for r in connected_components(frame).collect()}
+    assert got == {r.node: r.component for r in connected_components(frame, at_once=0).collect()}
     assert got == {**dict.fromkeys(range(61), 0), **dict.fromkeys(range(1000, 1080), 1000)}
