@@ -43,6 +43,8 @@ from siftline.llm.common import BROADCAST_ROWS, BoundedTable, batches_of, crowde
 SLICE_BYTES, JOINED = 4 << 20, 1000
 #: Distinct pairs that a task counts before it passes them on.
 PAIRS_HELD = 1 << 20
+#: How byte-level tokenizers split a text (a fixed value).
+SPLITS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _MARK = "▁"
 #: White space of any kind, and characters that some tables take for it.
 _SPACES = "\t-\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff"
@@ -97,7 +99,6 @@ class Vocabularies:
     def _quick(self):
         """A faster encoder with A's vocabulary, for texts on whose character
         classes all encoders agree; none if the merges are not in the order of ids."""
-        import public_tokenizers
         import tiktoken
 
         kind = json.loads(self.a.to_str())
@@ -108,7 +109,7 @@ class Vocabularies:
         if kind["normalizer"] or kind["pre_tokenizer"].get("type") != "ByteLevel" or ids != sorted(ids):
             return None
         ranks = {x: i for i, x in enumerate(self.a_bytes) if i not in special}
-        return tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return tiktoken.Encoding("a", pat_str=SPLITS, mergeable_ranks=ranks, special_tokens={})
 
     def a_ids(self, text: str) -> list[int]:
         if self.quick and _SETTLED(text):
