@@ -8,8 +8,9 @@ that breaks off goes on where it was.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ from siftline.shared import hadoop_path, stored
 SUPPORTED = ("txt", "md", "text")
 #: Bytes of texts in a file, about: a file is read by one task.
 FILE_BYTES = 64 << 20
+#: Texts that are cut from a file at a time.
+_CUT_ROWS = 4096
 #: Rows of a report in a file, about.
 FILE_ROWS = 2_000_000
 #: Candidates in a block of a report that is written block by block: with
@@ -51,13 +54,27 @@ def write_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
 
 def read_manifest(spark: SparkSession, path: str, id_col: str = "doc_id", pattern: str = "*.txt") -> DataFrame:
-    """``(id, text)`` of what ``write_texts`` wrote: a file is cut at the places that the manifest names."""
+    """``(id, text)`` of what ``write_texts`` wrote: a file is cut at the places
+    that the manifest names. It is cut in Arrow, where a slice costs its own
+    length: an expression of Spark would copy the file for each of its texts."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(f"{path}/texts")
     files = files.select(F.regexp_extract("path", r"part=([0-9]+)", 1).cast("long").alias("part"), "content")
+    manifest = spark.read.parquet(f"{path}/manifest")
     entries = F.collect_list(F.struct("id", "offset", "length"))  # of one file, so bounded as that is
-    named = files.join(spark.read.parquet(f"{path}/manifest").groupBy("part").agg(entries.alias("entries")), "part")
-    cut = F.transform("entries", lambda e: F.struct(e["id"].alias(id_col), F.decode(F.substring(F.col("content"), (e["offset"] + 1).cast("int"), e["length"].cast("int")), "UTF-8").alias("text")))
-    return named.select(F.inline(cut))
+    named = files.join(manifest.groupBy("part").agg(entries.alias("entries")), "part").select("content", "entries")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                content, places = memoryview(batch.column(0)[row].as_buffer()), batch.column(1)[row].values
+                ids, offset, length = (places.field(name) for name in ("id", "offset", "length"))
+                for at in range(0, len(places), _CUT_ROWS):
+                    bounds = zip(offset.slice(at, _CUT_ROWS).to_pylist(), length.slice(at, _CUT_ROWS).to_pylist())
+                    texts = pa.array([content[a : a + n] for a, n in bounds], pa.binary())
+                    yield pa.RecordBatch.from_arrays([ids.slice(at, _CUT_ROWS), texts], names=["id", "text"])
+
+    texts = named.mapInArrow(cut, f"id {manifest.schema['id'].dataType.simpleString()}, text binary")
+    return texts.select(F.col("id").alias(id_col), F.col("text").cast("string").alias("text"))
 
 
 def text_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

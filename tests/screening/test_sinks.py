@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import glob
 import random
+import time
 
 import pyarrow.dataset as ds
 from pyspark.sql import functions as F
@@ -92,3 +94,13 @@ def test_only_anchored_runs_are_made(spark):
     pieces = len(text)  # at least as many as pieces
     assert 0 < anchored_runs(texts).count() < pieces * 7 / 10
     assert {r.canonical for r in match_terms(texts).collect()} >= {"Python", "C++", "C", "Machine Learning", "AWS"}
+
+
+def test_a_text_costs_its_own_length_and_not_its_files(spark, tmp_path):
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.col("id").cast("string"), F.lit("é")), (F.col("id") % 60).cast("int")).alias("text"))
+    src.write_texts(docs, f"{tmp_path}/one")
+    assert len(glob.glob(f"{tmp_path}/one/texts/*/*.txt")) == 1
+    began = time.monotonic()
+    back = src.read_manifest(spark, f"{tmp_path}/one")
+    assert back.exceptAll(docs).isEmpty() and docs.exceptAll(back).isEmpty()
+    assert time.monotonic() - began < 40  # copies of the whole file, twice 40,000 of 9 MB, take minutes
