@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.functions.text import experience_months, experience_ranges, experience_score, experience_years, extract_years, filled, norm_compare, overall_score
+from siftline.operators.order import global_rank
 from siftline.shared import stored
 
 #: Pairs that a task makes, about.
@@ -105,9 +106,10 @@ def facts(candidates: DataFrame, jobs: DataFrame) -> Facts:
     return Facts(had if had.isStreaming else stored(had, "candidate-numbers"), stored(needed, "job-numbers"), words)
 
 
-def pair_candidates_jobs(candidates: DataFrame, jobs: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+def pair_candidates_jobs(candidates: DataFrame, jobs: DataFrame, pairs: DataFrame | None = None, on: str | None = None) -> DataFrame:
     """Every candidate with every job, or the ``(candidate_id, job_id)`` of
-    ``pairs``. All with all is what this operator is asked for: its output is
+    ``pairs``, or all that have the same in the column ``on``; such pairs are made
+    as the product is and never shuffled. All with all is what this operator is asked for: its output is
     the product. Jobs are the small side; Spark broadcasts them while they are.
     Candidates are dealt so that a task makes about ``TASK_PAIRS`` pairs, however
     few bytes they are, so both sides are read for their sizes and should be
@@ -117,10 +119,57 @@ def pair_candidates_jobs(candidates: DataFrame, jobs: DataFrame, pairs: DataFram
     if candidates.isStreaming:
         return candidates.join(jobs, how="cross")
     context = candidates.sparkSession.sparkContext
+    if on is not None:
+        sizes = candidates.groupBy(on).count().join(jobs.groupBy(on).agg(F.count("*").alias("of_jobs")), on)
+        n, groups = sizes.agg(F.coalesce(F.sum(F.col("count") * F.col("of_jobs")), F.lit(0)), F.count("*")).first()
+        # A group is cut into as many parts as make the tasks; each part meets the group's jobs.
+        tasks = max(context.defaultParallelism, -(-n // TASK_PAIRS))
+        parts = -(-tasks // max(1, groups))
+        dealt = candidates.withColumn("__part", F.pmod(F.xxhash64("candidate_id"), F.lit(parts)))
+        met = jobs.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+        return dealt.repartition(tasks, on, "__part").join(met, [on, "__part"]).drop("__part")
     tasks = max(context.defaultParallelism, -(-candidates.count() * jobs.count() // TASK_PAIRS))
     return candidates.repartition(tasks, "candidate_id").join(jobs, how="cross")
 
 
+@dataclass(frozen=True)
+class Classes:
+    """Candidates, and jobs, that differ in nothing but their ids. ``known`` has
+    one row for each class, with the class's number as id. ``candidates`` is
+    (candidate_id, candidate_class) and ``jobs`` (job_id, job_class), of all rows."""
+
+    known: Facts
+    candidates: DataFrame
+    jobs: DataFrame
+
+
+def _numbered_classes(rows: DataFrame, id_col: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """One row for each class, its number as ``id_col``, and the class of each
+    row. Numbers are places in the order of the facts, so each run gives the same."""
+    key = [c for c in rows.columns if c != id_col]
+    heads = stored(global_rank(rows.select(*key).distinct(), *key, name=name), name)
+    alike = reduce(Column.__and__, (F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in key))
+    members = stored(rows.alias("a").join(heads.alias("b"), alike).select(id_col, name), f"{name}-members")
+    return heads.withColumnRenamed(name, id_col), members
+
+
+def classes(known: Facts) -> Classes:
+    """Both sides by classes: a pair of classes scores as all pairs of their members do."""
+    candidates, of_candidates = _numbered_classes(known.candidates, "candidate_id", "candidate_class")
+    jobs, of_jobs = _numbered_classes(known.jobs, "job_id", "job_class")
+    return Classes(Facts(candidates, jobs, known.words), of_candidates, of_jobs)
+
+
+def by_class(report: DataFrame) -> DataFrame:
+    """A report of ``Classes.known``, whose ids are numbers of classes, called so."""
+    return report.withColumnsRenamed({"candidate_id": "candidate_class", "job_id": "job_class"})
+
+
+def all_members(report: DataFrame, candidates: DataFrame, jobs: DataFrame) -> DataFrame:
+    """All pairs of candidates and jobs, from a report by class and who is in each class."""
+    return report.join(candidates, "candidate_class").join(jobs, "job_class").drop("candidate_class", "job_class")
+
+
 def skill_score(n_matched: Column, n_required: Column) -> Column:
     return F.when(n_required == 0, 0.0).otherwise(F.bround(n_matched / n_required * 100, 2))
 
@@ -171,10 +220,10 @@ def score_report(profiles: DataFrame, jobs: DataFrame, pairs: DataFrame | None =
     return score_pairs(facts(candidate_facts(profiles), job_facts(jobs)), pairs)
 
 
-def score_pairs(known: Facts, pairs: DataFrame | None = None, *keep: str, lists: bool = True) -> DataFrame:
+def score_pairs(known: Facts, pairs: DataFrame | None = None, *keep: str, lists: bool = True, on: str | None = None) -> DataFrame:
     """The report of paired facts, with the columns ``keep`` of theirs. Without
     ``lists`` no skills are spelt, only counted."""
-    both = pair_candidates_jobs(known.candidates, known.jobs, pairs)
+    both = pair_candidates_jobs(known.candidates, known.jobs, pairs, on)
     both = with_lists(both, known.words) if lists else both
     names = ("matched_skills", "missing_skills") if lists else ()
     return _scores(with_n_matched(both, known.words), "candidate_id", "job_id", *names, *keep)

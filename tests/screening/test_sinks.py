@@ -9,7 +9,7 @@ import time
 import pyarrow.dataset as ds
 from pyspark.sql import functions as F
 
-from siftline.operators import partials
+from siftline.operators import partials, scoring
 from siftline.operators.order import global_rank, running_totals
 from siftline.operators.skills import anchored_runs, match_terms
 from siftline.sources import documents as src
@@ -104,3 +104,29 @@ def test_a_text_costs_its_own_length_and_not_its_files(spark, tmp_path):
     back = src.read_manifest(spark, f"{tmp_path}/one")
     assert back.exceptAll(docs).isEmpty() and docs.exceptAll(back).isEmpty()
     assert time.monotonic() - began < 40  # copies of the whole file, twice 40,000 of 9 MB, take minutes
+
+
+def test_classes_make_all_pairs_of_few(spark):
+    rng = random.Random(5)
+    people = [(i if i % 40 else 7, rng.sample(["sql", "git", "aws"], rng.randrange(3)), 0, rng.choice([0.0, 2.5]), rng.choice(["", "Master"])) for i in range(400)]
+    asked = [(i, s, s, rng.choice([0, 3]), "Bachelor") for i in range(60) for s in [rng.choice([["sql"], ["git", "aws"], ["sql", "sql"], []])]]
+    candidates = spark.createDataFrame(people, "candidate_id long, have array<string>, months int, years double, education string")
+    jobs = spark.createDataFrame(asked, "job_id long, required_skills array<string>, need array<string>, required_years int, required_education string")
+    known = scoring.facts(candidates, jobs)
+    alike = scoring.classes(known)
+    report = scoring.by_class(scoring.score_pairs(alike.known))
+    assert report.count() <= 28 * 8 < 400 * 60 / 100
+    want, got = scoring.score_pairs(known), scoring.all_members(report, alike.candidates, alike.jobs)
+    assert want.count() == got.count() == 400 * 60
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_pairs_of_one_group_are_made_without_a_shuffle_of_pairs(spark):
+    candidates = spark.range(500).select(F.col("id").alias("candidate_id"), (F.col("id") % 3).alias("nation"))
+    jobs = spark.range(90).select(F.col("id").alias("job_id"), F.nullif(F.col("id") % 4, F.lit(3)).alias("nation"))
+    made = scoring.pair_candidates_jobs(candidates, jobs, on="nation")
+    want = candidates.join(jobs, "nation")
+    assert made.exceptAll(want.select(*made.columns)).isEmpty() and made.count() == want.count() > 0
+    assert scoring.pair_candidates_jobs(candidates.limit(0), jobs, on="nation").isEmpty()
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Join") < plan.index("Exchange")
