@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from siftline.operators import partials, scoring
 from siftline.operators.order import global_rank, running_totals
 from siftline.operators.skills import anchored_runs, match_terms
+from siftline.plans import inputs
 from siftline.sources import documents as src
 
 
@@ -130,3 +131,11 @@ def test_pairs_of_one_group_are_made_without_a_shuffle_of_pairs(spark):
     assert scoring.pair_candidates_jobs(candidates.limit(0), jobs, on="nation").isEmpty()
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Join") < plan.index("Exchange")
+
+
+def test_derived_inputs_are_read_by_many_tasks(spark, tmp_path):
+    ids = spark.range(90_000).withColumnRenamed("id", "s_suppkey").coalesce(1)
+    ids.write.parquet(f"{tmp_path}/supplier.parquet")
+    texts = inputs.jobs(spark, str(tmp_path))
+    assert texts.count() == 90_000
+    assert len(texts.inputFiles()) == 9  # one, of few bytes, was read by one task
