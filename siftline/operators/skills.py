@@ -52,9 +52,10 @@ def match_terms(texts: DataFrame, id_col: str = "doc_id") -> DataFrame:
     word may follow.
     """
     glued = ~F.col("last").rlike(f"{WORD}$") & F.coalesce(F.col("next").rlike(f"^{WORD}"), F.lit(False))
-    terms = F.broadcast(skill_terms(texts.sparkSession))
-    found = anchored_runs(texts, id_col).join(terms, "term").filter(~glued).drop("last", "next", "n_chars")
-    return found.dropDuplicates([id_col, "section", "term"])
+    terms = skill_terms(texts.sparkSession)
+    # Repeats go while rows are narrow; only then come the terms' columns.
+    met = anchored_runs(texts, id_col).join(F.broadcast(terms.select("term")), "term", "left_semi").filter(~glued)
+    return met.select(id_col, "section", "term").distinct().join(F.broadcast(terms), "term").drop("n_chars")
 
 
 def match_skills(texts: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -126,21 +127,35 @@ def merge_profile_skills(extracted: DataFrame, profiles: DataFrame, id_col: str
         "canonical": F.coalesce("known", strip(F.col("raw"))),
         "key": F.lower(F.coalesce("known", "term")),
     }).withColumn("low", F.lower("canonical"))
-    # Earlier rows of the profile: their lower-cased canonicals, before this one.
-    before = Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    raw = raw.withColumn("earlier", F.collect_set("low").over(before)).filter(~F.array_contains("earlier", F.col("key")))
-    named = skill_category(raw.select(id_col, "pos", "key", "canonical", F.col("known").isNotNull().alias("is_known")))
+    named = skill_category(raw.select(id_col, "pos", "key", "low", "canonical", F.col("known").isNotNull().alias("is_known")))
     kind = F.when(F.col("is_known"), "candidate_profile").otherwise("unknown")
-    added = named.select(
-        id_col, F.col("canonical").alias("name"), "canonical", F.when(F.col("is_known"), F.col("category")).otherwise("other").alias("category"),
+    given = named.select(
+        id_col, "pos", F.col("canonical").alias("name"), "canonical", F.when(F.col("is_known"), F.col("category")).otherwise("other").alias("category"),
         skill_confidence(kind, F.lit("")).alias("confidence"), F.lit("candidate_profile").alias("source"), F.lit("candidate_profile").alias("section"),
-        F.lit(None).cast("array<string>").alias("derived_skills"), F.col("pos").alias("seq_ord"), "key",
+        F.lit(None).cast("array<string>").alias("derived_skills"), "key", "low",
+    )
+    # A document's rows meet as arrays, so mentions are not shuffled again: those found already lie by document.
+    rows = F.array_sort(F.collect_list(F.struct("pos", *MENTION, "key", "low")))
+    given = given.groupBy(id_col).agg(rows.alias("given"))
+    found = extracted.groupBy(id_col).agg(F.collect_list(F.struct(*MENTION)).alias("found"))
+    found = found.withColumn("keys", F.array_distinct(F.transform("found", lambda m: F.lower(m["canonical"]))))
+    # Earlier rows of the profile: their lower-cased canonicals, before this one.
+    lows = F.transform("given", lambda g: g["low"])
+    both = found.join(given.withColumn("lows", lows), id_col, "full_outer")
+    seen = lambda g, i: F.array_position("lows", g["key"]).between(1, i) | F.coalesce(F.array_contains("keys", g["key"]), F.lit(False))
+    both = both.withColumn("added", F.filter("given", lambda g, i: ~seen(g, i)))
+    mention = lambda m, seq: F.struct(*(m[c].alias(c) for c in MENTION), seq.alias("seq_ord"))
+    both = both.select(
+        id_col, F.transform("found", lambda m: mention(m, F.lit(-1))).alias("found"), F.transform("added", lambda g: mention(g, g["pos"])).alias("added"),
     )
-    both = extracted.withColumns({"seq_ord": F.lit(-1), "key": F.lower("canonical")})
-    # Dealt by another key, so that Spark doesn't zip the two sides' partitions, whose numbers may come to differ.
-    both = both.unionByName(added.repartition(id_col, "key"))
-    found = F.max(F.col("seq_ord") < 0).over(Window.partitionBy(id_col, "key"))
-    return dedup_skills(both.withColumn("found", found).filter("seq_ord < 0 OR NOT found"), id_col)
+    none = F.array().cast(both.schema["found"].dataType)
+    both = both.select(id_col, F.concat(F.coalesce("found", none), F.coalesce("added", none)).alias("all"))
+    # Of mentions with one canonical the best stays, as in ``dedup_skills``.
+    rank = lambda m: F.struct(-m["confidence"], _section_order(m["section"]), m["seq_ord"], m["source"])
+    best = both.select(id_col, F.array_sort(F.transform("all", lambda m: F.struct(rank(m).alias("rank"), m.alias("mention")))).alias("all"))
+    best = best.withColumn("canonicals", F.transform("all", lambda m: m["mention"]["canonical"]))
+    first = F.filter("all", lambda m, i: F.array_position("canonicals", m["mention"]["canonical"]) == i + 1)
+    return best.select(id_col, F.inline(F.transform(first, lambda m: m["mention"]))).select(id_col, *MENTION)
 
 
 def replace_profile_skills(profiles: DataFrame, unified: DataFrame, id_col: str = "doc_id") -> DataFrame:
