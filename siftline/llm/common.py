@@ -128,13 +128,14 @@ class BoundedTable:
     def look_up(self, lists: list[list]) -> list[list]:
         """The values of each list of keys. No value may be None."""
         found = [list(map(self.new.get, keys)) for keys in lists]
-        gaps = [(got, i, keys[i]) for got, keys in zip(found, lists) if None in got for i, v in enumerate(got) if v is None]
+        gaps = [(got, keys) for got, keys in zip(found, lists) if None in got]
         if gaps:
-            fresh = {key: self.old.get(key) for _, _, key in gaps}
+            missed = dict.fromkeys(k for got, keys in gaps for k, v in zip(keys, got) if v is None)
+            fresh = dict(zip(missed, map(self.old.get, missed)))
             unknown = [k for k, v in fresh.items() if v is None]
             fresh.update(zip(unknown, self.compute(unknown), strict=True))
-            for got, i, key in gaps:
-                got[i] = fresh[key]
+            for got, keys in gaps:
+                got[:] = [fresh[k] if v is None else v for k, v in zip(keys, got)]
             if len(self.new) + len(fresh) > self.limit:
                 self.old, self.new = self.new, {}
             self.new.update(fresh)

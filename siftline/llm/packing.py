@@ -32,13 +32,16 @@ WINDOW = 4096
 #: Items of one length are ranked in buckets of about this many.
 RANK_ROWS = 20_000
 #: Bytes of text that are cut into chunks at a time, about (whole documents).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 8 << 20
 #: Rows that go to Python at once.
-TEXT_ROWS = 1500
+TEXT_ROWS = 2500
 #: How the tokenizer splits texts into words, in its own notation.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PLAIN = re.compile(rf"([{re.escape(punctuation)}]*)([^\W\d_]*)([{re.escape(punctuation)}]*)").fullmatch
 _COMBINING = "[\u0300-\u036f]"
+#: ASCII punctuation behind a letter and before white space is a word of its own, whatever chunk it
+#: stands in. Not apostrophes, which start contractions, nor what special tokens are written with.
+_TAIL = r'([A-Za-z])([.,;:!?)"\]]+)(?: |$)'
 
 
 class CapacityTree:
@@ -123,7 +126,9 @@ class WordTable:
     The tokenizer drops white space and no token crosses it, so the ids of
     chunks join to those of the text. ASCII letters are lower-cased first, as
     the tokenizer would, which leaves fewer chunks; not in texts with combining
-    marks, for which composing comes before lower-casing.
+    marks, for which composing comes before lower-casing. Where the tokenizer
+    cuts words as known, punctuation behind words becomes a chunk too, so a
+    word is one chunk with and without it.
 
     Most chunks are a run of letters with ASCII punctuation around it. The
     tokenizer takes such runs as words of their own, and the last token of a
@@ -155,6 +160,8 @@ class WordTable:
     @staticmethod
     def _words(chunk: str) -> tuple[str, ...]:
         """The chunk's words if it is punctuation, letters, punctuation, of which any may lack; else none."""
+        if chunk.isascii() and chunk.isalpha():
+            return (chunk,)
         met = _PLAIN(chunk)
         if not met or "<|" in chunk:
             return ()
@@ -189,14 +196,22 @@ class WordTable:
 
         Only the distinct chunks of the texts are looked up; their ids are then
         laid out by position in arrays."""
-        cut = pc.split_pattern(pc.replace_substring(self._plain(texts), "\n", " "), " ")
+        plain = pc.replace_substring(self._plain(texts), "\n", " ")
+        if self.ends.any():
+            plain = pc.replace_substring_regex(plain, _TAIL, r"\1 \2 ")
+        cut = pc.split_pattern(plain, " ")
         coded = cut.values.slice(cut.offsets[0].as_py(), cut.offsets[-1].as_py() - cut.offsets[0].as_py()).dictionary_encode()
         (found,) = self.table.look_up([coded.dictionary.to_pylist()])
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        first, pool = np.cumsum(size) - size, np.frombuffer(b"".join(found), "<u4")
+        # Positions in a slice's ids fit in 32 bits, unless a single text is very long.
+        kind = np.int32 if plain.nbytes < 1 << 28 else np.int64
+        size = np.fromiter(map(len, found), kind, len(found)) // 4
+        first, pool = np.cumsum(size, dtype=kind) - size, np.frombuffer(b"".join(found), "<u4")
         codes = coded.indices.to_numpy()
-        ends = np.concatenate([[0], np.cumsum(size[codes])])
-        ids = pool[np.repeat(first[codes] - ends[:-1], size[codes]) + np.arange(ends[-1])]
+        n = size[codes]
+        ends = np.concatenate([np.zeros(1, kind), np.cumsum(n, dtype=kind)])
+        at = np.repeat(first[codes] - ends[:-1], n)
+        at += np.arange(ends[-1], dtype=kind)
+        ids = pool[at]
         bounds = ends[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
         for a, b in zip(bounds.tolist(), bounds[1:].tolist()):
             yield ids[a:b].tobytes()

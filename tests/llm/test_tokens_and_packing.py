@@ -68,6 +68,13 @@ def test_words_of_random_texts_equal_the_library():
     assert [t for t, a, b in zip(texts, got, want) if a != b] == []
 
 
+def test_a_word_is_looked_up_once_with_and_without_punctuation():
+    words, tok = packing.WordTable(BPE), Tokenizer.from_file(BPE)
+    texts = ["word word. Word, (word) word!? word.\nword; don't, <|endoftext|>. 'word'. word.", "word.\u0301 word\u0301. word.a word.", "İ. <|endoftext|> WORD."]
+    assert list(words.encode(pa.array(texts))) == [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert {"word", ".", ",", "!?", "don't"} <= set(words.table.new) and not {"word.", "word,", "word!?", "word;"} & set(words.table.new)
+
+
 def test_unknown_outputs_are_refused(spark):
     with pytest.raises(ValueError, match="unknown"):
         pieces.encode(frame(spark, ["a"]), SP, ("nothing",))
