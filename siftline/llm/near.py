@@ -120,7 +120,7 @@ def described(rows: DataFrame, width: int, least: float) -> DataFrame:
 
 
 def shingle_sets(rows: DataFrame, nodes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """``(node, members)`` of the nodes of ``wanted``; members are the hashes,
+    """``(node, members)`` of the nodes of ``wanted``, written; members are the hashes,
     as bytes. ``nodes`` has node, doc_id, sha and twins (whether several rows
     are equal in both) of each."""
 
@@ -137,13 +137,16 @@ def shingle_sets(rows: DataFrame, nodes: DataFrame, wanted: DataFrame, width: in
     once = met.filter("NOT twins").select("node", "text")
     if not some.filter("twins").isEmpty():
         once = once.unionByName(met.filter("twins").select("node", "text").dropDuplicates(["node"]))
-    return once.mapInArrow(releasing(run), "node long, members binary")
+    sets = scratch_table(once.mapInArrow(releasing(run), "node long, members binary"), "near-sets", TEXT_ROWS)
+    drop_scratch(some)
+    return sets
 
 
 def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, width: int, least: float) -> DataFrame:
-    """The pairs ``(a, b)`` whose sets are similar enough. ``pairs`` and ``nodes`` give the same rows each time."""
+    """The pairs ``(a, b)`` whose sets are similar enough, written: the sets go at once. ``pairs`` and ``nodes`` give the same rows each time."""
     wanted = scratch_table(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-partners")
-    table = broadcast_if_small(scratch_table(shingle_sets(rows, nodes, wanted, width), "near-sets", TEXT_ROWS))
+    sets = shingle_sets(rows, nodes, wanted, width)
+    table = broadcast_if_small(sets)
     side = lambda c: table.select(F.col("node").alias(c), F.col("members").alias(f"in_{c}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +159,10 @@ def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, width: int, le
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(mask) for k in (0, 1)], names=["a", "b"])
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "in_a", "in_b").mapInArrow(releasing(run), "a long, b long")
+    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "in_a", "in_b")
+    out = scratch_table(met.mapInArrow(releasing(run), "a long, b long"), "near-links", SET_ROWS)
+    drop_scratch(wanted, sets)
+    return out
 
 
 def fingerprint_pairs(nodes: DataFrame, budget: int = BUDGET) -> DataFrame:
@@ -212,8 +218,7 @@ def drop_near_copies(docs: DataFrame, width: int = WIDTH, least: float = LEAST,
     own = F.col("doc_id").eqNullSafe(F.col("twin_id")) & (F.col("sha") == F.col("twin_sha"))
     nodes = nodes.select("node", "doc_id", "sha").join(broadcast_if_small(twins), own, "left").withColumn("twins", F.col("twin_sha").isNotNull())
     confirm = lambda pairs: verified(pairs, rows, nodes, width, least)
-    links = scratch_table(confirm(close), "near-links", SET_ROWS)
-    groups = link_by_keys(keyed, confirm, links, enough(least, far), SET_ROWS)
+    groups = link_by_keys(keyed, confirm, confirm(close), enough(least, far))
     mine = named.select("doc_id", "sha", "node").join(broadcast_if_small(groups), "node", "left")
     mine = scratch_table(mine.select("doc_id", "sha", F.coalesce("component", "node").alias("component")), "near-components")
     drop_scratch(made, same, keyed, close, twins)

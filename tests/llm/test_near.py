@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 import corpus_pipeline
 from siftline.llm import near
+from siftline.shared import new_path
 
 
 def grams(text: str) -> set:
@@ -62,3 +64,18 @@ def test_repeated_phrases_do_not_hide_similar_texts(spark):
     assert want == {0, 2}
     for far in (near.FAR, None):
         assert {r.doc_id for r in near.drop_near_copies(docs, far=far).collect()} == want
+
+
+def test_tables_go_when_nothing_reads_them_any_more(spark, tmp_path):
+    """The shingle sets of a round, and what the learned stages' results are read from."""
+    rng = random.Random(7)
+    texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(60)) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts + [t + " end" for t in texts])), "doc_id long, text string")
+    spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    left = lambda *labels: [p.name for p in root.iterdir() if p.name.startswith(labels)]
+    now, root = docs, Path(new_path(spark, "any")).parent
+    before = set(left("not-toxic", "not-poor", "near-sets", "near-partners", "near-wanted"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, now, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        now = spark.read.parquet(f"{tmp_path}/{name}")
+    assert set(left("not-toxic", "not-poor", "near-sets", "near-partners", "near-wanted")) <= before
