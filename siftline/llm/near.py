@@ -17,7 +17,10 @@ the cost and not the result.
 
 A dense group is not paired out: sets that share a key are first compared with
 one of them, round by round, and pairs that confirmed links connect already are
-skipped. What is left apart is compared pair by pair. Sets themselves are not
+skipped. What is left apart is compared pair by pair, by sketches first: the
+members of a set flip bits, so two sets differ in at least as many members as
+their sketches differ in bits. Only pairs that this leaves possible become rows,
+and none that is similar enough is lost by it. Sets themselves are not
 kept: they are made again for the texts alone that are in a pair.
 """
 
@@ -44,6 +47,8 @@ BUDGET = 3
 #: smallest set whose fingerprint is trusted for that. ``far=None`` compares
 #: the sets of all candidates and leaves out none.
 FAR, TRUSTED_SIZE = 4.5, 64
+#: Longs of a sketch. Its bits tell sets of up to about as many members well apart; for larger ones it rules out less.
+SKETCH_LONGS = 16
 #: Rows whose shingles are counted for the order, about, and how many frequent shingles it knows at most.
 SAMPLE_DOCS, FREQUENT = 8000, 100_000
 _SLICE = 512
@@ -60,6 +65,13 @@ def key_count(n: int, least: float) -> int:
     return n - ceil(least * n - 1e-9) + 1 if n else 0
 
 
+def sketch(members: np.ndarray) -> np.ndarray:
+    """Bits that each member of a set flips."""
+    at = members >> np.uint64(64 - (BITS * SKETCH_LONGS - 1).bit_length())
+    odd = (np.bincount(at.astype(np.int64), minlength=BITS * SKETCH_LONGS) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_digest(text_col).alias("sha"), text.alias("text"))
@@ -97,10 +109,11 @@ def ordered_keys(members: np.ndarray, known: np.ndarray, count: np.ndarray, n: i
 
 
 def described(rows: DataFrame, width: int, least: float) -> DataFrame:
-    """doc_id, sha, digest of the set, size, fp, keys of each row."""
+    """doc_id, sha, digest of the set, size, fp, keys, sketch of each row."""
     order = rows.sparkSession.sparkContext.broadcast(frequent_shingles(rows, width))
     kinds = pa.schema([
         ("doc_id", pa.int64()), ("sha", pa.binary()), ("digest", pa.binary()), ("size", pa.int32()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64())),
+        ("sketch", pa.list_(pa.int64())),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,11 +125,11 @@ def described(rows: DataFrame, width: int, least: float) -> DataFrame:
                     s = shingles(t.as_py(), width)
                     fp = np.array(majority(s), np.uint64).view(np.int64)
                     keys = ordered_keys(s, known, count, key_count(len(s), least)).view(np.int64)
-                    out.append((blake2b(s.tobytes(), digest_size=16).digest(), len(s), int(fp), keys))
+                    out.append((blake2b(s.tobytes(), digest_size=16).digest(), len(s), int(fp), keys, sketch(s)))
                 cols = [pa.array(c, kinds.field(k + 2).type) for k, c in enumerate(zip(*out))]
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1).cast(pa.binary()), *cols], schema=kinds)
 
-    return rows.mapInArrow(releasing(run), "doc_id long, sha binary, digest binary, size int, fp long, keys array<long>")
+    return rows.mapInArrow(releasing(run), "doc_id long, sha binary, digest binary, size int, fp long, keys array<long>, sketch array<long>")
 
 
 def shingle_sets(rows: DataFrame, nodes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -190,6 +203,16 @@ def enough(least: float, far: float | None = FAR) -> Callable[[Column, Column],
     return fits
 
 
+def alike_enough(least: float) -> Callable[[Column, Column], Column]:
+    """Whether two sets, of which ``size`` and ``sketch`` are known, can be similar enough."""
+
+    def fits(p: Column, q: Column) -> Column:
+        apart = sum((F.bit_count(F.get(p["sketch"], F.lit(k)).bitwiseXOR(F.get(q["sketch"], F.lit(k)))) for k in range(SKETCH_LONGS)), F.lit(0))
+        return apart <= (p["size"] + q["size"]) * ((1 - least) / (1 + least)) + 1e-6
+
+    return fits
+
+
 def shared_keys(nodes: DataFrame) -> DataFrame:
     """``(key, node, at)`` of the keys that several nodes have; ``at`` is size, pos and fp."""
     keyed = nodes.select("node", "size", "fp", F.posexplode("keys").alias("pos", "key"))
@@ -216,9 +239,10 @@ def drop_near_copies(docs: DataFrame, width: int = WIDTH, least: float = LEAST,
     twins = made.groupBy("doc_id", "sha").agg(F.count("*").alias("n")).filter("n > 1")
     twins = scratch_table(twins.select(F.col("doc_id").alias("twin_id"), F.col("sha").alias("twin_sha")), "near-twin-rows")
     own = F.col("doc_id").eqNullSafe(F.col("twin_id")) & (F.col("sha") == F.col("twin_sha"))
+    sketches = nodes.select("node", F.struct("size", "sketch").alias("more"))
     nodes = nodes.select("node", "doc_id", "sha").join(broadcast_if_small(twins), own, "left").withColumn("twins", F.col("twin_sha").isNotNull())
     confirm = lambda pairs: verified(pairs, rows, nodes, width, least)
-    groups = link_by_keys(keyed, confirm, confirm(close), enough(least, far))
+    groups = link_by_keys(keyed, confirm, confirm(close), enough(least, far), more=sketches, closer=alike_enough(least))
     mine = named.select("doc_id", "sha", "node").join(broadcast_if_small(groups), "node", "left")
     mine = scratch_table(mine.select("doc_id", "sha", F.coalesce("component", "node").alias("component")), "near-components")
     drop_scratch(made, same, keyed, close, twins)

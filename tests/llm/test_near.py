@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 from pathlib import Path
 
+import numpy as np
+
 import corpus_pipeline
 from siftline.llm import near
 from siftline.shared import new_path
@@ -66,6 +68,31 @@ def test_repeated_phrases_do_not_hide_similar_texts(spark):
         assert {r.doc_id for r in near.drop_near_copies(docs, far=far).collect()} == want
 
 
+def test_sketches_never_differ_in_more_bits_than_sets_in_members():
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 40, 300, 5000):
+        pool = np.unique(rng.integers(0, 1 << 63, n + n // 4 + 2, dtype=np.uint64) * np.uint64(2))
+        a, b = pool[: n or 0], pool[n // 4 :]
+        bits = int(np.bitwise_count((near.sketch(a) ^ near.sketch(b)).view(np.uint64)).sum())
+        assert bits <= len(np.setxor1d(a, b))
+        assert n != 40 or bits > 0.8 * len(np.setxor1d(a, b))
+
+
+def test_a_cloud_of_edited_copies_makes_few_pairs(spark, monkeypatch):
+    """Edited copies of one text that are less than similar enough to each other: what is compared, and what is linked."""
+    rng, made, real = random.Random(9), [], near.verified
+    base, texts = [f"w{rng.randrange(3000)}" for _ in range(150)], []
+    for n in range(400):
+        copy = list(base)
+        for at in rng.sample(range(150), 2 + n % 2):
+            copy[at] = f"z{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    monkeypatch.setattr(near, "verified", lambda pairs, *more: made.append(pairs.count()) or real(pairs, *more))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in near.drop_near_copies(docs).collect()} == set(slow_groups(texts).values())
+    assert sum(made) < 30 * len(texts), made
+
+
 def test_tables_go_when_nothing_reads_them_any_more(spark, tmp_path):
     """The shingle sets of a round, and what the learned stages' results are read from."""
     rng = random.Random(7)
