@@ -21,8 +21,7 @@ CONTENT_FLOOR, STRONG = 0.40, 0.60
 
 
 def _normalized(lines: DataFrame) -> DataFrame:
-    norm = norm_heading(F.col("line"))
-    return lines.withColumns({"norm": norm, "cleaned": clean_heading(norm)})
+    return lines.withColumn("norm", norm_heading(F.col("line"))).withColumn("cleaned", clean_heading(F.col("norm")))
 
 
 def _alias(lines: DataFrame, key: str, name: str) -> DataFrame:
@@ -40,9 +39,8 @@ def heading_cleaned(lines: DataFrame) -> DataFrame:
     return _alias(_normalized(lines), "cleaned", "cleaned_section")
 
 
-def _ends(cleaned: Column) -> Column:
-    """First and last one to three words, where more words follow or precede."""
-    words = F.size(F.split(cleaned, " "))
+def _ends(cleaned: Column, words: Column) -> Column:
+    """First and last one to three of so many words, where more words follow or precede."""
     parts = [F.when(words > n, F.substring_index(cleaned, " ", k)) for n in (1, 2, 3) for k in (n, -n)]
     return F.array_compact(F.array(*parts))
 
@@ -54,8 +52,12 @@ def heading_affix(lines: DataFrame) -> DataFrame:
     alias = section_alias(lines.sparkSession).filter("alias_norm <> ''")
     found = F.map_from_entries(F.collect_list(F.struct("alias_norm", F.struct("alias_ord", "section").alias("v"))))
     lookup = F.broadcast(alias.agg(found.alias("aliases")))
-    met = F.array_compact(F.transform(_ends(F.col("cleaned")), lambda e: F.try_element_at(F.col("aliases"), e)))
-    return _normalized(lines).crossJoin(lookup).withColumn("affix_section", F.array_min(met)["section"]).drop("aliases")  # one row
+    # Hardly any line has one. A set of literals tells that by hash; a map is searched entry by entry.
+    known = [r.alias_norm for r in alias.select("alias_norm").collect()]
+    cut = _normalized(lines).withColumn("words", F.size(F.split("cleaned", " ")))
+    cut = cut.withColumn("ends", F.filter(_ends(F.col("cleaned"), F.col("words")), lambda e: e.isin(known))).drop("words")
+    met = F.array_compact(F.transform("ends", lambda e: F.try_element_at(F.col("aliases"), e)))
+    return cut.crossJoin(lookup).withColumn("affix_section", F.array_min(met)["section"]).drop("aliases", "ends")  # one row
 
 
 def detect_heading(lines: DataFrame) -> DataFrame:
