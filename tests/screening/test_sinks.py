@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import glob
+import os
 import random
 import time
 
@@ -139,3 +140,22 @@ def test_derived_inputs_are_read_by_many_tasks(spark, tmp_path):
     texts = inputs.jobs(spark, str(tmp_path))
     assert texts.count() == 90_000
     assert len(texts.inputFiles()) == 9  # one, of few bytes, was read by one task
+
+
+def test_pairs_of_classes_make_few_tasks_rows_and_bytes(spark, tmp_path):
+    rng = random.Random(9)
+    people = [(i if i % 50 else rng.choice([None, 3]), rng.sample(["sql", "git", "aws"], rng.randrange(3)), 0, rng.choice([0.0, 2.5, 4.25]), rng.choice(["", "Master"])) for i in range(4000)]
+    asked = [(i if i % 30 else rng.choice([None, 5]), s, s, rng.choice([0, 3]), rng.choice(["", "PhD"])) for i in range(300) for s in [rng.choice([["sql"], ["git", "aws"], ["sql", "sql"], []])]]
+    candidates = spark.createDataFrame(people, "candidate_id long, have array<string>, months int, years double, education string")
+    jobs = spark.createDataFrame(asked, "job_id long, required_skills array<string>, need array<string>, required_years int, required_education string")
+    known = scoring.facts(candidates, jobs)
+    plain = scoring._with_columns(known.candidates.crossJoin(known.jobs), known.words, (*scoring.LISTS, *scoring.SCORES))
+    scoring.score_pairs(known).write.parquet(f"{tmp_path}/report")
+    found = ds.dataset(f"{tmp_path}/report")
+    assert len(found.files) >= 4 and found.count_rows() == 4000 * 300
+    assert sum(os.path.getsize(f) for f in found.files) < 4000 * 300 * 0.8  # bytes a pair; row by row they took well over one
+    key = [F.col(c) if c not in scoring.LISTS else F.array_join(c, "|").alias(c) for c in plain.columns]
+    alike = lambda df: df.select(*key).groupBy(*plain.columns).count()
+    assert alike(spark.read.parquet(f"{tmp_path}/report")).exceptAll(alike(plain)).isEmpty() and alike(plain).count() > 4000
+    assert scoring.class_report(known, "overall_score").count() < 4000 * 300 / 20  # each scored once
+    assert scoring.class_report(known, "education_score").count() < scoring.class_report(known, "overall_score").count()
